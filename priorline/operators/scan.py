@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 START = Window.unboundedPreceding
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
+def running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str,
             specs: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
     """Running sum/count/max/min/last of each column over ``order`` inside ``keys``.
 
-    ``slice_by`` must not decrease along ``order``.  ``last`` is the last non-null value.
+    ``slice_by`` (a column or SQL text) must not decrease along ``order``.  ``last`` is the last non-null value.
     ``inclusive=False`` leaves the current row out.
     """
+    slice_by = F.expr(slice_by) if isinstance(slice_by, str) else slice_by
     base = df.withColumns({"_slice": slice_by, **{f"_x_{n}": c for n, (_, c) in specs.items()}})
     total, window = {}, {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
     position = F.struct(*order)
@@ -52,7 +53,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
     return joined.withColumns(out).drop("_slice", *[f"_x_{n}" for n in specs], *[f"_c_{n}" for n in specs])
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], slice_by: Column, columns: dict[str, str]) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, columns: dict[str, str]) -> DataFrame:
     """The value of the row before, as a struct-carried running ``last`` (null values included)."""
     row = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
     out = running(df, keys, order, slice_by, {"_prev": ("last", row)}, inclusive=False)
