@@ -20,13 +20,12 @@ def profit_per_unit(price: Column) -> Column:
 
 def spread_direction(prediction: Column, line: Column) -> Column:
     """MK-2: the line is home-signed, so home is the side when prediction plus line is positive."""
-    edge = prediction + line
-    return F.when(edge > 0, "home").when(edge < 0, "away")
+    return F.when(prediction + line > 0, "home").when((prediction + line).isNotNull(), "away")
 
 
 def total_direction(prediction: Column, line: Column) -> Column:
     """MK-2: over when the forecast is above the line."""
-    return F.when(prediction > line, "over").when(prediction < line, "under")
+    return F.when(prediction > line, "over").when((prediction - line).isNotNull(), "under")
 
 
 def settle(signed_margin: Column, profit: Column) -> Column:
