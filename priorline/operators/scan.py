@@ -56,8 +56,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column |
 def previous(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, columns: dict[str, str]) -> DataFrame:
     """The value of the row before, as a struct-carried running ``last`` (null values included)."""
     row = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
-    out = running(df, keys, order, slice_by, {"_prev": ("last", row)}, inclusive=False)
-    return out.withColumns({n: F.col(f"_prev.{n}") for n in columns}).drop("_prev")
+    out = running(df, keys, order, slice_by, {"_previous_row": ("last", row)}, inclusive=False)
+    return out.withColumns({n: F.col(f"_previous_row.{n}") for n in columns}).drop("_previous_row")
 
 
 def prior_totals(df: DataFrame, keys: list[str], time: str, sums: dict[str, Column]) -> DataFrame:
