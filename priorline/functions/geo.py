@@ -13,7 +13,8 @@ def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(
         F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    # least() skips nulls, so an unknown point has to be kept unknown
+    return F.when(h.isNotNull(), 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h))))
 
 
 def offset_hours(ts: Column, zone: Column | str) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import plays as P
 from ..functions import playtypes as T
 from ..functions.identity import content_id
+from ..session import cut_lineage
 from .components import connected_components
 from .scan import previous, running
 
@@ -49,24 +50,26 @@ def accepted_stream(stream: DataFrame, finals: DataFrame, order: list[str], slic
     """Previous capped score, what is wrong with the row, and whether the stream is already stopped."""
     s = stream.join(finals.select(*STREAM, "final"), STREAM, "left")
     s = s.withColumn("capped", F.least("score", F.col("final")))
-    s = previous(s, STREAM, order, slice_by, {"_prev": "capped"})
+    s = previous(s, STREAM, order, slice_by, {"_prev": "capped"}, materialize=True)
     s = s.withColumn("prev", F.coalesce("_prev", F.lit(0.0))).drop("_prev")
     x, p = F.col("score"), F.col("prev")
     whole = (x >= 0) & (x == F.floor(x))
     bad = (F.when(x.isNull() | F.isnan(x), "missing_or_nonfinite_score").when(whole & (x < p), None)
            .when(~whole, "score_regression_or_nonintegral").when(x - p > 8, "impossible_score_increment"))
     s = s.withColumn("malformed", bad)
-    s = running(s, STREAM, order, slice_by, {"_stops": ("count", F.when(F.col("malformed").isNotNull(), 1))}, inclusive=False)
+    s = running(s, STREAM, order, slice_by, {"_stops": ("count", F.when(F.col("malformed").isNotNull(), 1)), "_pos": ("count", F.lit(1))},
+                inclusive=False, materialize=True)
     return s.where("_stops = 0").drop("_stops")
 
 
 def scoring_events(plays: DataFrame, possessions: DataFrame, finals: DataFrame, order: list[str], slice_by: str) -> DataFrame:
     """IT-19: score increments with category, origin of conversions, cap, quarantine and rollback."""
-    s = accepted_stream(score_stream(plays.where(~P.member("play_type", T.DEAD))), finals, order, slice_by)
-    rev = s.where("malformed IS NULL").withColumns({f"_r{i}": -F.col(c).cast("double") for i, c in enumerate(order)})
-    back = [f"_r{i}" for i in range(len(order))]
-    low = running(rev.withColumn("_sl", -F.datediff(F.expr(slice_by), F.lit("1970-01-01"))), STREAM, back, F.col("_sl"),
-                  {"_low": ("min", F.col("capped"))}, inclusive=False).drop(*back, "_sl")
+    narrow = plays.select(*dict.fromkeys(["game_id", "play_id", "drive_number", "quarter", "offense", "defense", "play_type", "offense_score", "defense_score", *order]))
+    s = accepted_stream(score_stream(narrow.where(~P.member("play_type", T.DEAD))), finals, order, slice_by)
+    s = cut_lineage(s)
+    # points undone later are those above the lowest later score: a running minimum from the end
+    live = s.where("malformed IS NULL").withColumns({"_back": -F.col("_pos"), "_day": -F.datediff(F.expr(slice_by), F.lit("1970-01-01"))})
+    low = running(live, STREAM, ["_back"], "_day", {"_low": ("min", F.col("capped"))}, inclusive=False).drop("_pos", "_back", "_day")
     ev = low.where("score > prev")
     ev = ev.withColumns({
         "gained": F.col("capped") - F.col("prev"),
@@ -82,15 +85,16 @@ def scoring_events(plays: DataFrame, possessions: DataFrame, finals: DataFrame,
                 .when(F.col("possession_eligible"), "eligible_regulation_offense").otherwise("excluded_regulation_offense"))
     ev = ev.withColumns({"_conv": conversion & (period == "regulation") & (F.col("gained") > 0), "_cat": category})
     settled = ~F.col("_cat").isin("unresolved", "overtime")
-    ev = running(ev, STREAM, order, slice_by, {"_origin": ("last", F.when(settled, F.col("_cat")))}, inclusive=False)
-    active = settled | (F.col("_conv") & F.col("_origin").isNotNull())
-    ev = running(ev, STREAM, order, slice_by, {"_active": ("last", F.when(active, F.col("play_id")))}, inclusive=False)
+    # a conversion belongs to the last event before it that is settled or itself a conversion
+    ev = running(ev, STREAM, order, slice_by, {"_origin": ("last", F.when(settled, F.col("_cat"))),
+                                               "_active": ("last", F.when(settled | F.col("_conv"), F.col("play_id")))},
+                 inclusive=False, materialize=True)
     cat = F.when(F.col("gained") == 0, "unresolved").when(F.col("_conv"), F.coalesce("_origin", F.lit("unresolved"))).otherwise(F.col("_cat"))
     reason = (F.when(F.col("gained") == 0, "exceeds_repaired_final").when(F.col("score_increment") < F.col("gained"), "score_regression_rollback")
               .when(F.col("_conv") & F.col("_origin").isNull(), "conversion_without_origin").when(period == "unknown", "unknown_period")
               .when(cat == "unresolved", "ambiguous_possession"))
     good = ev.select("game_id", "team", "play_id", "drive_number", period.alias("period_class"), "score_increment", cat.alias("scoring_category"),
-                     F.when(F.col("_conv"), F.col("_active")).alias("conversion_for_event_id"), reason.alias("quality_reason"))
+                     F.when(F.col("_conv") & F.col("_origin").isNotNull(), F.col("_active")).alias("conversion_for_event_id"), reason.alias("quality_reason"))
     stop = s.where("malformed IS NOT NULL").select(
         "game_id", "team", "play_id", "drive_number", period.alias("period_class"), F.lit(0).alias("score_increment"),
         F.lit("unresolved").alias("scoring_category"), F.lit(None).cast("long").alias("conversion_for_event_id"), F.col("malformed").alias("quality_reason"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import previous, prior_totals, running
+from .scan import running
 
 
 def carryover_prior(terminal: DataFrame, keys: list[str], gap: int = 1, rho: float = 0.6) -> DataFrame:
@@ -60,8 +60,7 @@ def kalman_filter(df: DataFrame, keys: list[str], order: list[str], slice_by: Co
     3. every chunk is replayed from its start.  No task holds more than a chunk of rows.
     """
     base = df.withColumns({"_z": z.cast("double"), "_n": exposure.cast("double"), "_at": time, "_pm": prior_mean, "_pv": prior_var, "_q": q, "_r": r})
-    base = previous(base, keys, order, slice_by, {"_was": "_at"})
-    base = running(base, keys, order, slice_by, {"_p": ("count", F.lit(1))}, inclusive=False)
+    base = running(base, keys, order, slice_by, {"_was": ("last", F.col("_at")), "_p": ("count", F.lit(1))}, inclusive=False)
     used = F.col("_z").isNotNull() & ~F.isnan("_z") & (F.col("_n") > 0)
     noise = F.col("_q") * F.coalesce((F.col("_at") - F.col("_was")) / 86400.0, F.lit(0.0)) / 7.0
     base = base.withColumns({"_Q": noise, "_R": F.when(used, F.col("_r") / F.col("_n")), "_c": F.floor(F.col("_p") / chunk)})

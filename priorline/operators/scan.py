@@ -11,18 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 START = Window.unboundedPreceding
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str,
-            specs: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
+            specs: dict[str, tuple[str, Column]], inclusive: bool = True, materialize: bool = False) -> DataFrame:
     """Running sum/count/max/min/last of each column over ``order`` inside ``keys``.
 
     ``slice_by`` (a column or SQL text) must not decrease along ``order``.  ``last`` is the last non-null value.
-    ``inclusive=False`` leaves the current row out.
+    ``inclusive=False`` leaves the current row out.  The input is read twice (totals and rows), so
+    chains of several scans set ``materialize`` to write an expensive input once.
     """
     slice_by = F.expr(slice_by) if isinstance(slice_by, str) else slice_by
     base = df.withColumns({"_slice": slice_by, **{f"_x_{n}": c for n, (_, c) in specs.items()}})
+    base = cut_lineage(base) if materialize else base
     total, window = {}, {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
     position = F.struct(*order)
     for name, (op, _) in specs.items():
@@ -53,10 +57,11 @@ def running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column |
     return joined.withColumns(out).drop("_slice", *[f"_x_{n}" for n in specs], *[f"_c_{n}" for n in specs])
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, columns: dict[str, str]) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, columns: dict[str, str],
+             materialize: bool = False) -> DataFrame:
     """The value of the row before, as a struct-carried running ``last`` (null values included)."""
     row = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
-    out = running(df, keys, order, slice_by, {"_previous_row": ("last", row)}, inclusive=False)
+    out = running(df, keys, order, slice_by, {"_previous_row": ("last", row)}, inclusive=False, materialize=materialize)
     return out.withColumns({n: F.col(f"_previous_row.{n}") for n in columns}).drop("_previous_row")
 
 
