@@ -177,7 +177,7 @@ def _(d):
           sum(ppa) FILTER (eligible) AS es, count(ppa) FILTER (eligible) AS en FROM en GROUP BY 1, 2, 3),
     k AS (SELECT game_id, team, opponent FROM o UNION SELECT game_id, opponent, team FROM o)
     SELECT k.game_id, k.team, k.opponent, """ + ", ".join(
-        f"{s}.plays AS {p}_plays_raw, {q6(s + '.ss')} AS {p}_success_sum, {q6(s + '.es')} AS {p}_epa_sum" for s, p in (("a", "off"), ("b", "def"))).replace("a.plays AS off_plays_raw", "CAST(a.plays AS DOUBLE) AS off_plays").replace("b.plays AS def_plays_raw", "CAST(b.plays AS DOUBLE) AS def_plays")
+        f"CAST({s}.plays AS DOUBLE) AS {p}_plays, {q6(s + '.ss')} AS {p}_success_sum, {q6(s + '.es')} AS {p}_epa_sum" for s, p in (("a", "off"), ("b", "def")))
     + " FROM k LEFT JOIN o a ON a.game_id=k.game_id AND a.team=k.team AND a.opponent=k.opponent LEFT JOIN o b ON b.game_id=k.game_id AND b.team=k.opponent AND b.opponent=k.team")
 def _(d):
     ok = P.eligible_play()
