@@ -73,7 +73,7 @@ def total_bias(wide: DataFrame, keys: list[str]) -> DataFrame:
     t = F.col("pred_total") - F.col("home_points") - F.col("away_points")
     return wide.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(h).alias("home_bias"), F.avg(a).alias("away_bias"), F.avg(t).alias("total_bias"),
-        (F.pow(F.avg(t), 2) / F.avg(t * t)).alias("bias_share"), F.corr(h, a).alias("error_corr"))
+        F.try_divide(F.pow(F.avg(t), 2), F.avg(t * t)).alias("bias_share"), F.corr(h, a).alias("error_corr"))
 
 
 def recentered(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -64,16 +64,31 @@ def available_evidence(evidence: DataFrame, cutoffs: DataFrame, season: str = "s
                          & (F.col("available") <= F.col("cutoff"))).drop("_season")
 
 
+def _first_cutoff(evidence: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """The cutoffs of the season in week order, and the first that admits the row."""
+    spec = cutoffs.groupBy("season").agg(F.array_sort(F.collect_list(F.struct("as_of_week", "cutoff"))).alias("_weeks"))
+    first = F.filter("_weeks", lambda w: (w["as_of_week"] > F.col("week")) & (w["cutoff"] >= F.col("available")))
+    return evidence.join(spec, "season").withColumn("_first", F.get(first, F.lit(0))["as_of_week"]).where("_first IS NOT NULL")
+
+
+def cutoff_cells(evidence: DataFrame, cutoffs: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """JN-12 for keys that seldom repeat (team pairs): evidence is summed per (key, first admitting
+    cutoff) and each cell is listed at that and every later cutoff.  Several cells of a key stand side by
+    side, which is all a following sum needs, so no ordered pass is made."""
+    cell = _first_cutoff(evidence, cutoffs).groupBy("season", *keys, "_first").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    weeks = cutoffs.groupBy("season").agg(F.array_sort(F.collect_set("as_of_week")).alias("_all"))
+    later = F.filter("_all", lambda w: w >= F.col("_first"))
+    return cell.join(weeks, "season").select("season", *keys, F.explode(later).alias("as_of_week"), *sums)
+
+
 def cutoff_totals(evidence: DataFrame, cutoffs: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
     """JN-12: totals per (key, as_of_week) over earlier available evidence.
 
     Evidence is assigned to the first week whose cutoff admits it and summed there; the totals are
     running sums over weeks.  Cost is rows + keys x weeks instead of rows x weeks.
     """
-    spec = cutoffs.groupBy("season").agg(F.array_sort(F.collect_list(F.struct("as_of_week", "cutoff"))).alias("_weeks"))
-    first = F.filter("_weeks", lambda w: (w["as_of_week"] > F.col("week")) & (w["cutoff"] >= F.col("available")))
-    entry = evidence.join(spec, "season").withColumn("_first", F.get(first, F.lit(0))["as_of_week"]).where("_first IS NOT NULL")
-    cell = entry.groupBy("season", *keys, F.col("_first").alias("as_of_week")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    cell = _first_cutoff(evidence, cutoffs).groupBy("season", *keys, F.col("_first").alias("as_of_week")).agg(
+        *[F.sum(c).alias(n) for n, c in sums.items()])
     grid = cell.select("season", *keys).distinct().join(cutoffs.select("season", "as_of_week"), "season")
     upto = Window.partitionBy("season", *keys).orderBy("as_of_week").rowsBetween(Window.unboundedPreceding, 0)
     out = grid.join(cell, ["season", *keys, "as_of_week"], "left")

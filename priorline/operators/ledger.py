@@ -64,7 +64,9 @@ def accepted_stream(stream: DataFrame, finals: DataFrame, order: list[str], slic
 
 def scoring_events(plays: DataFrame, possessions: DataFrame, finals: DataFrame, order: list[str], slice_by: str) -> DataFrame:
     """IT-19: score increments with category, origin of conversions, cap, quarantine and rollback."""
-    narrow = plays.select(*dict.fromkeys(["game_id", "play_id", "drive_number", "quarter", "offense", "defense", "play_type", "offense_score", "defense_score", *order]))
+    narrow = plays.select(*dict.fromkeys(["game_id", "play_id", "drive_number", "quarter", "offense", "defense", "play_type", "offense_score", "defense_score", *order]),
+                          F.expr(slice_by).alias("_on"))
+    slice_by = "_on"
     s = accepted_stream(score_stream(narrow.where(~P.member("play_type", T.DEAD))), finals, order, slice_by)
     s = cut_lineage(s)
     # points undone later are those above the lowest later score: a running minimum from the end

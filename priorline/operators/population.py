@@ -109,8 +109,8 @@ def cumulative_efficiency(rows: DataFrame, keys: list[str], week: str) -> DataFr
     both = rows.select("*", F.explode(F.array(F.col("team").cast("string"), F.lit("pooled"))).alias("_who"))
     per = both.groupBy(*keys, F.col("_who").alias("who"), week).agg(F.sum("plays").alias("_p"), F.sum("success").alias("_s"), F.sum("value").alias("_v"))
     w = Window.partitionBy(*keys, "who").orderBy(week).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(*keys, "who", week, F.sum("_p").over(w).alias("plays"), (F.sum("_s").over(w) / F.sum("_p").over(w)).alias("success_rate"),
-                      (F.sum("_v").over(w) / F.sum("_p").over(w)).alias("value_per_play"))
+    return per.select(*keys, "who", week, F.sum("_p").over(w).alias("plays"), F.try_divide(F.sum("_s").over(w), F.sum("_p").over(w)).alias("success_rate"),
+                      F.try_divide(F.sum("_v").over(w), F.sum("_p").over(w)).alias("value_per_play"))
 
 
 def net_success(rows: DataFrame, finals: DataFrame) -> DataFrame:

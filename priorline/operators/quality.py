@@ -193,7 +193,7 @@ def profile(rows: DataFrame, columns: list[str]) -> DataFrame:
 def condition_number(rows: DataFrame, a: str, b: str) -> DataFrame:
     """DQ-19: condition number of the two-column correlation matrix."""
     r = F.abs(F.corr(a, b))
-    return rows.agg(((1 + r) / (1 - r)).alias("condition"))
+    return rows.agg(F.try_divide(1 + r, 1 - r).alias("condition"))
 
 
 def masked_parity(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], allowed: dict[str, Column], tolerance: float = 0.0) -> DataFrame:

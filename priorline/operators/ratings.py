@@ -196,7 +196,7 @@ def partial_pool(states: DataFrame, targets: DataFrame, keys: list[str], time: s
     both = s.join(probes.withColumn("_probe", F.lit(1)), [*keys, time], "full_outer")
     before = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
     w = both.withColumns({c: f(c).over(before) for c, f in (("_s", F.sum), ("_n", F.sum), ("_sd", F.max))}).where("_probe = 1")
-    up = analytic_update(F.lit(0.0), F.lit(1.0), F.col("_s") / F.col("_n"), F.col("_n") * exposure_per_state, 1.0)
+    up = analytic_update(F.lit(0.0), F.lit(1.0), F.try_divide("_s", "_n"), F.col("_n") * exposure_per_state, 1.0)
     w = w.withColumns({"pool_mean": up["mean"], "_pv": up["variance"]})
     return w.select(*keys, time, F.coalesce("pool_mean", F.lit(0.0)).alias("pool_mean"),
                     F.when(F.col("_n") > 0, F.greatest(F.sqrt("_pv"), F.col("_sd"))).otherwise(1.0).alias("pool_sd"),
@@ -215,7 +215,7 @@ def replay_pregame(targets: DataFrame, evidence: DataFrame, keys: list[str], k:
     upto = Window.partitionBy(*keys).orderBy("usable_from").rowsBetween(Window.unboundedPreceding, 0)
     e = e.select(*keys, "usable_from", *[F.sum(c).over(upto).alias(c) for c in ("_e", "_ez", "_c")])
     out = latest_state(targets, e, keys, "kickoff", "usable_from", ["_e", "_ez", "_c"])
-    up = analytic_update(F.lit(prior_mean), F.lit(prior_var), F.col("_ez") / F.col("_e"), F.coalesce("_e", F.lit(0.0)), k)
+    up = analytic_update(F.lit(prior_mean), F.lit(prior_var), F.try_divide("_ez", "_e"), F.coalesce("_e", F.lit(0.0)), k)
     return out.withColumns({"mean": up["mean"], "variance": up["variance"], "exposure": F.coalesce("_e", F.lit(0.0)),
                             "evidence_games": F.coalesce("_c", F.lit(0))}).drop("_e", "_ez", "_c", "matched_usable_from")
 

@@ -42,7 +42,7 @@ def elite_vectors(ratings: DataFrame, keys: list[str], top: int) -> DataFrame:
     whole = ratings.groupBy(*keys).agg(F.avg("off").alias("avg_off"), F.avg("dfn").alias("avg_dfn"), F.count("*").alias("teams"))
     out = ratings.join(sums, keys).join(member, [*keys, "team"], "left").join(whole, keys)
     for c in ("off", "dfn"):
-        out = out.withColumn(f"elite_{c}", F.when(F.col("_in"), (F.col(f"_{c}_more") - F.col(c)) / (F.col("_n") - 1)).otherwise(
+        out = out.withColumn(f"elite_{c}", F.when(F.col("_in"), F.try_divide(F.col(f"_{c}_more") - F.col(c), F.col("_n") - 1)).otherwise(
             F.col(f"_{c}_top") / F.least(F.col("_n"), F.lit(top))))
     return out.select(*keys, "team", "overall", "off", "dfn", "elite_off", "elite_dfn", "avg_off", "avg_dfn", "teams")
 

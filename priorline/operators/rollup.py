@@ -202,7 +202,7 @@ def stream_points(plays: DataFrame) -> DataFrame:
 
 def weighted_center(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """AG-18: exposure-weighted mean."""
-    return rows.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))).alias("center"))
+    return rows.groupBy(*keys).agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))).alias("center"))
 
 
 def earlier_scale(values: DataFrame, targets: DataFrame, keys: list[str], value: str, floor: float = 1e-6) -> DataFrame:

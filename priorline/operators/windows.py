@@ -78,7 +78,7 @@ def elite_reference(df: DataFrame, keys: list[str], value: str, tie: str, top: i
                                    F.count("*").alias("_n"))
     member = head.where(F.col("_rn") <= top).select(*keys, tie, F.lit(True).alias("_in"))
     out = df.join(sums, keys, "left").join(member, [*keys, tie], "left")
-    ref = F.when(F.col("_in"), (F.col("_more") - F.col(value)) / (F.col("_n") - 1)).otherwise(
+    ref = F.when(F.col("_in"), F.try_divide(F.col("_more") - F.col(value), F.col("_n") - 1)).otherwise(
         F.col("_top") / F.least(F.col("_n"), F.lit(top)))
     return out.withColumn("reference", ref).drop("_top", "_more", "_n", "_in")
 
@@ -87,7 +87,7 @@ def cumulative_snapshot(df: DataFrame, keys: list[str], week: str, num: str, den
     """WN-12: running sum of the numerator over the running sum of the denominator, by week."""
     per = df.groupBy(*keys, week).agg(F.sum(num).alias("_n"), F.sum(den).alias("_d"), F.count("*").alias("_c"))
     upto = Window.partitionBy(*keys).orderBy(week).rowsBetween(START, 0)
-    return per.select(*keys, week, (F.sum("_n").over(upto) / F.sum("_d").over(upto)).alias("value"),
+    return per.select(*keys, week, F.try_divide(F.sum("_n").over(upto), F.sum("_d").over(upto)).alias("value"),
                       F.sum("_d").over(upto).alias("exposure"), F.sum("_c").over(upto).alias("contributors"))
 
 
@@ -96,7 +96,7 @@ def half_life_mean(df: DataFrame, keys: list[str], order: list[str], num: str, d
     age = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])) - 1
     w = F.pow(F.lit(0.5), F.col("_age") / half_life)
     return df.withColumn("_age", age).groupBy(*keys).agg(
-        (F.sum(F.col(num) * w) / F.sum(F.col(den) * w)).alias("value"), F.sum(F.col(den) * w).alias("exposure"), F.count("*").alias("games"))
+        F.try_divide(F.sum(F.col(num) * w), F.sum(F.col(den) * w)).alias("value"), F.sum(F.col(den) * w).alias("exposure"), F.count("*").alias("games"))
 
 
 def shrunk_prior(df: DataFrame, keys: list[str], time: str, value: str, equivalent: float, season: str = "season") -> DataFrame:
@@ -152,15 +152,24 @@ def order_violations(df: DataFrame, group: list[str], slice_by: Column | str, or
 def first_inclusion(games: DataFrame, hours: int = 6) -> DataFrame:
     """WN-21: the first later-week game at which a source game is evidence.
 
-    Per season, the distinct (kickoff, week) slots are few; each source time is matched to the
-    first slot at or after its availability whose week is later, on slot rows, then joined back.
+    Only distinct (week, kickoff) slots are compared, never games.  A later week that starts after the
+    source is available gives its first kickoff, so most of the work is on the week table; slots are
+    looked into only for weeks that straddle the availability time.
     """
     slots = games.groupBy("season", "week", "kickoff").agg(F.min("game_id").alias("game_id"))
-    weeks = games.groupBy("season", "week").agg(F.max("kickoff").alias("_last"))
-    src = games.select("season", F.col("week").alias("_w"), F.col("kickoff").alias("_k")).distinct()
+    weeks = slots.groupBy("season", "week").agg(F.min("kickoff").alias("_first"), F.max("kickoff").alias("_last"))
+    src = slots.select("season", F.col("week").alias("_w"), F.col("kickoff").alias("_k"))
     src = src.withColumn("_at", F.col("_k") + F.expr(f"INTERVAL {hours} HOURS"))
-    open_weeks = src.join(weeks, "season").where((F.col("week") > F.col("_w")) & (F.col("_last") >= F.col("_at")))
-    first = open_weeks.join(slots, ["season", "week"]).where(F.col("kickoff") >= F.col("_at")).groupBy("season", "_w", "_k").agg(
-        F.min(F.struct("kickoff", "game_id")).alias("_b"))
-    out = games.select("season", "game_id", F.col("week").alias("_w"), F.col("kickoff").alias("_k")).join(first, ["season", "_w", "_k"], "left")
-    return out.select("season", "game_id", F.col("_b.game_id").alias("boundary_game_id"), F.col("_b.kickoff").alias("boundary_kickoff"))
+    later = src.join(weeks, "season").where((F.col("week") > F.col("_w")) & (F.col("_last") >= F.col("_at")))
+    whole = F.col("_first") >= F.col("_at")
+    best = later.groupBy("season", "_w", "_k", "_at").agg(
+        F.min(F.when(whole, F.col("_first"))).alias("_b"), F.collect_set(F.when(~whole, F.col("week"))).alias("_open"))
+    # weeks that overlap the availability time are at most a few, bounded by the calendar
+    inside = best.select("season", "_w", "_k", "_at", F.explode("_open").alias("week")).join(slots, ["season", "week"]).where(
+        F.col("kickoff") >= F.col("_at")).groupBy("season", "_w", "_k").agg(F.min("kickoff").alias("_i"))
+    best = best.join(inside, ["season", "_w", "_k"], "left").select(
+        "season", "_w", "_k", F.least("_b", "_i").alias("boundary_kickoff")).where("boundary_kickoff IS NOT NULL")
+    owner = best.join(slots.withColumnRenamed("kickoff", "boundary_kickoff"), ["season", "boundary_kickoff"]).where(
+        F.col("week") > F.col("_w")).groupBy("season", "_w", "_k", "boundary_kickoff").agg(F.min("game_id").alias("boundary_game_id"))
+    out = games.select("season", "game_id", F.col("week").alias("_w"), F.col("kickoff").alias("_k")).join(owner, ["season", "_w", "_k"], "left")
+    return out.select("season", "game_id", "boundary_game_id", "boundary_kickoff")

@@ -82,8 +82,8 @@ CUT_SQL = """cutoffs AS (SELECT season, week AS as_of_week, min(kickoff) AS cuto
 def _weekly_edges(d, weeks=(10, 20, 30, 40)):
     cut = d.games.where(F.col("week").isin(*weeks)).groupBy("season", F.col("week").alias("as_of_week")).agg(F.min("kickoff").alias("cutoff"))
     ev = d.exposures.withColumn("available", F.col("kickoff") + F.expr("INTERVAL 6 HOURS"))
-    cum = J.cutoff_totals(ev, cut, ["offense", "defense"], {"num": F.col("num"), "den": F.col("den")})
-    return A.pair_edges(cum, ["season", "as_of_week"]), ev, cut
+    cum = J.cutoff_cells(ev, cut, ["offense", "defense"], {"num": F.col("num"), "den": F.col("den")})
+    return A.role_edges(cum.withColumn("metric", F.lit("value")), ["season", "as_of_week"]), ev, cut
 
 
 @query("it3_pregame_snapshots", uses="exposures games", sql=f"""WITH {CUT_SQL}, {passes_sql('ed', 'season as_of_week', 4)},
