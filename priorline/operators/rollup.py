@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import plays as P
 from ..functions import playtypes as T
 from .joins import next_start
+from .scan import exact_quantiles
 
 ratio1 = lambda num, den: num / F.when(den > 0, den).otherwise(F.lit(1))  # zero denominators count as one
 
@@ -235,13 +236,12 @@ def by_group_and_pooled(rows: DataFrame, group: str, keys: list[str], aggs: list
 
 def quantile_edges(rows: DataFrame, keys: list[str], value: str, parts: int) -> DataFrame:
     """AG-21: exact linear-interpolated edges at 1/parts, 2/parts, ..."""
-    cuts = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    return rows.groupBy(*keys).agg(F.percentile(value, cuts).alias("edges"))
+    return exact_quantiles(rows, keys, value, [i / parts for i in range(1, parts)])
 
 
 def iqr_outliers(rows: DataFrame, keys: list[str], value: str, k: float = 1.5) -> DataFrame:
     """AG-25: rows outside the quartiles by k interquartile ranges."""
-    q = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    q = exact_quantiles(rows, keys, value, [0.25, 0.75], "_q")
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     v = F.col(value)
     return rows.join(q, keys).where((v < lo - k * (hi - lo)) | (v > hi + k * (hi - lo))).drop("_q")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import stage_table
 
 START = Window.unboundedPreceding
 
@@ -26,7 +26,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column |
     """
     slice_by = F.expr(slice_by) if isinstance(slice_by, str) else slice_by
     base = df.withColumns({"_slice": slice_by, **{f"_x_{n}": c for n, (_, c) in specs.items()}})
-    base = cut_lineage(base) if materialize else base
+    base = stage_table(base) if materialize else base
     total, window = {}, {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
     position = F.struct(*order)
     for name, (op, _) in specs.items():
@@ -98,3 +98,29 @@ def competition_rank(df: DataFrame, keys: list[str], value: Column, name: str =
     if cohort:
         out = out.withColumn(cohort, F.when(F.col("_v").isNotNull(), F.col("_size")))
     return out.drop("_v", "_cuts", "_slice", "_above", "_size")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float], name: str = "edges", slices: int = 64) -> DataFrame:
+    """Exact linear-interpolated quantiles per key, as an array in the order of ``probabilities``.
+
+    The built-in exact percentile keeps every distinct value of a key in one task.  Here values are cut
+    into slices at approximate percentiles and counted; only the slices that hold a wanted rank are
+    looked into, and they are windowed by (key, slice).
+    """
+    cuts = [i / slices for i in range(1, slices)]
+    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    bounds = base.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*map(F.lit, cuts)), 1000).alias("_cuts"))
+    cut = base.join(bounds, keys).withColumn("_slice", F.size(F.filter("_cuts", lambda b: b < F.col("_v")))).drop("_cuts")
+    counts = cut.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys)
+    counts = counts.select(*keys, "_slice", "_n", F.coalesce(F.sum("_n").over(w.orderBy("_slice").rowsBetween(START, -1)), F.lit(0)).alias("_below"),
+                           F.sum("_n").over(w).alias("_total"))
+    ranks = F.array(*[F.struct(F.lit(i).alias("_i"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("_h")) for i, p in enumerate(probabilities)])
+    wanted = counts.select("*", F.inline(ranks)).select("*", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))).alias("_rank")).where(
+        (F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_n")))
+    inside = cut.join(wanted.select(*keys, "_slice").distinct(), [*keys, "_slice"], "left_semi").withColumn(
+        "_p", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy("_v")) - 1)
+    hit = wanted.withColumn("_p", F.col("_rank") - F.col("_below")).join(inside, [*keys, "_slice", "_p"])
+    per = hit.groupBy(*keys, "_i", "_h").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h"))
+    return per.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", q.alias("q")))), lambda x: x["q"]).alias(name))

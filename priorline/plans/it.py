@@ -342,7 +342,8 @@ def _(d):
 def _repair(d, rule):
     e, _p, finals = _ledger_inputs(d)
     s = L.score_stream(e).withColumn("is_scoring", F.col("scoring") > 0).withColumn("quarter", F.col("quarter"))
-    return L.repair_scores(s, finals, ["ts", "play_id"], "to_date(ts)", rule)
+    # a month of a game is one slice here; slices should hold thousands of rows, not a handful
+    return L.repair_scores(s, finals, ["ts", "play_id"], "to_date(ts)" if rule in ("R1", "R4") else "trunc(to_date(ts), 'MM')", rule)
 
 
 @query("it21_repair_envelope", uses="plays", sql=f"""{LEDGER_SQL}

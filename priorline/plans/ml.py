@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import plays as P, regimes
 from ..operators import evaluate as E, features as X, forecast as M, joins as J, rollup as R, windows as W
+from ..operators.scan import exact_quantiles
 from .ag import DRIVES_SQL, ENRICHED, enriched
 from .fn import ZONES, sql_cdf
 from .registry import q6, query, r6
@@ -179,7 +180,8 @@ def _(d):
       CASE WHEN corr(line, actual)<0 THEN 'home_signed_line' ELSE 'margin_signed_line' END AS sign_rule FROM graded GROUP BY 1, 2""")
 def _(d):
     edge = F.col("prediction") - F.col("line")
-    out = d.graded.groupBy("target", "stage").agg(F.count("*").alias("n"), F.corr("line", "actual").alias("c"), F.percentile(edge, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+    out = d.graded.groupBy("target", "stage").agg(F.count("*").alias("n"), F.corr("line", "actual").alias("c"))
+    out = out.join(exact_quantiles(d.graded.withColumn("edge", edge), ["target", "stage"], "edge", [0.25, 0.5, 0.75], "q"), ["target", "stage"])
     return out.select("target", "stage", "n", r6("c").alias("line_corr"), *[r6(F.col("q")[i]).alias(n) for i, n in enumerate(("edge_q1", "edge_median", "edge_q3"))],
                       F.when(F.col("c") < 0, "home_signed_line").otherwise("margin_signed_line").alias("sign_rule"))
 

@@ -51,11 +51,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and go on from there.
+    """Checkpoint a small iterated table to the shared folder; survives lost executors."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint(eager=True)
 
-    Survives lost executors, and unlike an RDD checkpoint the next reader gets columnar files: it
-    reads only the columns it needs, and the planner knows the real size of the table.
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write a large intermediate table to the shared folder and read it from there.
+
+    Unlike a checkpoint this is columnar: later readers take only the columns they need, and the
+    planner knows the real size of the table.
     """
-    path = scratch_path(df.sparkSession, "cut")
+    path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from priorline.operators import quality as Q, ratings as R
 from priorline.operators.guards import ContractError
-from priorline.session import cut_lineage, scratch_path
+from priorline.session import cut_lineage, scratch_path, stage_table
 from priorline.sources import lake
 from priorline.streaming import ops as S
 
@@ -41,8 +41,8 @@ def test_append_only_refuses_changes(spark):
 
 def test_cut_lineage_keeps_rows_and_schema(spark):
     df = spark.range(10).select("id", F.array(F.col("id")).alias("a"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("t"))
-    out = cut_lineage(df)
-    assert out.schema.simpleString() == df.schema.simpleString() and out.count() == 10
+    for out in (cut_lineage(df), stage_table(df)):
+        assert out.schema.simpleString() == df.schema.simpleString() and out.count() == 10
 
 
 def test_contract_refuses_missing_column(spark):
