@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics as M, registries as X
+from ..operators import metrics as M, quality as Q, registries as X
 from .registry import q6, query, r6
 
 
@@ -47,3 +47,12 @@ def _(d):
 def _(d):
     lines = d.documents.select("lang", F.explode(F.split("text", "\n")).alias("line"))
     return lines.groupBy("lang").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("characters"))
+
+
+@query("ux4_check_registry", uses="graded", sql="""
+    SELECT 'wide_sigma' AS "check", 'warn' AS severity, CASE WHEN count(*)=0 THEN 'pass' ELSE 'fail' END AS status, count(*) AS findings FROM graded WHERE sigma>=19
+    UNION ALL SELECT 'known_target', 'required', CASE WHEN count(*)=0 THEN 'pass' ELSE 'fail' END, count(*) FROM graded WHERE target NOT IN ('margin', 'total')""")
+def _(d):
+    own = {"wide_sigma": ("forecast", "warn", lambda t: t["graded"].where("sigma >= 19"), ["graded"]),
+           "known_target": ("forecast", "required", lambda t: t["graded"].where("target NOT IN ('margin', 'total')"), ["graded"])}
+    return Q.run_stage("forecast", {"graded": d.graded}, own)

@@ -270,3 +270,12 @@ def _(d):
     b = d.games.select("season", F.col("away").alias("team"))
     tag = lambda df, name: df.withColumn("place", F.lit(name))
     return tag(a.intersect(b), "both").union(tag(a.subtract(b), "home_only")).union(tag(b.subtract(a), "away_only"))
+
+
+@query("wn11_last_k_means", uses="sides", sql="""
+    WITH r AS (SELECT season, team, points_for AS x, row_number() OVER (PARTITION BY season, team ORDER BY kickoff DESC, game_id DESC, side DESC) AS rn FROM sides)
+    SELECT season, team, """ + ", ".join(q6(f"avg(x) FILTER (rn<={k})") + f" AS last_{k}" for k in (1, 2, 3)) + " FROM r GROUP BY 1, 2")
+def _(d):
+    w = Window.partitionBy("season", "team").orderBy(F.desc("kickoff"), F.desc("game_id"), F.desc("side"))
+    recent = d.sides.withColumn("rn", F.row_number().over(w)).where("rn <= 3")
+    return recent.groupBy("season", "team").agg(*[r6(F.avg(F.when(F.col("rn") <= k, F.col("points_for")))).alias(f"last_{k}") for k in (1, 2, 3)])
