@@ -29,7 +29,7 @@ def arrow_texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
     """``fn(record batch) -> record batch or None`` over the partitions of ``df``, one Arrow batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,3 +127,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = F.least(F.col("base") + F.col("take"), F.lit(max_copies)).cast("int")
     return whole.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"),
                         F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def take_copies(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` as mixed: each row as often as the mix has copies of its document. All columns kept."""
+    copies = mix.where("copies > 0").groupBy(F.col("doc_id").alias("_mixed")).agg(F.max("copies").alias("_copies"))
+    rows = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mixed")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_mixed", "_copies", "_copy")

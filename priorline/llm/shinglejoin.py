@@ -229,3 +229,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = stage_table(member.select("doc_id", "n_shingles", "_c"))
     smallest = member.where("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("_least"))
     return member.join(smallest, "_c", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, the one that names it; repeated rows of it are one document. All columns kept."""
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").withColumn("_text_hash", F.xxhash64(text_col))
+    return rows.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
