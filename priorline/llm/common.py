@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import pin_runtime
+from ..session import pin_runtime, scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 512  # rows of whole texts in one Arrow batch; bounds a Python worker's memory
@@ -18,6 +18,28 @@ BATCH_ROWS = 512  # rows of whole texts in one Arrow batch; bounds a Python work
 def pin(spark: SparkSession) -> None:
     pin_runtime(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # a step's shuffle files go when the step's table is written; a lost one is shuffled anew
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+class Scratch:
+    """Written intermediate tables in the shared folder, removed once what was made of them is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, "llm")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def release(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            _, path = self.paths.pop(id(frame))
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def text_of(name: str) -> Column:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage_table
-from .common import WORD, text_of
+from .common import WORD, Scratch, text_of
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -88,15 +87,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     over many groups, and a group is bounded.  Rows without words and null texts have size 0 and take 0 words; a null source is a source;
     rows with the same id are rounded apart from each other; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    sizes = stage_table(document_sizes(docs, id_col, text_col, source_col))
+    scratch = Scratch(docs.sparkSession)
+    sizes = scratch.stage(document_sizes(docs, id_col, text_col, source_col))
     targets = source_targets(sizes, weights, max_copies)
     rate = F.col("target") / F.col("source_size")
     rows = sizes.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left") \
         .select("s.doc_id", "s.source", "s.size", "t.source_size", "t.target")
     rows = rows.withColumn("base", F.when(F.col("source_size") > 0, F.floor(rate + 1e-12)).otherwise(0).cast("int"))
     rows = rows.withColumn("p", F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.greatest(rate - F.col("base"), F.lit(0.0))).otherwise(0.0))
-    rows = stage_table(rows)
+    rows = scratch.stage(rows)
+    scratch.release(sizes)
     split = (F.col("p") > 1e-12) & (F.col("p") < 1 - 1e-12)
     plain = rows.where(~split).withColumn("take", F.when(F.col("p") > 0.5, 1).otherwise(0))
     columns = ["doc_id", "source", "size", "source_size", "target", "base"]
@@ -112,7 +112,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         item = F.struct((-F.col("row.size")).alias("order"), F.col("row.doc_id").alias("id"), F.col("row").alias("row"), F.col("p").alias("p"))
         folded = left.withColumn("_g", groups).withColumn("_b", bucket).groupBy("source", "_g", "_b").agg(
             F.sort_array(F.collect_list(item)).alias("items")).select("source", F.col("_g").alias("_n"), _fold(F.col("items"), level, seed).alias("f"))
-        folded = stage_table(folded)
+        folded = scratch.stage(folded)
         out.append(folded.select(F.explode("f.done").alias("d")).select("d.row.*", F.col("d.take").cast("int").alias("take")))
         left = folded.select("source", "_n", F.col("f.rest.p").alias("p"), F.col("f.rest.row").alias("row"))
         most = -(-most // fan) if most > 1 else 0

@@ -12,8 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage_table
-from .common import arrow_texts, map_batches, rank_rows, type_of
+from .common import Scratch, arrow_texts, map_batches, rank_rows, type_of
 
 CAPACITY = 2048
 GRAIN = 32
@@ -174,7 +173,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     repeated rows are packed as often as they occur; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces = stage_table(pieces_of(docs, path, id_col, text_col, capacity, grain, end_id))
+    pieces = Scratch(spark).stage(pieces_of(docs, path, id_col, text_col, capacity, grain, end_id))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity / grain + grain rows at most
     places = [(size, [list(p) for p in rows]) for size, rows in layout(plan_sequences(histogram, capacity)).items()]
     table = spark.createDataFrame(places, "length long, places array<array<long>>")  # fixed size, see above

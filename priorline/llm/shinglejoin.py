@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import stage_table
-from .common import arrow_texts, map_batches, mix64, type_of
+from .common import Scratch, arrow_texts, map_batches, mix64, type_of
 
 SKETCH_BITS = 20  # counters of the document-frequency sketch; 4 MB, whatever the input
 SLICES = 64
@@ -49,6 +48,11 @@ def shingles(text: str, n: int) -> np.ndarray:
     return np.unique(value)
 
 
+def class_of(tokens: np.ndarray) -> int:
+    """The name of a set of shingles: equal sets have equal names."""
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+
+
 def needed(size: int, percent: int) -> int:
     """Shingles that a partner must share at least: the smallest whole number of at least percent of ``size``."""
     return -(-percent * size // 100)
@@ -101,20 +105,25 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
     return np.clip(np.ceil(np.log2(np.maximum(total, 1) / max(total.mean(), 1))), 0, 255).astype(np.uint8)
 
 
-def _refine(rows: DataFrame, column: str) -> DataFrame:
-    """(cls, part): rows of a part that share a token of ``column``, directly or through others, stay together."""
-    tokens = rows.select("part", "cls", F.explode(column).alias("tok"))
-    centres = tokens.groupBy("part", "tok").agg(F.min("cls").alias("src"), F.max("cls").alias("_last")).where("src <> _last")
-    edges = stage_table(tokens.join(centres, ["part", "tok"]).where("cls <> src").select("src", F.col("cls").alias("dst")).distinct())
+def _components(scratch: Scratch, edges: DataFrame, node: str, component: str) -> DataFrame:
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return connected_components(nodes, edges).select(F.col("node").alias("cls"), F.col("component").alias("part"))
+    out = scratch.stage(connected_components(nodes, edges).select(F.col("node").alias(node), F.col("component").alias(component)))
+    scratch.release(edges)
+    return out
+
+
+def _refine(scratch: Scratch, tokens: DataFrame) -> DataFrame:
+    """(cls, part) from (part, cls, tok): rows of a part that share a token, directly or through others, stay together."""
+    centres = tokens.groupBy("part", "tok").agg(F.min("cls").alias("src"), F.max("cls").alias("_last")).where("src <> _last").drop("_last")
+    edges = scratch.stage(tokens.join(centres, ["part", "tok"]).where("cls <> src").select("src", F.col("cls").alias("dst")).distinct())
+    return _components(scratch, edges, "cls", "part")
 
 
 def _longs(values: np.ndarray) -> list[int]:
     return values.view(np.int64).tolist()
 
 
-def _verify(percent: int, cross: bool):
+def _verify(percent: int, sketch):
     """Links inside one block pair, as a spanning forest: pairs that pass all filters are checked unless they are joined already."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -124,11 +133,11 @@ def _verify(percent: int, cross: bool):
         m, sizes = len(names), np.array([len(s) for s in sets])
         # sizes that can reach the threshold at all, and each pair once
         ok = np.triu(100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes), 1)
-        if cross and sides.max() > sides.min():
+        if sides.max() > sides.min():
             ok &= sides[:, None] != sides[None, :]
         for order in range(ORDERS):
-            parts = table.column(f"p{order}").to_pylist()
-            flat = np.concatenate([np.asarray(p, np.int64) for p in parts])
+            parts = [prefix(s, sketch.value, order, percent) for s in sets]
+            flat = np.concatenate(parts)
             owner = np.repeat(np.arange(m), [len(p) for p in parts])
             by = np.argsort(flat, kind="stable")
             flat, owner = flat[by], owner[by]
@@ -188,45 +197,51 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for text in arrow_texts(batch.column(1)):
             tokens = shingles(text, n)
             sizes.append(len(tokens))
-            names.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None)
+            names.append(class_of(tokens) if len(tokens) else None)
             firsts.append(_longs(prefix(tokens, shared.value, 0, percent)) if len(tokens) else [])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
                                           ["doc_id", "n_shingles", "cls", "p0"])
 
-    keyed = stage_table(map_batches(base, keys, f"doc_id {id_type}, n_shingles long, cls long, p0 array<long>"))
-    parts = _refine(keyed.where("cls is not null").select(F.lit(0).alias("part"), "cls", "p0"), "p0")
-    picks = keyed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("_id")).join(parts, "cls")
+    scratch = Scratch(spark)
+    keyed = scratch.stage(map_batches(base, keys, f"doc_id {id_type}, n_shingles long, cls long, p0 array<long>"))
+    parts = _refine(scratch, keyed.where("cls is not null").select(F.lit(0).alias("part"), "cls", F.explode("p0").alias("tok")))
+    picks = keyed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("_id")).join(parts.select("cls"), "cls")
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows, whole, orders = [], [], [[] for _ in range(ORDERS)]
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, whole = [], []
         for row, (text, name) in enumerate(zip(arrow_texts(batch.column(0)), batch.column(1).to_pylist())):
             tokens = shingles(text, n)
-            if len(tokens) and xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) == name:  # a repeated id may have other texts
+            if len(tokens) and class_of(tokens) == name:  # a repeated id may have other texts
                 rows.append(row)
                 whole.append(tokens.tobytes())
-                for k in range(ORDERS):
-                    orders[k].append(_longs(prefix(tokens, shared.value, k, percent)))
-        take = pa.array(rows, pa.int32())
-        return pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(whole, pa.binary()), *[pa.array(o, pa.list_(pa.int64())) for o in orders]],
-                                          ["cls", "part", "tokens", *[f"p{k}" for k in range(ORDERS)]])
-
-    texts = base.join(picks, base["doc_id"].eqNullSafe(picks["_id"])).select("text", "cls", "part")
-    live = stage_table(map_batches(texts, sets, "cls long, part long, tokens binary, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))))
-    for k in range(1, ORDERS):
-        parts = stage_table(_refine(live.select("cls", f"p{k}").join(parts, "cls"), f"p{k}"))
-    live = live.drop("part").join(parts, "cls")
+        return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows, pa.int32())), pa.array(whole, pa.binary())], ["cls", "tokens"])
+
+    def tokens_of(order: int):
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            first = [prefix(np.frombuffer(b, np.uint64), shared.value, order, percent) for b in batch.column(2).to_pylist()]
+            take = pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first]), pa.int32())
+            return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(first).view(np.int64), pa.int64())], ["part", "cls", "tok"])
+
+        return run
+
+    texts = base.join(picks, base["doc_id"].eqNullSafe(picks["_id"])).select("text", "cls")
+    live = scratch.stage(map_batches(texts, sets, "cls long, tokens binary"))
+    for order in range(1, ORDERS):
+        finer = _refine(scratch, map_batches(live.join(parts, "cls").select("part", "cls", "tokens"), tokens_of(order), "part long, cls long, tok long"))
+        scratch.release(parts)
+        parts = finer
     blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
-    counted = live.join(parts.groupBy("part").agg(F.count("*").alias("_m")), "part")
+    counted = live.join(parts.join(parts.groupBy("part").agg(F.count("*").alias("_m")), "part"), "cls")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, own).alias("lo"), F.greatest(b, own).alias("hi")))
     dealt = counted.withColumn("_own", own).withColumn("_pair", F.explode(pairs)).select(
-        "part", F.col("_pair.lo").alias("lo"), F.col("_pair.hi").alias("hi"), F.when(F.col("_own") == F.col("_pair.lo"), 0).otherwise(1).alias("side"),
-        "cls", "tokens", *[f"p{k}" for k in range(ORDERS)])
-    links = stage_table(dealt.groupBy("part", "lo", "hi").applyInArrow(_verify(percent, True), "src long, dst long"))
-    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
-    joined = connected_components(nodes, links).select(F.col("node").alias("cls"), "component")
+        "part", F.col("_pair.lo").alias("lo"), F.col("_pair.hi").alias("hi"), F.when(F.col("_own") == F.col("_pair.lo"), 0).otherwise(1).alias("side"), "cls", "tokens")
+    links = scratch.stage(dealt.groupBy("part", "lo", "hi").applyInArrow(_verify(percent, shared), "src long, dst long"))
+    scratch.release(live, parts)
+    joined = _components(scratch, links, "cls", "component")
     member = keyed.drop("p0").join(joined, "cls", "left").withColumn("_c", F.coalesce("component", "cls"))
-    member = stage_table(member.select("doc_id", "n_shingles", "_c"))
+    member = scratch.stage(member.select("doc_id", "n_shingles", "_c"))
+    scratch.release(keyed, joined)
     smallest = member.where("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("_least"))
     return member.join(smallest, "_c", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
