@@ -30,6 +30,9 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
                 "You can obtain one at https://mozilla.org/MPL/2.0/."],
 }
+# fixed values: words too common in any text to look for first
+COMMON = {"a", "and", "any", "at", "be", "by", "can", "do", "for", "from", "if", "in", "is", "it", "may", "not", "of", "on", "one", "or", "so", "that", "the",
+          "they", "this", "to", "use", "was", "with", "you", "0", "2", "3", "4", "v"}
 
 
 def normal_words(text: str) -> list[str]:
@@ -67,14 +70,15 @@ def anchors(templates: dict[str, list[str]], threshold: float) -> list[str]:
     spare = {t: int(len(b) * (1 - threshold / (2 - threshold)) + 1e-9) + 1 for _, t, b in rows}
     hit = lambda words, b: sum(any(w in g.split() for w in words) for g in b)
     while any(hit(chosen, b) < spare[t] for _, t, b in rows):
-        words = sorted({w for _, t, b in rows if hit(chosen, b) < spare[t] for g in b for w in g.split()})
-        chosen.append(max(words, key=lambda w: (sum(min(hit([*chosen, w], b), spare[t]) for _, t, b in rows), len(w), w)))
+        short = [(t, b) for _, t, b in rows if hit(chosen, b) < spare[t]]
+        words = sorted({w for _, b in short for g in b for w in g.split()})
+        chosen.append(max(words, key=lambda w: (w not in COMMON and sum(min(hit([*chosen, w], b), spare[t]) - hit(chosen, b) for t, b in short), len(w), w)))
     return chosen
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None,
                   threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, license, dice, n_matches): one row per document and licence that one of its passages is alike to.
+    """(doc_id, license, dice, n_matches): one row per document and licence that is the most alike to one of its passages.
 
     Passages are the lines of the whole text and the sentences of its lines; ``dice`` is the best one's, ``n_matches`` counts the
     alike passages.  A passage can be alike only if it holds an anchor word and its bigrams number between t / (2 - t) and (2 - t) / t
@@ -100,5 +104,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = found.join(F.broadcast(table), "gram").where((F.col("n") >= low * F.col("m") - 1e-9) & (F.col("n") <= high * F.col("m") + 1e-9))  # a fixed table
     shared = found.groupBy("doc_id", "unit", "license", "template", "n", "m").agg(F.countDistinct("gram").alias("both"))
     alike = shared.withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("m"))).where(F.col("dice") >= threshold - 1e-9)
-    per = alike.groupBy("doc_id", "unit", "license").agg(F.max("dice").alias("dice"))
+    per = alike.groupBy("doc_id", "unit").agg(F.max(F.struct("dice", "license")).alias("best")).select("doc_id", "best.*")
     return per.groupBy("doc_id", "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count("*").alias("n_matches"))

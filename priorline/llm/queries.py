@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import Tables
-from . import linecrf, mixing, packing, secretscan, shinglejoin
+from . import flatgraph, htmltext, licenses, linecrf, lzprint, mixing, packing, secretscan, shinglejoin, triecount
 from .common import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,25 @@ COMPONENTS = """
 """
 
 
+@query("op1_flat_graph_neardup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), x -> x * x))) AS size FROM embeddings),
+linked(a, b) AS (
+  SELECT a.vec_id, b.vec_id FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.size > 0 AND b.size > 0 AND isfinite(a.size) AND isfinite(b.size) AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9)""" + COMPONENTS + """,
+n AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(l.b, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(l.b, v.vec_id)) AS kept
+FROM v LEFT JOIN least l ON l.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+""")
+def _neardup(spark: SparkSession, t: Tables) -> DataFrame:
+    return flatgraph.near_vectors(t.embeddings)
+
+
+@query("op2_lempel_ziv_fingerprint")
+def _fingerprint(spark: SparkSession, t: Tables) -> DataFrame:
+    return lzprint.compare_edits(t.documents)
+
+
 @query("op3_cutting_stock_packing")
 def _packing(spark: SparkSession, t: Tables) -> DataFrame:
     return packing.pack(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
@@ -61,11 +80,46 @@ def _join(spark: SparkSession, t: Tables) -> DataFrame:
     return shinglejoin.near_groups(t.documents, n=3, percent=90)
 
 
+@query("op5_text_to_tag_extraction")
+def _extraction(spark: SparkSession, t: Tables) -> DataFrame:
+    return htmltext.extract_pages(t.pages)
+
+
 @query("op6_line_crf_quality")
 def _quality(spark: SparkSession, t: Tables) -> DataFrame:
     return linecrf.score_quality(t.documents, linecrf.fit_quality(t.documents, t.labels))
 
 
+def _license_sql() -> str:
+    values = ", ".join(f"('{name}', '{key}', {len(grams)}, '{gram}')" for name, key, grams in licenses.template_rows(licenses.TEMPLATES) for gram in grams)
+    return rf"""
+WITH templates(license, template, m, gram) AS (VALUES {values}),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+passages AS (
+  SELECT DISTINCT doc_id, unnest(list_distinct([line] || string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) AS passage FROM lines
+  WHERE regexp_matches(line, '[Ll][Ii][Cc][Ee][Nn]|[Pp]ermi|[Rr]edis')),
+words AS (SELECT doc_id, passage, list_filter(string_split_regex(lower(passage), '[^\p{{L}}\p{{N}}]+'), x -> x <> '') AS w FROM passages),
+grams AS (
+  SELECT doc_id, passage, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS g FROM words),
+items AS (SELECT doc_id, passage, len(g) AS n, unnest(g) AS gram FROM grams),
+dice AS (
+  SELECT doc_id, passage, license, 2.0 * count(*) / (n + m) AS dice FROM items JOIN templates USING (gram)
+  GROUP BY doc_id, passage, license, template, n, m HAVING 2.0 * count(*) / (n + m) >= 0.8 - 1e-9),
+best AS (SELECT doc_id, passage, license, dice, row_number() OVER (PARTITION BY doc_id, passage ORDER BY dice DESC, license DESC) AS k FROM dice)
+SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS n_matches FROM best WHERE k = 1 GROUP BY doc_id, license
+"""
+
+
+@query("op7_license_dice_scan", _license_sql())
+def _licenses(spark: SparkSession, t: Tables) -> DataFrame:
+    return licenses.scan_licenses(t.documents)
+
+
+@query("op8_trie_token_counts")
+def _tokens(spark: SparkSession, t: Tables) -> DataFrame:
+    return triecount.count_tokens(t.documents, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op9_secret_forest_scan")
 def _secrets(spark: SparkSession, t: Tables) -> DataFrame:
     return secretscan.scan_secrets(t.documents, secretscan.fit_forest(secretscan.labelled_findings(spark)))

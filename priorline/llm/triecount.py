@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import arrow_texts, map_batches, type_of
 
 SPACE = "▁"
-KEEP_TERMINALS = 500_000  # counts of pre-tokens a worker remembers between batches
+KEEP_TERMINALS = 1_000_000  # counts of pre-tokens a worker remembers between batches
 _MODELS: dict[str, tuple[dict[str, float], int]] = {}
 
 
