@@ -38,7 +38,7 @@ COMPONENTS = """
 
 @query("op1_flat_graph_neardup", """
 WITH RECURSIVE v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), x -> x * x))) AS size FROM embeddings),
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS size FROM embeddings),
 linked(a, b) AS (
   SELECT a.vec_id, b.vec_id FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE a.size > 0 AND b.size > 0 AND isfinite(a.size) AND isfinite(b.size) AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9)""" + COMPONENTS + """,
@@ -62,11 +62,11 @@ def _packing(spark: SparkSession, t: Tables) -> DataFrame:
 
 @query("op4_ngram_jaccard_join", r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w
   FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
   FROM words),
 items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
 pairs AS (
@@ -98,9 +98,9 @@ lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docume
 passages AS (
   SELECT DISTINCT doc_id, unnest(list_distinct([line] || string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) AS passage FROM lines
   WHERE regexp_matches(line, '[Ll][Ii][Cc][Ee][Nn]|[Pp]ermi|[Rr]edis')),
-words AS (SELECT doc_id, passage, list_filter(string_split_regex(lower(passage), '[^\p{{L}}\p{{N}}]+'), x -> x <> '') AS w FROM passages),
+words AS (SELECT doc_id, passage, list_filter(string_split_regex(lower(passage), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM passages),
 grams AS (
-  SELECT doc_id, passage, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS g FROM words),
+  SELECT doc_id, passage, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM words),
 items AS (SELECT doc_id, passage, len(g) AS n, unnest(g) AS gram FROM grams),
 dice AS (
   SELECT doc_id, passage, license, 2.0 * count(*) / (n + m) AS dice FROM items JOIN templates USING (gram)
