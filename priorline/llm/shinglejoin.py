@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import Scratch, arrow_texts, map_batches, mix64, type_of
 
-SKETCH_BITS = 20  # counters of the document-frequency sketch; 4 MB, whatever the input
+SKETCH_BITS = 26  # slots of the document-frequency sketch: 4 bits each, 32 MB whatever the input
 SLICES = 64
+FLUSH = 4_000_000  # tokens that a counting task holds before it sends them
 ORDERS = 3
 BLOCK = 512  # documents on one side of a verification task
 
@@ -61,48 +62,74 @@ def needed(size: int, percent: int) -> int:
 def prefix(tokens: np.ndarray, sketch: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The first tokens of a set under one global order; two sets that are alike enough share one of them under any order.
 
-    Orders 0 and 1 put tokens of many documents last (by the class of their counter) and differ in the hash that breaks ties;
-    order 2 goes by a hash alone.
+    Orders 0 and 1 put tokens of few documents first (by the class of their slot) and differ in the hash that breaks ties;
+    order 2 goes by a hash alone.  The sketch sets how many candidates there are, never which links are found.
     """
     keep = len(tokens) - needed(len(tokens), percent) + 1
     tie = mix64(tokens + np.uint64((order + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
     if order < 2:
-        common = sketch[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-        tie = (common << np.uint64(56)) | (tie >> np.uint64(8))
+        slot = (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+        common = (sketch[slot >> 1] >> ((slot & 1) * 4).astype(np.uint8)) & np.uint8(15)
+        tie = (common.astype(np.uint64) << np.uint64(60)) | (tie >> np.uint64(4))
     return np.sort(tokens[np.argpartition(tie, keep - 1)[:keep]]) if keep < len(tokens) else tokens
 
 
+def pack_slots(slots: np.ndarray) -> bytes:
+    """Sorted slot numbers as steps of one byte each; 255 is a step that names no slot."""
+    step = np.diff(slots, prepend=0)
+    far = step // 255
+    out = np.full(len(slots) + int(far.sum()), 255, np.uint8)
+    out[np.cumsum(far + 1) - 1] = step % 255
+    return out.tobytes()
+
+
+def count_slots(raw: bytes, width: int) -> np.ndarray:
+    steps = np.frombuffer(raw, np.uint8)
+    return np.bincount(np.cumsum(steps, dtype=np.int64)[steps != 255], minlength=width)
+
+
 def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
-    """One class per hash slot: how many powers of two its document count lies above the mean; counted over all documents.
+    """A class of 4 bits for each hash slot, two in a byte: the number of documents up to 4, then powers of two; over all documents.
 
-    Tasks send slices of their counters and a slice is added up as a stream, so memory is fixed on either side.
+    Tasks send each token as about one byte and a slice of the slots is added up as a stream, so memory is fixed on either side.
     """
     width = (1 << SKETCH_BITS) // SLICES
+    row = lambda k, raw: pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": pa.array([raw], pa.binary())})
+
+    def send(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        slots = np.sort((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+        ends = np.searchsorted(slots, np.arange(SLICES + 1) * width)
+        for k in range(SLICES):
+            if ends[k] < ends[k + 1]:
+                yield row(k, pack_slots(slots[ends[k]:ends[k + 1]] - k * width))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        sets, held = [], 0
         for batch in batches:
-            sets = [shingles(t, n) for t in arrow_texts(batch.column(0))]
-            slots = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64) if sets else np.empty(0, np.int64)
-            total += np.bincount(slots, minlength=len(total))
-        if total.any():
-            dtype = "<u2" if total.max() < 1 << 16 else "<i8"
-            for k in range(SLICES):
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": pa.array([total[k * width:(k + 1) * width].astype(dtype).tobytes()], pa.binary())})
+            for text in arrow_texts(batch.column(0)):
+                sets.append(shingles(text, n))
+                held += len(sets[-1])
+                if held > FLUSH:
+                    yield from send(sets)
+                    sets, held = [], 0
+        if held:
+            yield from send(sets)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, "<u2" if len(raw) == 2 * width else "<i8").astype(np.int64)
-        for k, v in sums.items():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": pa.array([v.astype("<i8").tobytes()], pa.binary())})
+                sums[k] = sums.get(k, 0) + count_slots(raw, width)
+        for k, total in sums.items():
+            classes = np.where(total <= 4, np.maximum(total - 1, 0), np.ceil(np.log2(np.maximum(total, 1))) + 1)
+            classes = np.minimum(classes, 15).astype(np.uint8)
+            yield row(k, (classes[::2] | classes[1::2] << 4).tobytes())
 
     rows = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in rows:  # SLICES rows of a fixed size
-        total[row["slice"] * width:(row["slice"] + 1) * width] = np.frombuffer(bytes(row["counts"]), "<i8")
-    return np.clip(np.ceil(np.log2(np.maximum(total, 1) / max(total.mean(), 1))), 0, 255).astype(np.uint8)
+    out = np.zeros((1 << SKETCH_BITS) // 2, np.uint8)
+    for r in rows:  # SLICES rows of a fixed size
+        out[r["slice"] * width // 2:(r["slice"] + 1) * width // 2] = np.frombuffer(bytes(r["counts"]), np.uint8)
+    return out
 
 
 def _components(scratch: Scratch, edges: DataFrame, node: str, component: str) -> DataFrame:
