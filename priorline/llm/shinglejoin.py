@@ -63,15 +63,19 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray, order: int, percent: int) ->
     """The first tokens of a set under one global order; two sets that are alike enough share one of them under any order.
 
     Orders 0 and 1 put tokens of few documents first (by the class of their slot) and differ in the hash that breaks ties;
-    order 2 goes by a hash alone.  The sketch sets how many candidates there are, never which links are found.
+    order 2 goes by a hash alone.  A slot of class 0 counted one document, so its token is shared with none and is left out.
+    Otherwise the sketch sets how many candidates there are, never which links are found.
     """
     keep = len(tokens) - needed(len(tokens), percent) + 1
     tie = mix64(tokens + np.uint64((order + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
+    slot = (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    common = (sketch[slot >> 1] >> ((slot & 1) * 4).astype(np.uint8)) & np.uint8(15)
     if order < 2:
-        slot = (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-        common = (sketch[slot >> 1] >> ((slot & 1) * 4).astype(np.uint8)) & np.uint8(15)
         tie = (common.astype(np.uint64) << np.uint64(60)) | (tie >> np.uint64(4))
-    return np.sort(tokens[np.argpartition(tie, keep - 1)[:keep]]) if keep < len(tokens) else tokens
+    if keep < len(tokens):
+        first = np.argpartition(tie, keep - 1)[:keep]
+        tokens, common = tokens[first], common[first]
+    return np.sort(tokens[common > 0])
 
 
 def pack_slots(slots: np.ndarray) -> bytes:
@@ -265,6 +269,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "part", F.col("_pair.lo").alias("lo"), F.col("_pair.hi").alias("hi"), F.when(F.col("_own") == F.col("_pair.lo"), 0).otherwise(1).alias("side"), "cls", "tokens")
     links = scratch.stage(dealt.groupBy("part", "lo", "hi").applyInArrow(_verify(percent, shared), "src long, dst long"))
     scratch.release(live, parts)
+    shared.destroy()  # all that needs it is written
     joined = _components(scratch, links, "cls", "component")
     member = keyed.drop("p0").join(joined, "cls", "left").withColumn("_c", F.coalesce("component", "cls"))
     member = scratch.stage(member.select("doc_id", "n_shingles", "_c"))
