@@ -1,0 +1,243 @@
+"""Each operator against a plain version, and on nulls, empty and very long texts, repeated rows, empty tables and clashing columns."""
+
+import random
+import zlib
+from math import log
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry
+from priorline.llm import common, flatgraph, htmltext, licenses, linecrf, lzprint, mixing, packing, secretscan, shinglejoin, triecount
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+ROOT = "/root/testdata/sf0.001"
+SECRET = "3f786850e387550fdab836ed7e6dc881de23001b"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, an empty and a blank text, a very long one, repeated rows, and columns named like the operators' own."""
+    common.pin(spark)
+    words = " ".join(random.Random(1).choice(["der", "thou", "été", "an", "re"]) + str(k % 97) for k in range(30_000))
+    rows = [(1, "one two three four five six", "a"), (1, "one two three four five six", "a"), (2, None, None), (None, "no id here at all", "b"), (3, "", "b"), (4, " \t\n", None),
+            (5, words, "a"), (6, words + " end", "a"), (7, f'my token = "{SECRET}" and\nReleased under the MIT License. More.', "c")]
+    return spark.createDataFrame([(*r, 9, 9, 9, "x") for r in rows], "doc_id long, text string, source string, score int, size int, cls int, candidate string")
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_flat_graph(spark):
+    common.pin(spark)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 8))
+    x = np.concatenate([base, base[:10] + rng.normal(size=(10, 8)) * 0.05, base[:5] * 3])
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [0.0] * 8), (102, [1.0, None] + [0.0] * 6), (103, [float("nan")] * 8), (104, []), (105, [1.0, 2.0]), (106, [2.0, 4.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in rows(flatgraph.near_vectors(df))}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    for i in range(len(x)):
+        assert got[i]["n_links"] == near[i].sum() - 1
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (100, 101, 102, 103, 104))
+    assert got[106]["component_id"] == 105 and got[106]["n_links"] == 1
+    assert rows(flatgraph.near_vectors(df.limit(0))) == []
+
+
+def test_range_search_covers_a_dense_region():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 32))
+    x[:300] = x[0] + rng.normal(size=(300, 32)) * 0.05
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    found = flatgraph.range_search(x, flatgraph.build_graph(x), flatgraph.medoids(x), np.arange(600), 0.9)
+    assert (found & (x @ x.T >= 0.9)).sum() >= 0.99 * (x @ x.T >= 0.9).sum()
+
+
+def plain_phrases(text):
+    known, out, i = set(), set(), 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in known:
+            j += 1
+        out.add(text[i:j])
+        known.add(text[i:j])
+        i = j
+    return out
+
+
+def test_lempel_ziv(odd, none):
+    rng = random.Random(5)
+    for _ in range(500):
+        text = "".join(rng.choice("abé") for _ in range(rng.randint(0, 50)))
+        cut = len(text) - len(text) // 4
+        edited = text[:cut] + "".join(rng.choice("ab") for _ in range(len(text) // 4))
+        a, b = lzprint.fingerprints(text, edited, cut, 10**6)
+        assert len(a) == len(plain_phrases(text)) and len(b) == len(plain_phrases(edited))
+        assert (a == lzprint.fingerprint(text, 10**6)).all() and (b == lzprint.fingerprint(edited, 10**6)).all()
+    few = {(r["doc_id"], r["edited_sha256"], r["near_next"]) for r in rows(lzprint.compare_edits(odd))}
+    many = {(r["doc_id"], r["edited_sha256"], r["near_next"]) for r in rows(lzprint.compare_edits(odd, block_chars=50))}
+    assert few == many and len(rows(lzprint.compare_edits(odd, block_chars=50))) == 9
+    assert rows(lzprint.compare_edits(none)) == []
+
+
+def test_packing(odd, none):
+    tokenizer = Tokenizer.from_file(BPE)
+    got = rows(packing.pack(odd, BPE))
+    text = {5: odd.where("doc_id = 5").first()["text"], 2: "", 3: ""}
+    for doc, value in text.items():
+        ids = np.array([*tokenizer.encode(value, add_special_tokens=False).ids, 1], "<u4")
+        own = sorted((r for r in got if r["doc_id"] == doc), key=lambda r: r["start"])
+        assert [r["start"] for r in own] == list(np.cumsum([0, *[r["length"] for r in own]])[:-1]) and sum(r["length"] for r in own) == len(ids)
+        assert all(zlib.crc32(ids[r["start"]:r["start"] + r["length"]].tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids) for r in own)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        parts.sort()
+        assert [p[0] for p in parts] == list(np.cumsum([0, *[p[1] for p in parts]])[:-1]) and sum(p[1] for p in parts) <= 2048
+    assert rows(packing.pack(none, BPE)) == []
+    assert packing.encoder(BPE).encode("a<|endoftext|>b  c\n", allowed_special="all") == tokenizer.encode("a<|endoftext|>b  c\n", add_special_tokens=False).ids
+
+
+def test_patterns_cut_every_piece_once():
+    rng = random.Random(2)
+    histogram = {x: rng.randint(1, 400) for x in [*range(32, 2048, 32), *range(1, 32), 2048]}
+    plan = packing.plan_sequences(histogram)
+    assert all(sum(p.get(x, 0) * t for p, t in plan) == n for x, n in histogram.items())
+    assert all(sum(x * k for x, k in p.items()) <= 2048 for p, _ in plan)
+    assert sum(t for _, t in plan) <= 1.02 * sum(x * n for x, n in histogram.items()) / 2048 + 2
+
+
+def test_shingle_join(odd, none, spark):
+    got = rows(shinglejoin.near_groups(odd, n=3, percent=90))
+    assert len(got) == 9 and {r["component_id"] for r in got if r["doc_id"] in (5, 6)} == {5}
+    assert {r["n_shingles"] for r in got if r["doc_id"] in (2, 3, 4)} == {0} and all(r["component_id"] == r["doc_id"] for r in got if r["doc_id"] != 6)
+    assert rows(shinglejoin.near_groups(none)) == []
+    rng = random.Random(4)
+    texts = [[rng.choice("abcdefghij") * 2 + str(rng.randint(0, 60)) for _ in range(60)] for _ in range(12)]
+    for _ in range(80):
+        own = list(rng.choice(texts))
+        own[rng.randrange(60)] = "new" + str(rng.random())
+        texts.append(own)
+    sets = [{tuple(t[k:k + 3]) for k in range(58)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    made = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in rows(shinglejoin.near_groups(made, n=3, percent=90))} == dict(enumerate(root))
+
+
+def test_page_text(spark):
+    page = ('<html><head><title>T</title></head><body><nav><a href="x">Menu</a></nav><div class="cookie-notice">Cookies</div><article><h1>A &eacute;&amp;</h1><p>Short.<p><b>Left open, and  long\n'
+            'enough to be a paragraph of text.<br><div class="ad">Buy</div><p>End.</p></article><section id="comments"><p>Nice!</p></section><footer>&copy; x</footer>')
+    want = "A é&\nShort.\nLeft open, and long enough to be a paragraph of text.\nEnd."
+    df = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<nav>only</nav>"), (None, "u", "<p>x</p>"), (1, "u", page)], "page_id long, url string, html string")
+    got = rows(htmltext.extract_pages(df))
+    assert [r["text"] for r in got if r["page_id"] == 1] == [want, want] and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert {r["text"] for r in got if r["page_id"] in (2, 3, 4)} == {""} and rows(htmltext.extract_pages(df.limit(0))) == []
+
+
+def test_quality(spark, odd, none):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = linecrf.fit_quality(docs, labels)
+    got = {r["doc_id"]: r for r in rows(linecrf.score_quality(docs, model))}
+    held = [(r["quality"], got[r["doc_id"]]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert all(g["held_out"] for _, g in held) and np.mean([y == g["predicted"] for y, g in held]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows(linecrf.score_quality(odd, model))) and rows(linecrf.score_quality(none, model)) == []
+    assert linecrf.fit_quality(docs, labels.limit(0)) == 0.5 and linecrf.keep_good(odd, 1.0).count() == 9
+
+
+def test_forward_backward_is_the_sum_over_labellings():
+    rng = np.random.default_rng(1)
+    scores, moves = rng.normal(size=4), rng.normal(size=(2, 2))
+    weight = np.zeros((4, 2))
+    for code in range(16):
+        y = [(code >> k) & 1 for k in range(4)]
+        w = np.exp(sum(scores[k] * y[k] for k in range(4)) + sum(moves[y[k - 1], y[k]] for k in range(1, 4)))
+        for k in range(4):
+            weight[k, y[k]] += w
+    good, _ = linecrf.marginals(scores, np.array([4]), moves)
+    assert np.allclose(good, weight[:, 1] / weight.sum(1))
+
+
+def test_licenses(odd, none):
+    got = rows(licenses.scan_licenses(odd))
+    assert [(r["doc_id"], r["license"], r["n_matches"]) for r in got] == [(7, "MIT", 2)] and rows(licenses.scan_licenses(none)) == []
+
+
+def test_token_counts(odd, none):
+    scores, longest = triecount.pieces(PIECES)
+    worst = -2 * log(len(scores) + 2)
+
+    def plain(word):
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            size = len(word[end - 1].encode())
+            best.append(max([(best[end - 1][0] + worst * size, best[end - 1][1] - size)] + [
+                (best[s][0] + scores[word[s:end]], best[s][1] - 1) for s in range(end) if word[s:end] in scores]))
+        return -best[-1][1]
+
+    texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    for r in rows(triecount.count_tokens(odd, PIECES)):
+        assert r["n_tokens"] == sum(plain("▁" + w) for w in texts[r["doc_id"]].split())
+    assert rows(triecount.count_tokens(none, PIECES)) == []
+
+
+def test_secrets(spark, odd, none):
+    model = secretscan.fit_forest(secretscan.labelled_findings(spark))
+    got = rows(secretscan.scan_secrets(odd, model))
+    assert [(r["doc_id"], r["candidate"], r["start"], r["occurrences"]) for r in got] == [(7, SECRET, 12, 1)]
+    masked = {r["doc_id"]: r["text"] for r in rows(secretscan.mask_secrets(odd, secretscan.scan_secrets(odd, model)))}
+    assert SECRET not in masked[7] and masked[2] is None and masked[1] == "one two three four five six"
+    assert rows(secretscan.scan_secrets(none, model)) == [] and secretscan.mask_secrets(odd, secretscan.scan_secrets(none, model)).count() == 9
+
+
+def test_mixing(spark, odd, none):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet")
+    got = rows(mixing.mix_sources(docs))
+    again = rows(mixing.mix_sources(docs.repartition(5)))
+    assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
+    source = {}
+    for r in got:
+        source.setdefault(r["source"], []).append(r)
+    assert abs(sum(rs[0]["target"] for rs in source.values()) - sum(r["size"] for r in got)) < 1e-3
+    for rs in source.values():
+        assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= max(r["size"] for r in rs) / 2 + 1 and all(r["taken"] <= 3 * r["size"] for r in rs)
+    assert len(rows(mixing.mix_sources(odd))) == 9 and rows(mixing.mix_sources(none)) == []
+
+
+def test_targets_are_those_of_round_after_round(spark):
+    sizes = {"a": 10, "b": 500, "c": 40, "d": 3, "e": 900, None: 7}
+    df = spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(sizes.items())], "doc_id long, source string, size long")
+    got = {r["source"]: r["target"] for r in rows(mixing.source_targets(df))}
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight = dict(zip(names, [5, 2, 1] * 2))
+    want, left, open_ = {}, float(sum(sizes.values())), set(names)
+    while True:
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = {s for s in open_ if share[s] >= 3 * sizes[s]}
+        if not over:
+            break
+        want |= {s: 3.0 * sizes[s] for s in over}
+        left -= sum(3 * sizes[s] for s in over)
+        open_ -= over
+    want |= share
+    assert all(abs(got[s] - want[s]) < 1e-6 for s in names)
+
+
+def test_pipeline(spark):
+    out = entry.queries()["pipeline"](spark, ROOT)
+    assert out.count() > 0 and out.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
