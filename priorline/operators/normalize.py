@@ -13,7 +13,7 @@ from .guards import left_lookup, unique_lookup, unless
 # Timestamp renderings seen in provider rows.
 UTC_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "yyyy-MM-dd HH:mm:ss[.SSS]",
-    "yyyy/MM/dd HH:mm", "yyyy-MM-dd",
+    "yyyy-MM-dd'T'HH:mm[XXX]", "yyyy-MM-dd HH:mm[XXX]", "yyyy/MM/dd HH:mm", "yyyy-MM-dd",
 ]
 
 
@@ -27,8 +27,9 @@ def coalesce_camel(df: DataFrame) -> DataFrame:
 
 
 def parse_utc(text: Column) -> Column:
-    """NRM-2: any known rendering as a UTC timestamp; text in no known form fails the job."""
-    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in UTC_FORMATS])
+    """NRM-2: any ISO or other known rendering as a UTC timestamp; text in no known form fails the job."""
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
+    parsed = F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in UTC_FORMATS])
     return unless(parsed.isNull() & text.isNotNull(), parsed, "timestamp in no known format")
 
 
@@ -37,10 +38,15 @@ def to_local(ts: Column, zone: str = "America/New_York") -> Column:
 
 
 def decode_struct(text: Column, schema: str) -> Column:
-    """NRM-3: JSON, or the single-quoted literal form, to a struct."""
-    fixed = F.replace(F.replace(F.replace(text, F.lit("'"), F.lit('"')), F.lit("None"), F.lit("null")),
-                      F.lit("True"), F.lit("true"))
-    return F.from_json(F.when(F.contains(text, F.lit('"')), text).otherwise(fixed), schema)
+    """NRM-3: JSON, or the literal form with single quotes, True, False and None, to a struct; junk fails the job.
+
+    The words are replaced outside of quotes only.
+    """
+    quoted = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|[^'\"]+|['\"]"
+    words = {"True": "true", "False": "false", "None": "null"}
+    plain = lambda t: reduce(lambda c, w: F.regexp_replace(c, rf"\b{w}\b", words[w]), words, t)
+    parts = F.transform(F.regexp_extract_all(text, F.lit(quoted), F.lit(0)), lambda t: F.when(t.rlike("^['\"]"), t).otherwise(plain(t)))
+    return F.from_json(F.array_join(parts, ""), schema, {"mode": "FAILFAST", "allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
 
 
 def both_in_class(home: str, away: str, label: str) -> Column:

@@ -173,11 +173,11 @@ def time_violations(rows: DataFrame, keys: list[str], rules: dict[str, tuple[str
     return rule_violations(rows, keys, {n: F.col(a) > F.col(b) for n, (a, b) in rules.items()})
 
 
-def grid_completeness(rows: DataFrame, outer: str, inner: str, low: int, high: int) -> DataFrame:
+def grid_completeness(rows: DataFrame, outer: list[str], inner: str, low: int, high: int) -> DataFrame:
     """DQ-17: cells of the outer x inner grid that hold no row."""
-    seen = rows.select(outer, inner).distinct()
-    grid = rows.select(outer).distinct().withColumn(inner, F.explode(F.sequence(F.lit(low), F.lit(high))))
-    return grid.join(seen, [outer, inner], "left_anti")
+    seen = rows.select(*outer, inner).distinct()
+    grid = rows.select(*outer).distinct().withColumn(inner, F.explode(F.sequence(F.lit(low), F.lit(high))))
+    return grid.join(seen, [*outer, inner], "left_anti")
 
 
 def profile(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -174,11 +174,9 @@ def ratio_with_exclusions(rows: DataFrame, keys: list[str], num: str, den: str,
         "value", F.when(F.col("denominator") != 0, F.col("numerator") / F.col("denominator")))
 
 
-def exclusion_list(rows: DataFrame, keys: list[str], excluded_reason: Column, event: str, limit: int = 20) -> DataFrame:
-    """AG-9: (event, reason) examples in order, at most ``limit`` per group; the counts stay whole."""
-    r = rows.withColumn("reason", excluded_reason).where("reason IS NOT NULL")
-    top = r.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(event, "reason"))).where(F.col("_rn") <= limit)
-    return top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(event, "reason"))).alias("excluded"))
+def exclusion_list(rows: DataFrame, keys: list[str], excluded_reason: Column, event: str) -> DataFrame:
+    """AG-9: one row for every excluded event, with its reason."""
+    return rows.select(*keys, event, excluded_reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def mirrored_sums(plays: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:

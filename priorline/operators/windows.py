@@ -35,8 +35,8 @@ def ewma_prior(df: DataFrame, keys: list[str], order: list[str], slice_by: Colum
     """WN-6: exponentially weighted mean of strictly earlier rows; null values decay the others too.
 
     Weights relative to the row are (1-a)^(n-i).  Sums are kept relative to the start of a block
-    short enough for the powers to stay in range, and the block before gives the carry; older
-    blocks weigh less than 1e-190 of it.
+    short enough for the powers to stay in range; the last two blocks that hold values give the carry, older
+    ones weigh less than 1e-190 of it.  Before the first value of a block the carry alone is the mean, however long the gap.
     """
     beta = 1 - alpha
     block = max(1, int(-200 / math.log10(beta) / 2))
@@ -47,21 +47,25 @@ def ewma_prior(df: DataFrame, keys: list[str], order: list[str], slice_by: Colum
     p = p.withColumns({"_s": F.when(x.isNotNull(), x * lift), "_w": F.when(x.isNotNull(), lift)})
     totals = p.groupBy(*keys, "_b").agg(F.sum("_s").alias("_ts"), F.sum("_w").alias("_tw"))
     step = beta**block
-    by = Window.partitionBy(*keys).orderBy("_b")
-    carry = lambda c: F.coalesce(F.lag(c, 1).over(by), F.lit(0.0)) * step + F.coalesce(F.lag(c, 2).over(by), F.lit(0.0)) * step * step
-    totals = totals.select(*keys, "_b", carry("_ts").alias("_cs"), carry("_tw").alias("_cw"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(START, -1)
+    held = F.last(F.when(F.col("_tw").isNotNull(), F.struct("_b", "_ts", "_tw")), True).over(before)
+    add = lambda c: F.col(c) + F.coalesce(F.col(f"_held.{c}") * F.pow(F.lit(step), F.col("_b") - F.col("_held._b")), F.lit(0.0))
+    both = F.when(F.col("_tw").isNotNull(), F.struct(F.col("_b"), add("_ts").alias("_ts"), add("_tw").alias("_tw")))
+    totals = totals.withColumn("_held", held).withColumn("_both", both).select(*keys, "_b", F.last("_both", True).over(before).alias("_c"))
     here = Window.partitionBy(*keys, "_b").orderBy("_i").rowsBetween(START, -1)
     out = p.join(totals, [*keys, "_b"])
-    num = F.coalesce(F.sum("_s").over(here), F.lit(0.0)) + F.col("_cs")
-    den = F.coalesce(F.sum("_w").over(here), F.lit(0.0)) + F.col("_cw")
-    return out.withColumn(name, F.when(den > 0, num / den)).drop("_p", "_b", "_i", "_s", "_w", "_cs", "_cw")
+    fade = F.pow(F.lit(step), F.col("_b") - F.col("_c._b"))
+    num, den = F.sum("_s").over(here), F.sum("_w").over(here)
+    mixed = (num + F.coalesce(F.col("_c._ts") * fade, F.lit(0.0))) / (den + F.coalesce(F.col("_c._tw") * fade, F.lit(0.0)))
+    return out.withColumn(name, F.when(den > 0, mixed).otherwise(F.col("_c._ts") / F.col("_c._tw"))).drop("_p", "_b", "_i", "_s", "_w", "_c")
 
 
 def ordinal_rank(df: DataFrame, keys: list[str], value: Column, tie: str, name: str = "rank") -> DataFrame:
     """WN-8: one number per row, ties broken by a name: rank of the value, then place among equals."""
     ranked = competition_rank(df, keys, value, "_r")
     inside = F.row_number().over(Window.partitionBy(*keys, "_r").orderBy(tie))
-    return ranked.withColumn(name, F.when(F.col("_r").isNotNull(), F.col("_r") + inside - 1)).drop("_r")
+    numbered = ranked.where("_r IS NOT NULL").withColumn(name, F.col("_r") + inside - 1)
+    return numbered.unionByName(ranked.where("_r IS NULL").withColumn(name, F.col("_r"))).drop("_r")
 
 
 def tied_flag(df: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:

@@ -163,13 +163,10 @@ def _(d):
 
 
 @query("ag9_exclusion_examples", uses="exposures", sql="""
-    WITH r AS (SELECT season, offense, game_id, CASE WHEN flag='R' THEN 'returned' ELSE 'small' END AS reason FROM exposures WHERE flag='R' OR den<3),
-    t AS (SELECT *, row_number() OVER (PARTITION BY season, offense ORDER BY game_id, reason) AS rn FROM r)
-    SELECT season, offense, string_agg(game_id || ':' || reason, ',' ORDER BY game_id, reason) AS excluded FROM t WHERE rn<=20 GROUP BY 1, 2""")
+    SELECT season, offense, game_id, CASE WHEN flag='R' THEN 'returned' ELSE 'small' END AS reason FROM exposures WHERE flag='R' OR den<3""")
 def _(d):
     why = F.when(F.col("flag") == "R", "returned").when(F.col("den") < 3, "small")
-    out = R.exclusion_list(d.exposures, ["season", "offense"], why, "game_id")
-    return out.withColumn("excluded", F.array_join(F.transform("excluded", lambda x: F.concat_ws(":", x["game_id"], x["reason"])), ","))
+    return R.exclusion_list(d.exposures, ["season", "offense"], why, "game_id")
 
 
 @query("ag10_team_game_charts", uses="plays", sql=f"""{ENRICHED},

@@ -260,13 +260,13 @@ def _(d):
 
 
 @query("it15_partial_pool", uses="sides", sql=f"""
-    WITH s AS (SELECT season, kickoff, (points_for-24)/14.0 AS m, 0.3+game_id%5/10.0 AS sd FROM sides WHERE points_for IS NOT NULL AND team%10=0), p AS (SELECT DISTINCT season, kickoff FROM games WHERE week%10=0),
+    WITH s AS (SELECT season, kickoff, (points_for-24)/14.0 AS m, 0.3+game_id%5/10.0 AS sd FROM sides WHERE points_for IS NOT NULL), p AS (SELECT DISTINCT season, kickoff FROM games),
     j AS (SELECT p.season, p.kickoff, avg(m) AS a, count(m) AS n, max(sd) AS x FROM p LEFT JOIN s ON s.season=p.season AND s.kickoff<p.kickoff GROUP BY 1, 2)
     SELECT season, kickoff, {q6('CASE WHEN n=0 THEN 0 ELSE a*100*n/(1+100*n) END')} AS pool_mean, {q6('CASE WHEN n=0 THEN 1 ELSE greatest(sqrt(1/(1+100.0*n)), x) END')} AS pool_sd, CASE WHEN n=0 THEN 'neutral' ELSE 'preceding_pool' END AS source FROM j""")
 def _(d):
-    s = d.sides.where("points_for IS NOT NULL AND team % 10 = 0").select("season", "kickoff", ((F.col("points_for") - 24) / 14.0).alias("m"),
+    s = d.sides.where("points_for IS NOT NULL").select("season", "kickoff", ((F.col("points_for") - 24) / 14.0).alias("m"),
                                                                       (0.3 + F.col("game_id") % 5 / 10.0).alias("sd"))
-    out = R.partial_pool(s, d.games.where("week % 10 = 0"), ["season"], "kickoff", "m", "sd")
+    out = R.partial_pool(s, d.games, ["season"], "kickoff", "m", "sd")
     return out.withColumns({"pool_mean": r6("pool_mean"), "pool_sd": r6("pool_sd")})
 
 

@@ -94,11 +94,10 @@ def _evidence(d):
 
 
 def _cutoffs(d):
-    g = d.games.groupBy("season", F.col("week").alias("as_of_week")).agg(F.min("kickoff").alias("cutoff"))
-    return g.where("as_of_week % 8 = 0")
+    return d.games.groupBy("season", F.col("week").alias("as_of_week")).agg(F.min("kickoff").alias("cutoff"))
 
 
-CUTOFF_SQL = """cutoffs AS (SELECT season, week AS as_of_week, min(kickoff) AS cutoff FROM games WHERE week % 8 = 0 GROUP BY 1, 2),
+CUTOFF_SQL = """cutoffs AS (SELECT season, week AS as_of_week, min(kickoff) AS cutoff FROM games GROUP BY 1, 2),
     pairs AS (SELECT e.*, c.as_of_week, c.cutoff FROM exposures e JOIN cutoffs c ON c.season = e.season AND e.week < c.as_of_week
               AND e.kickoff + INTERVAL 6 HOUR <= c.cutoff)"""
 

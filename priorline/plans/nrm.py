@@ -22,10 +22,12 @@ def _(d):
 
 
 def _rendered(d):
-    ts, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    ts, k = F.col("o_orderdate"), F.col("o_orderkey") % 8
     return d.orders.select("o_orderkey", (
         F.when(k == 0, F.date_format(ts, "yyyy-MM-dd")).when(k == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .when(k == 2, F.date_format(ts, "yyyy/MM/dd HH:mm")).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"))).alias("text"))
+        .when(k == 2, F.date_format(ts, "yyyy/MM/dd HH:mm")).when(k == 3, F.date_format(ts, "yyyy-MM-dd HH:mm:ss'+00:00'"))
+        .when(k == 4, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).when(k == 5, F.date_format(ts, "yyyy-MM-dd'T'HH:mm'Z'"))
+        .when(k == 6, F.date_format(ts, "yyyy-MM-dd HH:mm")).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"))).alias("text"))
 
 
 @query("nrm2_mixed_utc_parse", sql="""

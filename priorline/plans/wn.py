@@ -196,9 +196,9 @@ def _(d):
     return out.withColumn("boundary_game_id", F.col("boundary_game_id").cast("double"))
 
 
-@query("so1_total_order", uses="plays", sql="SELECT play_id, quarter FROM plays WHERE k < 10")
+@query("so1_total_order", uses="plays", sql="SELECT play_id, quarter FROM plays")
 def _(d):
-    return d.plays.where("k < 10").orderBy("season", "week", "game_id", "quarter", "play_number", "play_id").select("play_id", "quarter")
+    return d.plays.orderBy("season", "week", "game_id", "quarter", "play_number", "play_id").select("play_id", "quarter")
 
 
 @query("so2_keep_last", uses="quotes", sql="""
