@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,6 +37,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool]] = []  # open elements, and whether each is beside the main text
+        self.open: Counter[str] = Counter()  # their names
         self.beside = 0
         self.main = 0
         self.lines: list[tuple[str, int, bool, bool]] = []  # text, tags, beside, inside a main element
@@ -52,6 +54,7 @@ class Lines(HTMLParser):
     def drop(self, keep: int) -> None:
         while len(self.stack) > keep:
             name, beside = self.stack.pop()
+            self.open[name] -= 1
             self.beside -= beside
             self.main -= name in MAIN
 
@@ -63,7 +66,7 @@ class Lines(HTMLParser):
             self.words.append(" ")
         if tag in VOID:
             return
-        if tag in MAIN and tag not in (name for name, _ in self.stack) and self.beside:
+        if tag in MAIN and not self.open[tag] and self.beside:
             # what was left open before the main text ends here
             while self.beside:
                 self.drop(len(self.stack) - 1)
@@ -82,6 +85,7 @@ class Lines(HTMLParser):
             not ASIDE_NAMES.isdisjoint(names) and not (self.main and names == ["header"]) or (values.get("role") or "").lower() in ASIDE_ROLES or "hidden" in values
             or values.get("aria-hidden") == "true"))
         self.stack.append((tag, beside))
+        self.open[tag] += 1
         self.beside += beside
         self.main += tag in MAIN
 
@@ -89,15 +93,19 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag not in INLINE:
             self.end_line()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self.drop(k)
-                return
+        if self.open[tag]:
+            k = len(self.stack) - 1
+            while self.stack[k][0] != tag:
+                k -= 1
+            self.drop(k)
 
     def handle_data(self, data):
         self.words.append(data)
 
     def close(self):
+        # a comment, declaration or tag that the page ends in is markup, not text, and is read once, not again from each "<"
+        if self.rawdata.startswith(("<!--", "<?")) or (self.rawdata.startswith("<") and ">" not in self.rawdata and self.cdata_elem is None and self.rawdata[1:2].isalpha()):
+            self.rawdata = ""
         super().close()
         self.end_line()
 
