@@ -127,20 +127,24 @@ def draw(text: Column, size: Column) -> Column:
 
 
 def cluster_bootstrap(differences: DataFrame, cluster: list[str], value: str, replicates: int, seed: str = "s") -> DataFrame:
-    """ML-6: mean difference of each replicate when whole clusters are drawn with replacement.
+    """ML-6: mean difference of each replicate: whole clusters are drawn with replacement, and inside each drawn cluster its rows again.
 
-    A draw needs only a cluster's sum and count, so replicates x clusters rows are made, not
-    replicates x games; clusters are numbered by a hash-free dense position of their key.
+    Clusters are numbered by the dense position of their key, rows of a cluster by their value, where equal values may trade places.
+    The second draw joins a drawn cluster with its rows, so replicates x rows are made and none is held in an array. Null values are left out.
     """
-    c = differences.groupBy(*cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    per = Window.partitionBy(cluster[0]).orderBy(*cluster[1:]) if len(cluster) > 1 else Window.partitionBy(cluster[0]).orderBy(cluster[0])
-    head = c.groupBy(cluster[0]).agg(F.count("*").alias("_k"))
-    start = head.select(cluster[0], "_k", (F.sum("_k").over(Window.orderBy(cluster[0])) - F.col("_k")).alias("_base"))
-    numbered = c.join(start, cluster[0]).withColumn("_i", F.col("_base") + F.row_number().over(per) - 1)
-    total = numbered.agg(F.count("*").alias("_total"))
-    slots = numbered.select(F.col("_i").alias("_slot")).join(total).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    slots = slots.withColumn("_i", draw(F.concat_ws(":", F.lit(seed), "replicate", "_slot"), F.col("_total")))
-    return slots.join(numbered.select("_i", "_s", "_n"), "_i").groupBy("replicate").agg((F.sum("_s") / F.sum("_n")).alias("mean"))
+    rows = differences.where(F.col(value).isNotNull()).select(*cluster, F.col(value).alias("_x"))
+    c = rows.groupBy(*cluster).agg(F.count("*").alias("_n"))
+    head = c.groupBy(cluster[0]).agg(F.count("*").alias("_k"))  # one row per season
+    start = head.select(cluster[0], (F.sum("_k").over(Window.orderBy(cluster[0])) - F.col("_k")).alias("_base"), F.sum("_k").over(Window.partitionBy()).alias("_total"))
+    place = F.row_number().over(Window.partitionBy(cluster[0]).orderBy(*(cluster[1:] or cluster))) - 1
+    numbered = c.join(start, cluster[0]).withColumn("_i", F.col("_base") + place)
+    inside = rows.withColumn("_j", F.row_number().over(Window.partitionBy(*cluster).orderBy("_x")) - 1)
+    games = inside.join(numbered.select(*cluster, "_i", "_n"), cluster).select("_i", "_j", "_n", "_x")
+    slots = numbered.select(F.col("_i").alias("_slot"), "_total").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    slots = slots.select("replicate", "_slot", draw(F.concat_ws(":", F.lit(seed), "replicate", "_slot"), F.col("_total")).alias("_i"))
+    again = slots.join(games.select("_i", "_j", "_n"), "_i").select(
+        "replicate", "_i", draw(F.concat_ws(":", F.lit(seed), "replicate", "_slot", "_j"), F.col("_n")).alias("_j"))
+    return again.join(games.select("_i", "_j", "_x"), ["_i", "_j"]).groupBy("replicate").agg(F.avg("_x").alias("mean"))
 
 
 def interval_of(replicates: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:

@@ -79,9 +79,11 @@ def _(d):
 
 
 BOOT_SQL = """WITH df AS (SELECT season, week, abs(line-actual)-abs(prediction-actual) AS x FROM graded WHERE target='margin'),
-    cl AS (SELECT season, week, sum(x) AS s, count(*) AS n, row_number() OVER (ORDER BY season, week)-1 AS i FROM df GROUP BY 1, 2), t AS (SELECT count(*) AS k FROM cl),
-    dr AS (SELECT r.r AS replicate, ('0x'||substr(sha256('s:'||r.r||':'||cl.i), 1, 15))::BIGINT % k AS i FROM cl CROSS JOIN t CROSS JOIN (SELECT unnest(range(0, 40)) AS r) r),
-    rp AS (SELECT replicate, sum(s)/sum(n) AS mean FROM dr JOIN cl USING (i) GROUP BY 1)"""
+    cl AS (SELECT season, week, count(*) AS n, row_number() OVER (ORDER BY season, week)-1 AS i FROM df WHERE x IS NOT NULL GROUP BY 1, 2), t AS (SELECT count(*) AS k FROM cl),
+    g AS (SELECT i, n, x, row_number() OVER (PARTITION BY season, week ORDER BY x)-1 AS j FROM df JOIN cl USING (season, week) WHERE x IS NOT NULL),
+    dr AS (SELECT r.r AS replicate, cl.i AS slot, ('0x'||substr(sha256('s:'||r.r||':'||cl.i), 1, 15))::BIGINT % k AS i FROM cl CROSS JOIN t CROSS JOIN (SELECT unnest(range(0, 40)) AS r) r),
+    ag AS (SELECT replicate, i, ('0x'||substr(sha256('s:'||replicate||':'||slot||':'||g.j), 1, 15))::BIGINT % g.n AS j FROM dr JOIN g USING (i)),
+    rp AS (SELECT replicate, avg(x) AS mean FROM ag JOIN g USING (i, j) GROUP BY 1)"""
 
 
 def _bootstrap(d):
