@@ -1,5 +1,6 @@
 """The analytical core against plain-Python twins on small fixtures."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -232,3 +233,22 @@ def test_bootstrap_centres_on_the_mean(spark):
     out = M.interval_of(M.cluster_bootstrap(df, ["season", "week"], "x", 200)).first()
     mean = sum(r[2] for r in rows) / len(rows)
     assert out["lower"] < mean < out["upper"] and out["mean"] == pytest.approx(mean, abs=0.1)
+
+
+def test_bootstrap_draws_rows_inside_drawn_clusters(spark):
+    rng = random.Random(2)
+    rows = [(s, w, round(rng.gauss(1, 2), 3)) for s in (1, 2) for w in range(4) for _ in range(1 + w)] + [(2, 9, None)]
+    pick = lambda text, size: int(hashlib.sha256(text.encode()).hexdigest()[:15], 16) % size
+    clusters = {}
+    for s, w, x in rows:
+        if x is not None:
+            clusters.setdefault((s, w), []).append(x)
+    ordered = [sorted(clusters[k]) for k in sorted(clusters)]
+    want = {}
+    for r in range(10):
+        drawn = [(slot, ordered[pick(f"s:{r}:{slot}", len(ordered))]) for slot in range(len(ordered))]
+        xs = [c[pick(f"s:{r}:{slot}:{j}", len(c))] for slot, c in drawn for j in range(len(c))]
+        want[r] = sum(xs) / len(xs)
+    df = spark.createDataFrame(rows, "season INT, week INT, x DOUBLE")
+    got = {r["replicate"]: r["mean"] for r in M.cluster_bootstrap(df, ["season", "week"], "x", 10).collect()}
+    assert got == pytest.approx(want)
