@@ -95,12 +95,19 @@ def cumulative_snapshot(df: DataFrame, keys: list[str], week: str, num: str, den
                       F.sum("_d").over(upto).alias("exposure"), F.sum("_c").over(upto).alias("contributors"))
 
 
-def half_life_mean(df: DataFrame, keys: list[str], order: list[str], num: str, den: str, half_life: float) -> DataFrame:
-    """WN-13: weights 0.5^(age/h) on numerator and denominator, age in games from the latest."""
-    age = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])) - 1
-    w = F.pow(F.lit(0.5), F.col("_age") / half_life)
-    return df.withColumn("_age", age).groupBy(*keys).agg(
-        F.try_divide(F.sum(F.col(num) * w), F.sum(F.col(den) * w)).alias("value"), F.sum(F.col(den) * w).alias("exposure"), F.count("*").alias("games"))
+def half_life_mean(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, num: str, den: str, half_life: float) -> DataFrame:
+    """WN-13: weights 0.5^(age/h) on numerator and denominator, age in usable games from the latest.
+
+    A row without a numerator or without a positive denominator is not usable and ages no other; a key without usable rows has
+    exposure 0 and no value.  Ages come from a two-level count, so a hot key is scanned by many tasks.
+    """
+    usable = df.withColumn("_u", F.col(num).isNotNull() & (F.coalesce(F.col(den), F.lit(0)) > 0))
+    counts = usable.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count_if("_u").alias("games"))
+    placed = position(usable.where("_u"), keys, order, slice_by, "_at").alias("p")
+    rows = counts.join(placed, [F.col(f"_k_{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys], "left")
+    w = F.pow(F.lit(0.5), (F.col("games") - 1 - F.col("_at")) / half_life)
+    return rows.groupBy(*[F.col(f"_k_{k}").alias(k) for k in keys]).agg(
+        F.try_divide(F.sum(F.col(num) * w), F.sum(F.col(den) * w)).alias("value"), F.coalesce(F.sum(F.col(den) * w), F.lit(0.0)).alias("exposure"), F.max("games").alias("games"))
 
 
 def shrunk_prior(df: DataFrame, keys: list[str], time: str, value: str, equivalent: float, season: str = "season") -> DataFrame:

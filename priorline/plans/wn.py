@@ -122,10 +122,12 @@ def _(d):
 
 
 @query("wn13_half_life_mean", uses="exposures", sql=f"""
-    WITH a AS (SELECT *, row_number() OVER (PARTITION BY season, offense ORDER BY kickoff DESC, game_id DESC, play_number DESC, num DESC)-1 AS age FROM exposures)
-    SELECT season, offense, {q6('sum(num*pow(0.5, age/8.0))/sum(den*pow(0.5, age/8.0))', 4)} AS value, {q6('sum(den*pow(0.5, age/8.0))')} AS exposure, count(*) AS games FROM a GROUP BY 1, 2""")
+    WITH k AS (SELECT DISTINCT season, offense FROM exposures),
+    a AS (SELECT *, row_number() OVER (PARTITION BY season, offense ORDER BY kickoff DESC, game_id DESC, play_number DESC, num DESC)-1 AS age FROM exposures WHERE num IS NOT NULL AND den > 0)
+    SELECT season, offense, {q6('sum(num*pow(0.5, age/8.0))/sum(den*pow(0.5, age/8.0))', 4)} AS value, coalesce({q6('sum(den*pow(0.5, age/8.0))')}, 0) AS exposure, count(num) AS games
+    FROM k LEFT JOIN a USING (season, offense) GROUP BY 1, 2""")
 def _(d):
-    out = W.half_life_mean(d.exposures, ["season", "offense"], ["kickoff", "game_id", "play_number", "num"], "num", "den", 8.0)
+    out = W.half_life_mean(d.exposures, ["season", "offense"], ["kickoff", "game_id", "play_number", "num"], "week", "num", "den", 8.0)
     return out.withColumns({"value": r6("value", 4), "exposure": r6("exposure")})
 
 
