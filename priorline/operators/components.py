@@ -9,10 +9,11 @@ from ..session import cut_lineage
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reached; labels jump to their label's label each round,
-    so the number of rounds grows with the logarithm of the longest path."""
+    """(node, component): the smallest node reached; labels start at the smallest neighbour and jump to their label's label each round,
+    so stars take one round and the number of rounds grows with the logarithm of the longest path."""
     both = cut_lineage(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = cut_lineage(nodes.select("node", F.col("node").alias("component")))
+    least = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("_n"))
+    label = cut_lineage(nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("_n", "node")).alias("component")))
     while True:
         near = both.join(label, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("_n"))
         step = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("_n", "component")).alias("_c"), F.col("component").alias("_was"))

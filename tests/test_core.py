@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from priorline.operators import adjust as A, components as C, forecast as M, guards, ledger as L, normalize as N, ratings as R, resume as S
+from priorline.operators import adjust as A, components as C, forecast as M, guards, ledger as L, normalize as N, ratings as R, resume as S, windows as W
 
 
 def league(seed=3, teams=8, games=60):
@@ -252,3 +252,21 @@ def test_bootstrap_draws_rows_inside_drawn_clusters(spark):
     df = spark.createDataFrame(rows, "season INT, week INT, x DOUBLE")
     got = {r["replicate"]: r["mean"] for r in M.cluster_bootstrap(df, ["season", "week"], "x", 10).collect()}
     assert got == pytest.approx(want)
+
+
+def test_half_life_skips_unusable_rows(spark):
+    rows = [("a", 1, 4.0, 2.0), ("a", 2, None, 9.0), ("a", 3, 5.0, 0.0), ("a", 4, 6.0, 1.0), ("a", 5, 7.0, None), ("b", 1, None, 1.0), (None, 1, 3.0, 2.0)]
+    df = spark.createDataFrame(rows, "team STRING, t INT, num DOUBLE, den DOUBLE")
+    got = {r["team"]: (r["value"], r["exposure"], r["games"]) for r in W.half_life_mean(df, ["team"], ["t"], "floor(t / 2)", "num", "den", 1.0).collect()}
+    assert got["a"] == pytest.approx(((4 * 0.5 + 6) / (2 * 0.5 + 1), 2.0, 2))
+    assert got["b"] == (None, 0.0, 0) and got[None] == pytest.approx((1.5, 2.0, 1))
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(5)
+    names = rng.sample(range(1000), 60)
+    edges = [(names[i], names[i + 1]) for i in range(0, 39)] + [(names[40], names[k]) for k in range(41, 55)] + [(names[55], names[55])]
+    nodes = spark.createDataFrame([(n,) for n in names], "node LONG")
+    got = {r["node"]: r["component"] for r in C.connected_components(nodes, spark.createDataFrame(edges, "src LONG, dst LONG")).collect()}
+    want = {n: min(names[:40]) for n in names[:40]} | {n: min(names[40:55]) for n in names[40:55]} | {n: n for n in names[55:]}
+    assert got == want
