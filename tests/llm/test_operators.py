@@ -241,3 +241,10 @@ def test_targets_are_those_of_round_after_round(spark):
 def test_pipeline(spark):
     out = entry.queries()["pipeline"](spark, ROOT)
     assert out.count() > 0 and out.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+def test_pages_that_end_inside_markup():
+    assert htmltext.main_text("<p>kept</p><!-- note " + "<a " * 20000) == "kept"
+    assert htmltext.main_text("<p>kept</p><a href='x" + "<b " * 20000) == "kept"
+    assert htmltext.main_text("<p>1 < 2 and 3 <4") == "1 < 2 and 3 <4"
+    assert htmltext.main_text("<div>" * 30000 + "x" + "</p>" * 30000) == "x"
