@@ -105,8 +105,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = left.groupBy("source").agg(F.count("*").alias("_n"))
     most = counts.agg(F.max("_n")).first()[0] or 0
     left = left.alias("l").join(counts.alias("c"), F.col("l.source").eqNullSafe(F.col("c.source"))).select("l.*", "c._n")
-    level = 0
-    while most > 0:
+    level, some = 0, most > 0
+    while most > 1:
         groups = F.ceil(F.col("_n") / F.lit(float(fan))).cast("long")
         bucket = F.pmod(F.xxhash64("row.doc_id", "row.size", F.lit(level), F.lit(seed)), groups)
         item = F.struct((-F.col("row.size")).alias("order"), F.col("row.doc_id").alias("id"), F.col("row").alias("row"), F.col("p").alias("p"))
@@ -115,11 +115,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         folded = scratch.stage(folded)
         out.append(folded.select(F.explode("f.done").alias("d")).select("d.row.*", F.col("d.take").cast("int").alias("take")))
         left = folded.select("source", "_n", F.col("f.rest.p").alias("p"), F.col("f.rest.row").alias("row"))
-        most = -(-most // fan) if most > 1 else 0
-        if most == 1:
-            break
+        most = -(-most // fan)
         level += 1
-    if most:
+    if some:  # one row of each source, also where no source had two
         out.append(left.select("row.*", F.when(F.col("p") >= 0.5, 1).otherwise(0).alias("take")))
     whole = out[0]
     for part in out[1:]:

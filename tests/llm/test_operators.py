@@ -219,6 +219,15 @@ def test_mixing(spark, odd, none):
     assert len(rows(mixing.mix_sources(odd))) == 9 and rows(mixing.mix_sources(none)) == []
 
 
+def test_mixing_keeps_the_last_row_of_every_source(spark):
+    for n in (1, 3, 70):
+        df = spark.createDataFrame([(k, "w " * (5 + k), f"https://host/{k}") for k in range(n)], "doc_id long, text string, source string")
+        got = rows(mixing.mix_sources(df))
+        assert sorted(r["doc_id"] for r in got) == list(range(n)) and all(r["size"] == 5 + r["doc_id"] for r in got)
+        assert all(abs(r["taken"] - r["target"]) <= r["size"] / 2 + 1e-6 for r in got)
+        assert mixing.take_copies(df, mixing.mix_sources(df)).count() == sum(r["copies"] for r in got)
+
+
 def test_targets_are_those_of_round_after_round(spark):
     sizes = {"a": 10, "b": 500, "c": 40, "d": 3, "e": 900, None: 7}
     df = spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(sizes.items())], "doc_id long, source string, size long")
