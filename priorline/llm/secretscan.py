@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 # a run of key characters that holds a digit; a run is never cut, so long keys and PEM lines stay whole
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-# a value that is assigned to a name that says secret, of any make
-ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|private_?key|credentials?|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>|,;]{8,})"
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+# a value that is assigned to a name that says secret, of any make; the name may go on (SECRET_KEY_BASE, token2)
+ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|private_?key|credentials?|auth)(?:[_.\-][\w.\-]{0,40}|\d{1,4})?[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>|,;]{8,})"
 SECRET_WORD = r"(?i)(token|secret|passw|pwd|api_?key|access_?key|private_?key|credential|auth|bearer)"
 HARMLESS_WORD = r"(?i)(sha-?1|sha-?256|md5|checksum|digest|commit|revision|uuid|guid|etag|integrity|hash|build|order|invoice|isbn|phone|tel|version|image|href|http|www)"
 PLACEHOLDER = r"(?i)(example|sample|placeholder|changeme|your[_-]|dummy|test|redacted|xxxx|0123456789|1234567|abcdef|(.)\2{5})"
@@ -95,29 +95,38 @@ def fit_forest(findings: DataFrame, trees: int = 30, depth: int = 7, seed: int =
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    """(doc_id, candidate, start, occurrences, before, after, path): distinct candidates of each text with what surrounds the first one."""
+    """(_row, doc_id, candidate, start, occurrences, before, after, path): one row per occurrence of each distinct candidate of a text, with what
+    surrounds it; ``start`` is the first one's and ``_row`` tells rows of ``docs`` apart."""
     text = text_of(text_col)
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), path.alias("path")).where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED))
     words = F.array_union(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(1)))
-    out = base.withColumn("candidate", F.explode(F.array_distinct(words)))
-    at = F.expr("locate(candidate, text)")
-    out = out.withColumn("_at", at)
-    return out.select("doc_id", "candidate", (F.col("_at") - 1).cast("long").alias("start"),
-                      ((F.length("text") - F.length(F.replace("text", "candidate"))) / F.length("candidate")).cast("long").alias("occurrences"),
-                      F.expr(f"substring(text, greatest(1, _at - {BEFORE}), least({BEFORE}, _at - 1))").alias("before"),
-                      F.expr(f"substring(text, _at + length(candidate), {AFTER})").alias("after"), "path")
+    out = base.withColumn("_row", F.monotonically_increasing_id()).withColumn("candidate", F.explode(F.array_distinct(words)))
+    quoted = F.concat(F.lit(r"\Q"), F.replace("candidate", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    out = out.withColumn("_pieces", F.split("text", quoted))
+    out = out.select("_row", "doc_id", "path", "candidate", F.length(F.element_at("_pieces", 1)).cast("long").alias("start"),
+                     (F.size("_pieces") - 1).cast("long").alias("occurrences"),
+                     F.transform("_pieces", lambda p: F.substring(p, 1, AFTER)).alias("_heads"), F.transform("_pieces", lambda p: F.right(p, F.lit(BEFORE))).alias("_tails"))
+    # a candidate has 8 characters or more, so BEFORE and AFTER reach over BEFORE / 8 and AFTER / 8 other occurrences at most
+    joined = lambda pieces, first, last: F.call_function("array_join", F.slice(pieces, first, last - first + 1), F.col("candidate"))
+    place = lambda i: F.struct(
+        F.right(joined(F.col("_tails"), F.greatest(F.lit(1), i - BEFORE // 8), i), F.lit(BEFORE)).alias("before"),
+        F.left(joined(F.col("_heads"), i + 1, i + 1 + AFTER // 8), F.lit(AFTER)).alias("after"))
+    out = out.withColumn("_place", F.explode(F.transform(F.sequence(F.lit(1), F.size("_tails") - 1), place)))
+    return out.select("_row", "doc_id", "candidate", "start", "occurrences", "_place.before", "_place.after", "path")
 
 
 def scan_secrets(docs: DataFrame, model: PipelineModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source",
                  threshold: float = 0.5) -> DataFrame:
     """(doc_id, candidate, start, length, occurrences, score): one row per distinct secret of a document.
 
-    ``start`` counts code points before the first occurrence.  Null, empty and clean texts give no rows, an empty table none either;
-    repeated rows give repeated findings; a null path is an empty one.
+    Every occurrence is judged by its own surroundings, and the best ``score`` of them decides.  ``start`` counts code points before
+    the first occurrence.  Null, empty and clean texts give no rows, an empty table none either; repeated rows give repeated findings; a null path is an empty one.
     """
     scored = model.transform(with_features(candidates(docs, id_col, text_col, path_col)))
-    return scored.withColumn("score", vector_to_array("probability")[1]).where(F.col("score") >= threshold).select(
+    best = scored.withColumn("score", vector_to_array("probability")[1]).where(F.col("score") >= threshold).groupBy(
+        "_row", "doc_id", "candidate", "start", "occurrences").agg(F.max("score").alias("score"))
+    return best.select(
         "doc_id", "candidate", "start", F.length("candidate").cast("long").alias("length"), "occurrences", F.round("score", 6).alias("score"))
 
 
