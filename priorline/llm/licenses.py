@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,12 +77,53 @@ def anchors(templates: dict[str, list[str]], threshold: float) -> list[str]:
     return chosen
 
 
+def notices(docs: DataFrame, templates: dict[str, list[str]], threshold: float) -> DataFrame:
+    """(doc_id, license, dice, n_matches) of notices anywhere in (doc_id, text): windows of words across the ends of lines and sentences.
+
+    A window that is alike to a template stays so without its outer words that the template lacks, so windows run from one shared bigram to
+    another.  From each shared bigram with enough of them close behind it the end of the highest Dice is taken (bigrams that the template
+    lacks count each time they occur), and of windows that overlap the most alike one stays, whatever its licence.
+    """
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    length = {f"{name}#{k}": len(normal_words(text)) for name, texts in templates.items() for k, text in enumerate(texts)}
+    rows = [(name, key, len(grams), max(1, math.ceil(low * len(grams) - 1e-9)), int(high * len(grams) + 1e-9) + length[key] - 1 - len(grams), k, gram)
+            for name, key, grams in template_rows(templates) if length[key] > 1 for k, gram in enumerate(grams)]
+    table = docs.sparkSession.createDataFrame(rows, "license string, template string, m int, need int, reach int, k int, gram string")
+    keys = ["_row", "doc_id", "_text", "license", "template", "m", "need", "reach"]
+    words = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.xxhash64("text").alias("_text"), words_of(F.col("text")).alias("words")).where(F.size("words") > 1)
+    grams = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    hits = words.select("_row", "doc_id", "_text", F.posexplode(grams).alias("pos", "gram")).join(F.broadcast(table), "gram")  # a fixed table
+    hits = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "k"))).alias("hits")).where(F.size("hits") >= F.col("need"))
+    close = lambda i: F.get("hits", i + F.col("need") - 1)["pos"] - F.get("hits", i)["pos"] < F.col("reach")
+    spans = hits.select(*keys, "hits", F.explode(F.filter(F.sequence(F.lit(0), F.size("hits") - F.col("need")), close)).alias("_i"))
+    spans = spans.withColumn("first", F.get("hits", F.col("_i"))["pos"]).withColumn(
+        "hits", F.filter(F.slice("hits", F.col("_i") + 1, F.col("reach")), lambda x: x["pos"] < F.col("first") + F.col("reach")))
+
+    def step(acc: Column, x: Column) -> Column:
+        again = F.array_contains(acc["seen"], x["k"])
+        both = F.size(acc["seen"]) + F.when(again, 0).otherwise(1)
+        twice = acc["twice"] + F.when(again, 1).otherwise(0)
+        dice = 2.0 * both / (x["pos"] - F.col("first") + 1 - twice + F.col("m"))
+        return F.struct(F.when(again, acc["seen"]).otherwise(F.concat(acc["seen"], F.array(x["k"]))).alias("seen"), twice.alias("twice"),
+                        F.greatest(acc["best"], F.struct(dice.alias("dice"), x["pos"].alias("last"))).alias("best"))
+
+    start = F.struct(F.array().cast("array<int>").alias("seen"), F.lit(0).alias("twice"), F.struct(F.lit(0.0).alias("dice"), F.lit(0).alias("last")).alias("best"))
+    spans = spans.withColumn("best", F.aggregate("hits", start, step)["best"]).where(F.col("best.dice") >= threshold - 1e-9)
+    span = F.struct((-F.col("best.dice")).alias("order"), (F.col("first") - F.col("best.last")).alias("short"), "first", F.col("best.last").alias("last"), "license", "template")
+    spans = spans.groupBy("_row", "doc_id", "_text").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    apart = lambda kept, s: ~F.exists(kept, lambda o: (o["first"] <= s["last"]) & (s["first"] <= o["last"]))
+    kept = F.aggregate("spans", F.slice("spans", 1, 0), lambda kept, s: F.when(apart(kept, s), F.concat(kept, F.array(s))).otherwise(kept))
+    found = spans.select("doc_id", "_text", F.explode(kept).alias("s")).select("doc_id", "_text", "s.*")
+    return found.groupBy("doc_id", "license").agg((-F.min("order")).alias("dice"), F.countDistinct("_text", "first", "last").alias("n_matches"))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None,
                   threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice, n_matches): one row per document and licence that is the most alike to one of its passages.
 
     Passages are the lines of the whole text and the sentences of its lines; ``dice`` is the best one's, ``n_matches`` counts the
-    alike passages.  A passage can be alike only if it holds an anchor word and its bigrams number between t / (2 - t) and (2 - t) / t
+    alike passages.  A licence without such a passage, because its notice is wrapped or stands inside a longer line, is
+    looked for in windows of words of the whole text (``notices``).  A passage can be alike only if it holds an anchor word and its bigrams number between t / (2 - t) and (2 - t) / t
     times the template's; others are left out first.  The templates are a fixed table.  Null, empty and clean texts give
     no rows, an empty table none either; repeated rows are counted together; a null id is one id.
     """
@@ -90,7 +132,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = template_rows(templates)
     words = "|".join(sorted(anchors(templates, threshold)))
     anchor = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
-    base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where(F.col("text").rlike(anchor)).select("doc_id", F.explode(
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where(F.col("text").rlike(anchor))
+    base = texts.select("doc_id", F.explode(
         F.filter(F.split("text", "\n"), lambda x: x.rlike(anchor))).alias("line"))
     passages = F.array_distinct(F.concat(F.array("line"), F.filter(F.split("line", r"(?<=[.!?])\s+"), lambda x: x.rlike(anchor))))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -105,4 +148,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = found.groupBy("doc_id", "unit", "license", "template", "n", "m").agg(F.countDistinct("gram").alias("both"))
     alike = shared.withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("m"))).where(F.col("dice") >= threshold - 1e-9)
     per = alike.groupBy("doc_id", "unit").agg(F.max(F.struct("dice", "license")).alias("best")).select("doc_id", "best.*")
-    return per.groupBy("doc_id", "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count("*").alias("n_matches"))
+    per = per.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("n_matches")).withColumn("_passage", F.lit(1))
+    either = per.unionByName(notices(texts, templates, threshold).withColumn("_passage", F.lit(0)))
+    best = either.groupBy("doc_id", "license").agg(F.max_by(F.struct("dice", "n_matches"), "_passage").alias("best"))
+    return best.select("doc_id", "license", F.round("best.dice", 6).alias("dice"), "best.n_matches")

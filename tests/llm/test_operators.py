@@ -178,6 +178,25 @@ def test_licenses(odd, none):
     assert [(r["doc_id"], r["license"], r["n_matches"]) for r in got] == [(7, "MIT", 2)] and rows(licenses.scan_licenses(none)) == []
 
 
+def test_licenses_of_wrapped_and_embedded_notices(spark):
+    import textwrap
+
+    before, after = "See the notes of the authors and of the readers. Then", "and the rest of the page goes on with other words of the same kind."
+    data, want = [], []
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            for body in (textwrap.fill(text, 40), textwrap.fill(text, 72), f"{before} {text} {after}", f"{before}\n" + textwrap.fill(text, 30) + f"\n{after}",
+                         textwrap.fill(text.replace(" the ", " the very ", 1) if len(text.split()) > 6 else text, 50)):  # with a word more a short one is below 0.8
+                want.append((len(data), name))
+                data.append((len(data), body))
+    both = textwrap.fill(licenses.TEMPLATES["MIT"][2] + " " + licenses.TEMPLATES["Apache-2.0"][1], 60)
+    want += [(len(data), "Apache-2.0"), (len(data), "MIT")]
+    data += [(len(data), both), (len(data) + 1, f"{before} the software is licensed under the terms of this version of the file {after}")]
+    got = rows(licenses.scan_licenses(spark.createDataFrame(data + data[:1], "doc_id long, text string")))
+    assert sorted((r["doc_id"], r["license"]) for r in got) == sorted(want)
+    assert all(0.8 <= r["dice"] <= 1 for r in got) and {r["doc_id"]: r["n_matches"] for r in got}[len(data) - 2] == 1
+
+
 def test_token_counts(odd, none):
     scores, longest = triecount.pieces(PIECES)
     worst = -2 * log(len(scores) + 2)
