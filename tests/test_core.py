@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from priorline.operators.guards import ContractError
 from priorline.operators import adjust as A, components as C, forecast as M, guards, ledger as L, normalize as N, ratings as R, resume as S, windows as W
 
 
@@ -78,6 +79,13 @@ def test_venue_not_identified(spark):
     assert (got["identified"], got["venue"]) == (False, 0.0)
 
 
+def test_venue_that_has_not_settled_fails(spark):
+    rows = [(2024, a, b, (a + 2 * b) % 3 - 1, 1.0 * a + (a * b) % 5, 1.0) for a in range(12) for b in (a, a + 1)]
+    df = spark.createDataFrame(rows, "season INT, offense INT, defense INT, sign INT, y DOUBLE, w DOUBLE")
+    with pytest.raises(ContractError):
+        A.venue_coefficient(df, ["season"], rounds=10)
+
+
 def kalman(series, q, r):
     m, v, last, out = 0.0, 1.0, None, []
     for at, z, n in series:
