@@ -1,11 +1,17 @@
-"""Reachability and components on edge tables, by joins until nothing changes."""
+"""Reachability, cycles and components on edge tables.
+
+Directed questions are answered from hop tables: the pairs exactly 1, 2, 4, ... hops apart, each joined from the one before.
+Any distance is a sum of such hops, so one pass over the tables, longest first, follows every path: the number of joins
+grows with the logarithm of the depth.  Where the next table would grow past a budget the tables end there, and passes are
+repeated until nothing changes, so the answers stay exact.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, stage_table
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -25,36 +31,97 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
-def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """IT-29: nodes reachable from the roots; each round joins only the newly found frontier."""
-    seen = cut_lineage(roots.select(F.col("node")).distinct())
-    frontier = seen
-    while True:
-        found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(found.join(seen, "node", "left_anti"))
-        if not frontier.limit(1).count():
-            return seen.join(roots.select("node"), "node", "left_anti")
-        seen = cut_lineage(seen.unionByName(frontier))
+def nodes_of(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """IT-29: nodes on or between cycles: strip sources and sinks until none is left."""
-    cur = cut_lineage(edges.select("src", "dst").distinct())
-    while True:
-        nxt = cut_lineage(cur.join(cur.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(
-            cur.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
-        if nxt.count() == cur.count():
-            return nxt.select("src").union(nxt.select("dst")).distinct().withColumnRenamed("src", "node")
-        cur = nxt
+def hop_tables(edges: DataFrame, max_pairs: int | None = None) -> tuple[list[DataFrame], bool]:
+    """Pairs exactly 1, 2, 4, ... hops apart, and whether every distance of the graph is covered.
+
+    The next table is made only if its join has at most ``max_pairs`` rows (eight times the edges, 5 million at least).
+    """
+    tables = [stage_table(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())]
+    many, hops = nodes_of(tables[0]).count(), 1
+    budget = max_pairs or max(8 * tables[0].count(), 5_000_000)
+    while hops < many:
+        last = tables[-1]
+        came, went = last.groupBy("dst").count(), last.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("_out"))
+        rows = came.join(went, "dst").agg(F.sum(F.col("count") * F.col("_out"))).first()[0] or 0
+        if not rows or rows > budget:
+            return tables, not rows
+        onward = last.select(F.col("src").alias("_mid"), F.col("dst").alias("_end"))
+        tables.append(stage_table(last.join(onward, F.col("dst") == F.col("_mid")).select("src", F.col("_end").alias("dst")).distinct()))
+        hops *= 2
+    return tables, True
 
 
-def worst_class(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """IT-29: each node takes the largest class among itself and its ancestors."""
-    cur = cut_lineage(classes.select("node", F.col("level").alias("worst")))
+def spread_max(labels: DataFrame, tables: list[DataFrame], complete: bool) -> DataFrame:
+    """(node, value): the largest value among the node and all nodes that lead to it; nodes without a value get one if reached."""
+    cur = stage_table(labels.groupBy("node").agg(F.max("value").alias("value")))
     while True:
-        passed = edges.join(cur, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("worst").alias("_w"))
-        nxt = cut_lineage(cur.join(passed, "node", "left").select("node", F.greatest("worst", F.coalesce("_w", "worst")).alias("worst"), F.col("worst").alias("_was")))
-        moved = nxt.where("worst <> _was").limit(1).count()
-        cur = nxt.select("node", "worst")
-        if not moved:
+        was = cur
+        for hops in reversed(tables):
+            passed = hops.join(cur, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "value")
+            cur = stage_table(cur.unionByName(passed).groupBy("node").agg(F.max("value").alias("value")))
+        if complete or not cur.join(was.withColumnRenamed("value", "_was"), "node", "left").where("_was IS NULL OR _was < value").limit(1).count():
             return cur
+
+
+def descendants(edges: DataFrame, roots: DataFrame, max_pairs: int | None = None) -> DataFrame:
+    """IT-29: nodes that one or more edges lead to from the roots; a root only if a cycle leads back to it."""
+    tables, complete = hop_tables(edges, max_pairs)
+    first = tables[0].join(roots.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node"), F.lit(1).alias("value"))
+    return spread_max(first, tables, complete).select("node")
+
+
+def cycle_nodes(edges: DataFrame, max_pairs: int | None = None) -> DataFrame:
+    """IT-29: (node, cycle) of the nodes on cycles; ``cycle`` is the smallest node of the strongly connected component.
+
+    Nodes without long walks on both sides go first.  What is left is coloured with the largest priority that leads to a node
+    (priorities are hashes, new in each round); a component lies in one colour, and the one of the colour's own node is what
+    leads back to it.  Found components and edges between colours go, until no edge is left.
+    """
+    left = stage_table(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    loops = left.where("src = dst").select(F.col("src").alias("node"))
+    found = loops.select("node", F.col("node").alias("cycle"))
+    left, turn = stage_table(left.where("src <> dst")), 0
+    while True:
+        tables, complete = hop_tables(left, max_pairs)
+        if complete and not tables[-1].join(tables[-1].select(F.col("src").alias("dst")), "dst", "left_semi").limit(1).count():
+            return found.groupBy("node").agg(F.min("cycle").alias("cycle"))  # the longest walks end: no cycle is left
+        walks = tables[-1]
+        core = walks.select(F.col("src").alias("node")).distinct().join(walks.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+        core = stage_table(core)
+        inner = left.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+        inner = stage_table(inner)
+        if not inner.limit(1).count():
+            return found.groupBy("node").agg(F.min("cycle").alias("cycle"))
+        priority = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("top"))
+        tables, complete = hop_tables(inner, max_pairs)
+        colour = stage_table(spread_max(nodes_of(inner).select("node", priority.alias("value")), tables, complete).select("node", F.col("value.top").alias("top")))
+        ends = inner.join(colour.select(F.col("node").alias("src"), F.col("top").alias("_a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("top").alias("_b")), "dst")
+        same = stage_table(ends.where("_a = _b").select("src", "dst", F.col("_a").alias("top")))
+        back, whole = hop_tables(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_pairs)
+        tops = same.select("top").distinct().select(F.col("top").alias("node"), F.lit(1).alias("value"))
+        member = stage_table(spread_max(tops, back, whole).select("node").join(colour, "node"))
+        size = member.groupBy("top").agg(F.count("*").alias("_n"), F.min("node").alias("cycle")).where("_n > 1")
+        member = stage_table(member.join(size, "top").select("node", "cycle"))
+        found = stage_table(found.unionByName(member))
+        gone = member.select("node")
+        left = stage_table(same.select("src", "dst").join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+                           .join(tops.select(F.col("node").alias("src")), "src", "left_anti").join(tops.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        turn += 1
+
+
+def worst_class(classes: DataFrame, edges: DataFrame, unresolved: int, max_pairs: int | None = None) -> DataFrame:
+    """IT-29: each node takes the worst (largest) class among itself and its ancestors.
+
+    A node without a class, parent or child, is ``unresolved``, the worst.  Rows: nodes with a class, and all children.
+    """
+    if classes.where(f"level IS NULL OR level < 0 OR level > {unresolved}").limit(1).count():
+        raise ValueError("unsupported class")
+    tables, complete = hop_tables(edges, max_pairs)
+    bare = nodes_of(tables[0]).join(classes, "node", "left_anti").select("node", F.lit(unresolved).alias("value"))
+    own = classes.select("node", F.col("level").alias("value"))
+    listed = own.select("node").unionByName(tables[0].select(F.col("dst").alias("node"))).distinct()
+    return spread_max(own.unionByName(bare), tables, complete).join(listed, "node", "left_semi").select("node", F.col("value").alias("worst"))

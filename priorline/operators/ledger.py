@@ -8,8 +8,6 @@ running flag.  All three are two-level running values, so one very long game is
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,59 +109,6 @@ def drive_points(plays: DataFrame, order: list[str], slice_by: Column | str) ->
         *STREAM, "drive_number", (F.col("_l") - F.coalesce("_f._was", F.lit(0.0))).alias("points"))
 
 
-def pool(values: np.ndarray, weights: np.ndarray) -> list[tuple[float, float, int]]:
-    """Pool adjacent violators: (level, weight, number of inputs) of each block, left to right."""
-    blocks: list[tuple[float, float, int]] = []
-    for v, w in zip(values, weights):
-        block = (float(v), float(w), 1)
-        while blocks and blocks[-1][0] >= block[0]:
-            v0, w0, n0 = blocks.pop()
-            block = ((v0 * w0 + block[0] * block[1]) / (w0 + block[1]), w0 + block[1], n0 + block[2])
-        blocks.append(block)
-    return blocks
-
-
-def isotonic_levels(rows: DataFrame, group: list[str], order: list[str], slice_by: Column | str, score: str) -> DataFrame:
-    """Non-decreasing least-squares fit per group, exact, in two levels.
-
-    Pooling may be done on parts first: each slice is pooled on its own, then the blocks of a group
-    (at most one per distinct score level and slice) are pooled.  A very long game is split over tasks.
-    """
-    slice_by = F.expr(slice_by) if isinstance(slice_by, str) else slice_by
-    narrow = rows.select(*group, *dict.fromkeys([*order, "play_id"]), F.coalesce(F.col(score), F.lit(0.0)).alias("_y"),
-                         F.datediff(slice_by, F.lit("1970-01-01")).alias("_s"))
-    kinds = dict(narrow.dtypes)
-    named = lambda cols: ", ".join(f"{c} {kinds[c]}" for c in cols)
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        blocks = pool(pdf["_y"].to_numpy(float), np.ones(len(pdf)))
-        sizes = [n for _, _, n in blocks]
-        return pdf[[*group, "play_id", "_s"]].assign(_b=np.repeat(np.arange(len(blocks)), sizes), _v=np.repeat([v for v, _, _ in blocks], sizes))
-
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_s", "_b"])
-        blocks = pool(pdf["_v"].to_numpy(float), pdf["_w"].to_numpy(float))
-        return pdf[[*group, "_s", "_b"]].assign(level=np.repeat([v for v, _, _ in blocks], [n for _, _, n in blocks]))
-
-    parts = stage_table(narrow.groupBy(*group, "_s").applyInPandas(first, f"{named([*group, 'play_id'])}, _s INT, _b BIGINT, _v DOUBLE"))
-    blocks = parts.groupBy(*group, "_s", "_b").agg(F.first("_v").alias("_v"), F.count("*").cast("double").alias("_w"))
-    merged = blocks.groupBy(*group).applyInPandas(second, f"{named(group)}, _s INT, _b BIGINT, level DOUBLE")
-    return parts.join(merged, [*group, "_s", "_b"]).select(*group, "play_id", "level")
-
-
-def repair_scores(stream: DataFrame, finals: DataFrame, order: list[str], slice_by: Column | str, rule: str) -> DataFrame:
-    """IT-21: R1 envelope, R2 isotonic fit, R3 isotonic fit per quarter, R4 scoring rows only."""
-    s = stream.join(finals.select(*STREAM, "final"), STREAM, "left")
-    if rule in ("R1", "R4"):
-        source = F.col("score") if rule == "R1" else F.when(F.col("is_scoring"), F.col("score"))
-        out = running(s, STREAM, order, slice_by, {"_top": ("max", source)})
-        return out.withColumn("repaired", F.least(F.coalesce("_top", F.lit(0.0)), F.col("final"))).drop("_top")
-    group = STREAM if rule == "R2" else [*STREAM, "quarter"]
-    fit = isotonic_levels(s, group, order, slice_by, "score").join(finals.select(*STREAM, "final"), STREAM, "left")
-    return fit.select("play_id", *STREAM, F.least(F.floor(F.col("level") + 0.5).cast("double"), F.col("final")).alias("repaired"))
-
-
 def changed_groups(baseline: DataFrame, candidate: DataFrame, order: str) -> DataFrame:
     """IT-22: maximal runs of changed events per (game, team), merged over conversion references."""
     keys = [*STREAM, "play_id"]

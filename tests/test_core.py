@@ -161,18 +161,6 @@ def test_scoring_events_equal_walk(spark, seed):
         assert stopped == ([] if stop is None else [stop])
 
 
-def test_isotonic_slices_do_not_matter(spark):
-    rng = random.Random(4)
-    ys = [rng.randint(0, 30) + i // 4 for i in range(60)]
-    want = [v for v, _, n in L.pool(np.array(ys, float), np.ones(60)) for _ in range(n)]
-    assert all(a <= b for a, b in zip(want, want[1:])) and sum(want) == pytest.approx(sum(ys))
-    df = spark.createDataFrame([(1, 1, i, float(y)) for i, y in enumerate(ys)], "game_id BIGINT, team BIGINT, play_id BIGINT, y DOUBLE")
-    for width in (1, 7, 100):
-        day = f"date_add(DATE '2024-01-01', CAST(play_id / {width} AS INT))"
-        got = L.isotonic_levels(df, ["game_id", "team"], ["play_id"], day, "y").orderBy("play_id").collect()
-        assert [r["level"] for r in got] == pytest.approx(want)
-
-
 @pytest.mark.parametrize("n", [1, 2, 7, 500])
 def test_exact_quantiles(spark, n):
     from priorline.operators.scan import exact_quantiles
