@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage_table
+from . import folds
+from .guards import ContractError
 from .scan import running
 
 
@@ -36,146 +39,218 @@ def analytic_update(prior_mean: Column, prior_var: Column, observation: Column,
             "weight": info / (1 / prior_var + info)}
 
 
-# A filter step as an element (A, b, C, eta, J): elements compose associatively, so a long series can
-# be cut into chunks that are composed in parallel (Sarkka and Garcia-Fernandez, 2020).
-_EL = "struct<A:double,b:double,C:double,eta:double,J:double>"
-
-
-def _el(a: Column, b: Column, c: Column, eta: Column, j: Column) -> Column:
-    return F.struct(a.alias("A"), b.alias("b"), c.alias("C"), eta.alias("eta"), j.alias("J"))
-
-
-def _compose(x: Column, y: Column) -> Column:
-    d = 1 + x["C"] * y["J"]
-    return _el(y["A"] * x["A"] / d, y["A"] * (x["b"] + x["C"] * y["eta"]) / d + y["b"], y["A"] * y["A"] * x["C"] / d + y["C"],
-               x["A"] * (y["eta"] - y["J"] * x["b"]) / d + x["eta"], x["A"] * x["A"] * y["J"] / d + x["J"])
+def _chunked(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, chunk: int, columns: dict[str, Column]) -> DataFrame:
+    """The rows with their place ``_p``, chunk ``_c``, the time of the row before, and named inputs; written once."""
+    base = running(df.withColumns(columns), keys, order, slice_by, {"_was": ("last", columns["_at"])} | {"_p": ("count", F.lit(1))}, inclusive=False)
+    return stage_table(base.withColumns({"_c": F.expr(f"_p div {chunk}"), "_weeks": F.coalesce((F.col("_at") - F.col("_was")) / 86400.0, F.lit(0.0)) / 7.0}))
 
 
 def kalman_filter(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, z: Column, exposure: Column, time: Column,
                   q: Column, r: Column, prior_mean: Column, prior_var: Column, chunk: int = 512) -> DataFrame:
     """IT-10: filter state after each row; variance grows by q per week, a missing value only widens.
 
-    1. rows become elements, and chunks of at most ``chunk`` rows are composed (parallel over chunks);
-    2. the chunk elements of a key, one per ``chunk`` rows, give the state each chunk starts from;
-    3. every chunk is replayed from its start.  No task holds more than a chunk of rows.
+    Rows are folded in chunks (:mod:`folds`): no task holds more than a chunk of rows, and inside a chunk the states of all
+    rows come from array operations.
     """
-    base = df.withColumns({"_z": z.cast("double"), "_n": exposure.cast("double"), "_at": time, "_pm": prior_mean, "_pv": prior_var, "_q": q, "_r": r})
-    base = running(base, keys, order, slice_by, {"_was": ("last", F.col("_at")), "_p": ("count", F.lit(1))}, inclusive=False)
-    used = F.col("_z").isNotNull() & ~F.isnan("_z") & (F.col("_n") > 0)
-    noise = F.col("_q") * F.coalesce((F.col("_at") - F.col("_was")) / 86400.0, F.lit(0.0)) / 7.0
-    base = base.withColumns({"_Q": noise, "_R": F.when(used, F.col("_r") / F.col("_n")), "_c": F.floor(F.col("_p") / chunk)})
-    s = F.col("_Q") + F.col("_R")
-    k = F.col("_Q") / s
-    zero, one = F.lit(0.0), F.lit(1.0)
-    element = F.when(used, _el(1 - k, k * F.col("_z"), (1 - k) * F.col("_Q"), F.col("_z") / s, 1 / s)).otherwise(
-        _el(one, zero, F.col("_Q"), zero, zero))
-    row = F.struct("_p", element.alias("e"), "_Q", "_R", "_z", F.struct(*[F.col(c) for c in df.columns if c not in keys]).alias("keep"))
-    chunks = base.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.first("_pm").alias("_pm"), F.first("_pv").alias("_pv"))
-    identity = _el(one, zero, zero, zero, zero)
-    chunks = chunks.withColumn("_whole", F.aggregate("_rows", identity, lambda acc, x: _compose(acc, x["e"])))
-    # start states: one struct per chunk of the key
-    starts = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", "_whole"))).alias("_list"), F.first("_pm").alias("_pm0"),
-                                       F.first("_pv").alias("_pv0"))
-    state = lambda m, v: F.struct(m.alias("m"), v.alias("v"))
-    apply_el = lambda st, e: state(e["A"] * (st["m"] + st["v"] * e["eta"]) / (1 + st["v"] * e["J"]) + e["b"],
-                                   e["A"] * e["A"] * st["v"] / (1 + st["v"] * e["J"]) + e["C"])
-    walk = F.aggregate(
-        "_list", F.struct(state(F.col("_pm0"), F.col("_pv0")).alias("s"), F.array().cast("array<struct<c:bigint,m:double,v:double>>").alias("out")),
-        lambda acc, x: F.struct(apply_el(acc["s"], x["_whole"]).alias("s"), F.concat(acc["out"], F.array(F.struct(
-            x["_c"].alias("c"), acc["s"]["m"].alias("m"), acc["s"]["v"].alias("v")))).alias("out")))
-    starts = starts.select(*keys, F.inline(walk["out"])).withColumnsRenamed({"c": "_c", "m": "_m0", "v": "_v0"})
-    out_type = "array<struct<keep:{0},pred_mean:double,pred_variance:double,noise:double,mean:double,variance:double>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        st = acc["s"]
-        pv = st["v"] + x["_Q"]
-        seen = x["_R"].isNotNull()
-        gain = F.when(seen, pv / (pv + x["_R"])).otherwise(0.0)
-        m = st["m"] + gain * (F.coalesce(x["_z"], F.lit(0.0)) - st["m"])
-        v = (1 - gain) * pv
-        row_out = F.struct(x["keep"].alias("keep"), st["m"].alias("pred_mean"), pv.alias("pred_variance"), x["_R"].alias("noise"),
-                           m.alias("mean"), v.alias("variance"))
-        return F.struct(state(m, v).alias("s"), F.concat(acc["out"], F.array(row_out)).alias("out"))
-
-    keep_type = chunks.schema["_rows"].dataType.elementType["keep"].dataType.simpleString()
-    replay = F.aggregate("_rows", F.struct(state(F.col("_m0"), F.col("_v0")).alias("s"), F.array().cast(out_type.format(keep_type)).alias("out")), step)
-    out = chunks.join(starts, [*keys, "_c"]).select(*keys, F.inline(replay["out"]))
-    return out.select(*keys, "keep.*", "pred_mean", "pred_variance", "noise", "mean", "variance")
-
-
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], schema: str, init: Callable[[], dict],
-                 step: Callable[[dict, tuple], tuple]) -> DataFrame:
-    """A fold whose steps do not compose: rows of a key in order, streamed in Arrow batches.
-
-    Rows are hash-partitioned by key and sorted in the partition (a spilling sort); the task keeps
-    the state of one key only, so a very long series needs time but no memory.
-    """
-    columns = df.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for batch in batches:
-            rows = []
-            for row in batch[columns].itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                if key != current:
-                    current, state = key, init()
-                rows.append(step(state, row))
-            yield pd.DataFrame(rows, columns=out_names)
-
-    from pyspark.sql.types import _parse_datatype_string
-    out_names = [f.name for f in _parse_datatype_string(schema).fields]
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-
-
-def capped_kalman(df: DataFrame, keys: list[str], order: list[str], id_columns: dict[str, str], q: float, sigma2: float, weak_weight: float = 0.25,
-                  cap: float = 1.5, floor: float = 1e-4) -> DataFrame:
+    base = _chunked(df, keys, order, slice_by, chunk, {
+        "_z": z.cast("double"), "_n": exposure.cast("double"), "_at": time.cast("double"), "_q": q.cast("double"), "_r": r.cast("double"),
+        "_first": F.array(prior_mean.cast("double"), prior_var.cast("double"))})
+
+    def parts(pdf: pd.DataFrame) -> tuple:
+        # q and r may differ by row
+        columns = {c: pdf[c].to_numpy(float) for c in ("_q", "_r", "_weeks", "_n", "_z")}
+        return folds.kalman_elements(columns["_q"][:, None], columns["_r"][:, None], columns["_weeks"], columns["_n"], columns["_z"])
+
+    def summarise(pdf: pd.DataFrame, seg: np.ndarray) -> list[np.ndarray]:
+        last = np.append(folds.heads(seg)[1:], len(seg)) - 1
+        return list(folds.segment_prefix(parts(pdf)[0], seg, folds.kalman_compose)[:, last, 0].T)
+
+    def replay(pdf: pd.DataFrame, seg: np.ndarray, starts: list[np.ndarray]) -> tuple[np.ndarray, dict]:
+        e, drift, noise = parts(pdf)
+        after, before = folds.kalman_states(e, seg, np.array(starts).T[:, :, None])
+        return np.arange(len(pdf)), {
+            "_p": pdf["_p"].to_numpy(), "pred_mean": before[0, :, 0], "pred_variance": before[1, :, 0] + drift[:, 0],
+            "noise": [x if x < np.inf else None for x in noise[:, 0]], "mean": after[0, :, 0], "variance": after[1, :, 0]}
+
+    rows = base.select(*keys, "_c", "_p", "_z", "_n", "_weeks", "_q", "_r", "_first")
+    out = folds.chunked_fold(rows, keys, summarise, folds.kalman_apply, folds.kalman_compose, replay,
+                             "_p BIGINT, pred_mean DOUBLE, pred_variance DOUBLE, noise DOUBLE, mean DOUBLE, variance DOUBLE")
+    return base.join(out, [*keys, "_p"]).select(*df.columns, "pred_mean", "pred_variance", "noise", "mean", "variance")
+
+
+def capped_kalman(df: DataFrame, keys: list[str], order: list[str], id_columns: list[str], slice_by: Column | str, q: float, sigma2: float, weak_weight: float = 0.25,
+                  cap: float = 1.5, floor: float = 1e-4, chunk: int = 512) -> DataFrame:
     """IT-11: exposure-weighted filter with down-weighted, capped innovations and a variance floor.
 
-    Columns: value, exposure, weak.  The cap makes steps non-associative, hence the ordered fold.
+    Columns: value, exposure, weak.  The variance does not depend on the mean, and its step composes; given the gains, a
+    capped step of the mean is a rising piecewise linear function, and these compose as well, so both run in chunks.
     """
-    names = list(id_columns)
-    schema = ", ".join(f"{n} {t}" for n, t in id_columns.items()) + ", mean double, variance double, gain double, capped boolean"
-
-    def init() -> dict:
-        return {"m": 0.0, "v": 1.0}
-
-    def step(state: dict, row: tuple) -> tuple:
-        ids = tuple(getattr(row, n) for n in names)
-        pv = state["v"] + q
-        usable = row.value is not None and row.value == row.value and row.exposure is not None and row.exposure > 0
-        if not usable:
-            state["v"] = pv
-            return (*ids, state["m"], pv, 0.0, False)
-        n = max(float(row.exposure), 1.0)
-        noise = sigma2 / (weak_weight * n) if row.weak else sigma2 / n
-        gap = row.value - state["m"]
-        used = max(-cap, min(cap, gap)) if row.weak else gap
-        gain = pv / (pv + noise)
-        state["m"] += gain * used
-        state["v"] = max((1 - gain) * pv, floor)
-        return (*ids, state["m"], state["v"], gain, used != gap)
-
-    return ordered_fold(df, keys, order, schema, init, step)
-
-
-def noise_grid(df: DataFrame, qs: list[float], rs: list[float]) -> DataFrame:
-    """The series once per (q, r) of a fixed grid, as an exploded literal array."""
-    grid = F.array(*[F.struct(F.lit(float(a)).alias("q"), F.lit(float(b)).alias("r")) for a in qs for b in rs])
-    return df.select("*", F.inline(grid))
+    base = _chunked(df, keys, order, slice_by, chunk, {"_z": F.col("value").cast("double"), "_n": F.col("exposure").cast("double"), "_weak": F.coalesce(F.col("weak"), F.lit(False)),
+                                                       "_at": F.lit(0.0)})
+    used = F.col("_z").isNotNull() & ~F.isnan("_z") & (F.col("_n") > 0)
+    # the mean never leaves the interval of its start and the values
+    reach = base.groupBy(*keys).agg(F.least(F.lit(0.0), F.min(F.when(used, F.col("_z")))).alias("_lo"), F.greatest(F.lit(0.0), F.max(F.when(used, F.col("_z")))).alias("_hi"))
+
+    def floors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        z, n = pdf["_z"].to_numpy(float), pdf["_n"].to_numpy(float)
+        ok = np.isfinite(z) & (n > 0)
+        noise = sigma2 / (np.where(pdf["_weak"].to_numpy(bool), weak_weight, 1.0) * np.maximum(np.where(ok, n, 1.0), 1.0))
+        one, zero = np.ones(len(z)), np.zeros(len(z))
+        return np.stack([np.where(ok, noise, one), np.where(ok, noise * q, q), np.where(ok, one, zero), np.where(ok, q + noise, one), np.where(ok, floor, -np.inf)]), noise, ok
+
+    def summarise_variance(pdf: pd.DataFrame, seg: np.ndarray) -> list[np.ndarray]:
+        last = np.append(folds.heads(seg)[1:], len(seg)) - 1
+        return list(folds.segment_prefix(floors(pdf)[0], seg, folds.floor_compose)[:, last].T)
+
+    def replay_variance(pdf: pd.DataFrame, seg: np.ndarray, starts: list[np.ndarray]) -> tuple[np.ndarray, dict]:
+        e, noise, ok = floors(pdf)
+        starts = np.array(starts)[:, 0]
+        variance = folds.floor_apply(starts[seg], folds.segment_prefix(e, seg, folds.floor_compose))
+        before = np.concatenate([variance[:1], variance[:-1]])
+        before[folds.heads(seg)] = starts
+        gain = np.where(ok, (before + q) / (before + q + noise), 0.0)
+        return np.arange(len(pdf)), {"_p": pdf["_p"].to_numpy(), "variance": variance, "gain": gain, "_ok": ok}
+
+    rows = base.select(*keys, "_c", "_p", "_z", "_n", "_weak", F.array(F.lit(1.0)).alias("_first"))
+    spread = folds.chunked_fold(rows, keys, summarise_variance, lambda s, e: np.atleast_1d(folds.floor_apply(s, e)), folds.floor_compose, replay_variance,
+                                "_p BIGINT, variance DOUBLE, gain DOUBLE, _ok BOOLEAN")
+    rows = base.select(*keys, "_c", "_p", "_z", "_weak", F.array(F.lit(0.0)).alias("_first")).join(spread, [*keys, "_p"]).join(reach, keys)
+
+    def summarise_mean(pdf: pd.DataFrame, seg: np.ndarray) -> list[np.ndarray]:
+        out, was = [], -1
+        for here, lo, hi, z, gain, ok, weak in zip(seg, *(pdf[c].to_numpy() for c in ("_lo", "_hi", "_z", "gain", "_ok", "_weak"))):
+            if here != was:
+                out.append(None if was < 0 else np.concatenate(folds.thin(xs, ys)))
+                xs = ys = np.array([lo, hi])
+                was = here
+            if ok:
+                xs, ys = folds.thin(*folds.capped_steps(xs, ys, z, gain, cap)) if weak else (xs, ys + gain * (z - ys))
+        return [*out[1:], np.concatenate(folds.thin(xs, ys))]
+
+    def after(state: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return np.interp(state, *np.split(e, 2))
+
+    def then(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        (xs, mid), (ins, outs) = np.split(x, 2), np.split(y, 2)
+        corners = ins[(ins > mid[0]) & (ins < mid[-1])]
+        at = np.interp(corners, mid, xs)
+        order = np.searchsorted(xs, at)
+        xs, mid = np.insert(xs, order, at), np.insert(mid, order, corners)
+        return np.concatenate(folds.thin(xs, np.interp(mid, ins, outs)))
+
+    def replay_mean(pdf: pd.DataFrame, seg: np.ndarray, starts: list[np.ndarray]) -> tuple[np.ndarray, dict]:
+        means, capped, was, m = [], [], -1, 0.0
+        for here, z, gain, ok, weak in zip(seg, *(pdf[c].to_numpy() for c in ("_z", "gain", "_ok", "_weak"))):
+            m = float(starts[here][0]) if here != was else m
+            was, gap = here, z - m if ok else 0.0
+            step = max(-cap, min(cap, gap)) if weak else gap
+            m += gain * step
+            means.append(m)
+            capped.append(step != gap)
+        return np.arange(len(pdf)), {"_p": pdf["_p"].to_numpy(), "mean": means, "variance": pdf["variance"].to_numpy(), "gain": pdf["gain"].to_numpy(), "capped": capped}
+
+    out = folds.chunked_fold(rows, keys, summarise_mean, after, then, replay_mean, "_p BIGINT, mean DOUBLE, variance DOUBLE, gain DOUBLE, capped BOOLEAN")
+    return base.select(*dict.fromkeys([*keys, *id_columns]), "_p").join(out, [*keys, "_p"]).select(*id_columns, "mean", "variance", "gain", "capped")
+
+
+Q_BOUNDS, R_BOUNDS = (0.0, 1.0), (1e-6, 100.0)
+MIN_OBSERVATIONS = 8
+
+
+class NoiseSeries:
+    """Series whose innovation likelihood is wanted for several (q, r) of their group; written once, read in every round."""
+
+    def __init__(self, df: DataFrame, group: list[str], keys: list[str], order: list[str], slice_by: Column | str, z: Column, exposure: Column, time: Column, chunk: int = 512):
+        self.group, self.keys = group, list(dict.fromkeys([*group, *keys]))
+        inputs = {"_z": z.cast("double"), "_n": exposure.cast("double"), "_at": time.cast("double")}
+        usable = df.withColumns(inputs).where("_z IS NOT NULL AND NOT isnan(_z) AND abs(_z) < double('infinity') AND _n > 0")
+        self.all = df.select(*group).distinct()
+        self.rows = _chunked(usable, self.keys, order, slice_by, chunk, {c: F.col(c) for c in inputs}).select(*self.keys, "_c", "_p", "_z", "_n", "_weeks")
+
+    def objective(self, candidates: DataFrame) -> DataFrame:
+        """``candidates`` (group, _q, _r arrays) to (group, i, objective): half the sum of log variance and squared standardised innovation."""
+
+        def parts(pdf: pd.DataFrame, seg: np.ndarray) -> tuple:
+            q, r = (np.array(pdf[c].iloc[folds.heads(seg)].to_list(), float)[seg] for c in ("_q", "_r"))
+            return folds.kalman_elements(q, r, *(pdf[c].to_numpy(float) for c in ("_weeks", "_n", "_z")))
+
+        def blocks(seg: np.ndarray, candidates: int):
+            """Whole segments, as many as make about 200,000 cells, so that memory does not grow with the candidates."""
+            first = folds.heads(seg)
+            cuts = first[np.diff(first // max(1, 200_000 // candidates), prepend=-1) > 0]
+            return zip(cuts, [*cuts[1:], len(seg)])
+
+        def summarise(pdf: pd.DataFrame, seg: np.ndarray) -> list[np.ndarray]:
+            out = []
+            for a, b in blocks(seg, len(pdf["_q"].iloc[0])):
+                part, own = pdf.iloc[a:b], seg[a:b] - seg[a]
+                last = np.append(folds.heads(own)[1:], len(own)) - 1
+                out += [x.ravel() for x in np.moveaxis(folds.segment_prefix(parts(part, own)[0], own, folds.kalman_compose)[:, last], 1, 0)]
+            return out
+
+        def replay(pdf: pd.DataFrame, seg: np.ndarray, starts: list[np.ndarray]) -> tuple[np.ndarray, dict]:
+            many, losses = len(pdf["_q"].iloc[0]), []
+            for a, b in blocks(seg, many):
+                part, own = pdf.iloc[a:b], seg[a:b] - seg[a]
+                e, drift, noise = parts(part, own)
+                start = np.stack([np.repeat(s.reshape(2, -1), many, axis=1) if s.size == 2 else s.reshape(2, -1) for s in starts[seg[a]:seg[b - 1] + 1]], axis=1)
+                _, before = folds.kalman_states(e, own, start)
+                s = before[1] + drift + noise
+                loss = 0.5 * (np.log(s) + (part["_z"].to_numpy(float)[:, None] - before[0]) ** 2 / s)
+                losses.append(np.add.reduceat(loss, folds.heads(own), axis=0))
+            loss = np.concatenate(losses)
+            return np.repeat(folds.heads(seg), many), {"i": np.tile(np.arange(many), len(loss)), "loss": loss.ravel()}
+
+        def spread(f):
+            def run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                y = y.reshape(5, -1)
+                x = x.reshape(2 if f is folds.kalman_apply else 5, -1)
+                x = np.repeat(x, y.shape[1], axis=1) if x.shape[1] == 1 else x
+                return f(x, y).ravel()
+
+            return run
+
+        rows = self.rows.join(candidates, self.group).withColumn("_first", F.array(F.lit(0.0), F.lit(1.0)))
+        head = F.col("_p") == F.min("_p").over(Window.partitionBy(*self.keys, "_c"))
+        rows = rows.withColumns({c: F.when(head, F.col(c)) for c in ("_q", "_r")})  # one copy a chunk is enough
+        out = folds.chunked_fold(rows, self.keys, summarise, spread(folds.kalman_apply), spread(folds.kalman_compose), replay, "i BIGINT, loss DOUBLE")
+        return out.groupBy(*self.group, "i").agg(F.sum("loss").alias("objective"))
 
 
 def fit_noise(df: DataFrame, group: list[str], keys: list[str], order: list[str], slice_by: Column | str, z: Column, exposure: Column, time: Column,
-              qs: list[float], rs: list[float]) -> DataFrame:
-    """IT-12: the (q, r) of largest innovation likelihood per group; ties go to the smaller pair."""
-    g = noise_grid(df, qs, rs)
-    zero, one = F.lit(0.0), F.lit(1.0)
-    f = kalman_filter(g.withColumn("_zz", z), list(dict.fromkeys([*group, *keys])) + ["q", "r"], order, slice_by, F.col("_zz"), exposure, time,
-                      F.col("q"), F.col("r"), zero, one)
-    s = F.col("pred_variance") + F.col("noise")
-    ll = -0.5 * (F.log(2 * math.pi * s) + F.pow(F.col("_zz") - F.col("pred_mean"), 2) / s)
-    score = f.where("noise IS NOT NULL").groupBy(*group, "q", "r").agg(F.sum(ll).alias("loglik"), F.count("*").alias("n"))
-    return score.groupBy(*group).agg(F.min_by(F.struct("q", "r", "loglik", "n"), F.struct(-F.round("loglik", 6), "q", "r")).alias("b")).select(*group, "b.*")
+              tolerance: float = 1e-4, rounds: int = 60, chunk: int = 512) -> DataFrame:
+    """IT-12: (q, r, objective, converged, n) of largest innovation likelihood per group, q in [0, 1], r in [1e-6, 100].
+
+    All groups are searched at once: a grid over the whole range (root of q, logarithm of r), then grids around each group's
+    best point, a third as wide whenever the best lies inside, until they are narrower than ``tolerance``.  Ties go to the
+    smaller pair.  A group of fewer than 8 usable rows gets (0, 1, null, false).
+    """
+    series = NoiseSeries(df, group, keys, order, slice_by, z, exposure, time, chunk)
+    many = series.rows.groupBy(*group).agg(F.count("*").alias("n"))
+    lo, hi = math.log(R_BOUNDS[0]), math.log(R_BOUNDS[1])
+    box = stage_table(many.where(f"n >= {MIN_OBSERVATIONS}").select(*group, F.lit(0.5).alias("t"), F.lit((lo + hi) / 2).alias("u"), F.lit(0.5).alias("dt"), F.lit((hi - lo) / 2).alias("du")))
+    offsets, first = [k / 3 for k in range(-3, 4)], [k / 6 for k in range(-6, 7)]
+    for turn in range(rounds):
+        grid = [(a, b) for a in (first if turn == 0 else offsets) for b in (first if turn == 0 else offsets)]
+        points = F.transform(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in grid]), lambda p: F.struct(
+            F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("t") + p["a"] * F.col("dt"))).alias("t"),
+            F.least(F.lit(hi), F.greatest(F.lit(lo), F.col("u") + p["b"] * F.col("du"))).alias("u"), p["a"].alias("a"), p["b"].alias("b")))
+        tried = box.withColumn("_points", points)
+        found = series.objective(tried.select(*group, F.transform("_points", lambda p: p["t"] * p["t"]).alias("_q"), F.transform("_points", lambda p: F.exp(p["u"])).alias("_r")))
+        scored = found.join(tried.drop("objective"), group).select(*group, "objective", F.get("_points", F.col("i").cast("int")).alias("p"), "dt", "du")
+        best = scored.groupBy(*group).agg(F.min_by(F.struct("p", "objective", "dt", "du"), F.struct("objective", "p.t", "p.u")).alias("x"))
+        # a step is kept where the best lies on the edge of its grid and the range goes on there
+        wide = lambda v, edge, low, high: (F.abs(F.col(f"x.p.{edge}")) > 0.99) & (F.col(f"x.p.{v}") > low) & (F.col(f"x.p.{v}") < high)
+        shrink = lambda v, edge, low, high: F.when(wide(v, edge, low, high), F.col(f"x.d{v}")).otherwise(F.col(f"x.d{v}") / (6 if turn == 0 else 3))
+        box = stage_table(best.select(*group, F.col("x.p.t").alias("t"), F.col("x.p.u").alias("u"), shrink("t", "a", 0.0, 1.0).alias("dt"), shrink("u", "b", lo, hi).alias("du"), F.col("x.objective").alias("objective")))
+        if not box.where(f"greatest(dt, du) > {tolerance}").limit(1).count():
+            break
+    else:
+        raise ContractError(f"the noise fit has not settled after {rounds} rounds")
+    out = series.all.join(many, group, "left").join(box, group, "left")
+    fitted = F.col("t").isNotNull()
+    return out.select(*group, F.when(fitted, F.col("t") * F.col("t")).otherwise(0.0).alias("q"), F.when(fitted, F.exp("u")).otherwise(1.0).alias("r"), "objective",
+                      fitted.alias("converged"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def season_prior(terminal: DataFrame, features: DataFrame, keys: list[str], rho: float, betas: dict[str, float], center: Column, scale: Column) -> DataFrame:

@@ -157,7 +157,13 @@ def _(d):
     return parts.select("season", "team", "opponent", "role", r6("z").alias("z"), r6("contribution").alias("contribution"))
 
 
-@query("it7_venue_coefficient", uses="exposures")
+# SQL takes team means out of y and of the sign in turn, which settles within rounding here
+@query("it7_venue_coefficient", uses="exposures", sql=f"""WITH RECURSIVE c AS (SELECT season, offense AS o, defense AS d, CASE flag WHEN 'R' THEN 1 WHEN 'A' THEN -1 ELSE 0 END AS s, sum(num)/sum(den) AS y, CAST(sum(den) AS DOUBLE) AS w
+      FROM exposures GROUP BY 1, 2, 3, 4 HAVING sum(den) > 0),
+    t AS (SELECT 0 AS i, season, o, d, w, CAST(s AS DOUBLE) AS s, CAST(y AS DOUBLE) AS ry, CAST(s AS DOUBLE) AS rs FROM c
+      UNION ALL SELECT i+1, season, o, d, w, s, ry - sum(w*ry) OVER (PARTITION BY season, d)/sum(w) OVER (PARTITION BY season, d), rs - sum(w*rs) OVER (PARTITION BY season, d)/sum(w) OVER (PARTITION BY season, d)
+      FROM (SELECT i, season, o, d, w, s, ry - sum(w*ry) OVER (PARTITION BY season, o)/sum(w) OVER (PARTITION BY season, o) AS ry, rs - sum(w*rs) OVER (PARTITION BY season, o)/sum(w) OVER (PARTITION BY season, o) AS rs FROM t WHERE i < 30))
+    SELECT season, {q6('CASE WHEN sum(w*rs*rs) > 1e-9*sum(w*s*s) THEN sum(w*rs*ry)/sum(w*rs*rs) ELSE 0 END', 3)} AS venue, coalesce(sum(w*rs*rs) > 1e-9*sum(w*s*s), false) AS identified, count(*) AS cells FROM t WHERE i=30 GROUP BY 1""")
 def _(d):
     e = d.exposures.select("season", "offense", "defense", (F.col("num") / F.col("den")).alias("y"), F.col("den").alias("w"),
                            F.when(F.col("flag") == "R", 1).when(F.col("flag") == "A", -1).otherwise(0).alias("sign"))
@@ -210,7 +216,7 @@ def _series(d):
     SELECT game_id, side, {q6('m')} AS mean, {q6('v')} AS variance FROM k""")
 def _(d):
     out = R.kalman_filter(_series(d), ["season", "team"], ["kickoff", "game_id", "side"], "to_date(kickoff)", F.col("z"), F.col("n"), F.col("at"),
-                          F.lit(0.05), F.lit(0.8), F.lit(0.0), F.lit(1.0), chunk=4)
+                          F.lit(0.05), F.lit(0.8), F.lit(0.0), F.lit(1.0))
     return out.select("game_id", "side", r6("mean").alias("mean"), r6("variance").alias("variance"))
 
 
@@ -224,27 +230,39 @@ def _(d):
     SELECT game_id, side, {q6('m')} AS mean, {q6('v')} AS variance, capped FROM k""")
 def _(d):
     s = _series(d).select("season", "team", "game_id", "side", "kickoff", F.col("z").alias("value"), F.col("n").alias("exposure"), "weak")
-    out = R.capped_kalman(s, ["season", "team"], ["kickoff", "game_id", "side"], {"game_id": "bigint", "side": "string"}, q=0.02, sigma2=2.0)
+    out = R.capped_kalman(s, ["season", "team"], ["kickoff", "game_id", "side"], ["game_id", "side"], "to_date(kickoff)", q=0.02, sigma2=2.0)
     return out.select("game_id", "side", r6("mean").alias("mean"), r6("variance").alias("variance"), "capped")
 
 
 _GRID = [(a, b) for a in (0.0, 0.05, 0.2) for b in (0.5, 1.0, 2.0)]
 
 
-@query("it12_noise_fit", uses="sides", sql=f"""{SERIES_SQL},
+def _noise_series(d):
+    return R.NoiseSeries(_series(d), ["season"], ["team"], ["kickoff", "game_id", "side"], "to_date(kickoff)", F.col("z"), F.col("n"), F.col("at"))
+
+
+@query("it12_noise_objective", uses="sides", sql=f"""{SERIES_SQL},
     g AS (SELECT s.*, q, r FROM s CROSS JOIN (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in _GRID)}) t(q, r)),
-    k AS (SELECT season, team, q, r, i, tm, CASE WHEN z IS NULL THEN 0.0 ELSE z/(1+r/n) END AS m, CASE WHEN z IS NULL THEN 1.0 ELSE 1-1/(1+r/n) END AS v,
-        CASE WHEN z IS NULL THEN 0.0 ELSE -0.5*(ln(2*pi()*(1+r/n)) + z*z/(1+r/n)) END AS ll FROM g WHERE i=1
-      UNION ALL SELECT g.season, g.team, g.q, g.r, g.i, g.tm, CASE WHEN z IS NULL THEN m ELSE m + (v+g.q*(g.tm-k.tm)/604800)/(v+g.q*(g.tm-k.tm)/604800+g.r/n)*(z-m) END,
-        CASE WHEN z IS NULL THEN v+g.q*(g.tm-k.tm)/604800 ELSE (1-(v+g.q*(g.tm-k.tm)/604800)/(v+g.q*(g.tm-k.tm)/604800+g.r/n))*(v+g.q*(g.tm-k.tm)/604800) END,
-        CASE WHEN z IS NULL THEN 0.0 ELSE -0.5*(ln(2*pi()*(v+g.q*(g.tm-k.tm)/604800+g.r/n)) + (z-m)*(z-m)/(v+g.q*(g.tm-k.tm)/604800+g.r/n)) END
-      FROM k JOIN g ON g.season=k.season AND g.team=k.team AND g.q=k.q AND g.r=k.r AND g.i=k.i+1),
-    t AS (SELECT season, q, r, sum(ll) AS loglik FROM k GROUP BY 1, 2, 3)
-    SELECT season, q, r, {q6('loglik', 3)} AS loglik FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY round(loglik, 6) DESC, q, r) AS rk FROM t) WHERE rk=1""")
-def _(d):
-    out = R.fit_noise(_series(d), ["season"], ["team"], ["kickoff", "game_id", "side"], "to_date(kickoff)", F.col("z"), F.col("n"), F.col("at"),
-                      [0.0, 0.05, 0.2], [0.5, 1.0, 2.0])
-    return out.select("season", "q", "r", r6("loglik", 3).alias("loglik"))
+    k AS (SELECT season, team, q, r, i, tm, CASE WHEN z IS NULL THEN 0.0 ELSE z/(1+r/n) END AS m, CASE WHEN z IS NULL THEN 1.0 ELSE 1-1/(1+r/n) END AS v, CASE WHEN z IS NOT NULL THEN 1 ELSE 0 END AS seen,
+        CASE WHEN z IS NULL THEN 0.0 ELSE 0.5*(ln(1+r/n) + z*z/(1+r/n)) END AS ll FROM g WHERE i=1
+      UNION ALL SELECT g.season, g.team, g.q, g.r, g.i, g.tm, CASE WHEN z IS NULL THEN m ELSE m + w/(w+g.r/n)*(z-m) END, CASE WHEN z IS NULL THEN w ELSE (1-w/(w+g.r/n))*w END, greatest(seen, CASE WHEN z IS NOT NULL THEN 1 ELSE 0 END),
+        CASE WHEN z IS NULL THEN 0.0 ELSE 0.5*(ln(w+g.r/n) + (z-m)*(z-m)/(w+g.r/n)) END
+      FROM (SELECT g.season, g.team, g.q, g.r, g.i, g.tm, g.z, g.n, k.m, k.seen, CASE WHEN k.seen=0 THEN k.v ELSE k.v+g.q*(g.tm-k.tm)/604800 END AS w
+            FROM k JOIN g ON g.season=k.season AND g.team=k.team AND g.q=k.q AND g.r=k.r AND g.i=k.i+1) g)
+    SELECT season, q, r, {q6('sum(ll)', 4)} AS objective FROM k GROUP BY 1, 2, 3 HAVING max(seen)=1""")
+def _(d):
+    pairs = F.array(*[F.struct(F.lit(a).alias("q"), F.lit(b).alias("r")) for a, b in _GRID])
+    s = _noise_series(d)
+    out = s.objective(s.all.select("season", F.transform(pairs, lambda p: p["q"]).alias("_q"), F.transform(pairs, lambda p: p["r"]).alias("_r")))
+    pair = F.get(pairs, F.col("i").cast("int"))
+    return out.select("season", pair["q"].alias("q"), pair["r"].alias("r"), r6("objective", 4).alias("objective"))
+
+
+# no SQL: a search over a continuous range; tests hold it against a brute-force search
+@query("it12_noise_fit", uses="sides")
+def _(d):
+    return R.fit_noise(_series(d), ["season"], ["team"], ["kickoff", "game_id", "side"], "to_date(kickoff)", F.col("z"), F.col("n"), F.col("at")).select(
+        "season", F.round("q", 4).alias("q"), F.round("r", 3).alias("r"), F.round("objective", 3).alias("objective"), "converged", "n")
 
 
 @query("it14_season_prior", uses="exposures", sql=f"""{TERM_SQL}, f AS (SELECT season, team, (variance-avg(variance) OVER (PARTITION BY season))/stddev_pop(variance) OVER (PARTITION BY season) AS cont FROM t)

@@ -83,7 +83,7 @@ def test_venue_that_has_not_settled_fails(spark):
     rows = [(2024, a, b, (a + 2 * b) % 3 - 1, 1.0 * a + (a * b) % 5, 1.0) for a in range(12) for b in (a, a + 1)]
     df = spark.createDataFrame(rows, "season INT, offense INT, defense INT, sign INT, y DOUBLE, w DOUBLE")
     with pytest.raises(ContractError):
-        A.venue_coefficient(df, ["season"], rounds=10)
+        A.venue_coefficient(df, ["season"], rounds=2)
 
 
 def kalman(series, q, r):
