@@ -11,20 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, stage_table
+from ..session import stage_table
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reached; labels start at the smallest neighbour and jump to their label's label each round,
     so stars take one round and the number of rounds grows with the logarithm of the longest path."""
-    both = cut_lineage(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    both = stage_table(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     least = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("_n"))
-    label = cut_lineage(nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("_n", "node")).alias("component")))
+    label = stage_table(nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("_n", "node")).alias("component")))
     while True:
         near = both.join(label, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("_n"))
         step = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("_n", "component")).alias("_c"), F.col("component").alias("_was"))
         jump = step.select(F.col("node").alias("_c"), F.col("_c").alias("_cc"))
-        nxt = cut_lineage(step.join(jump, "_c", "left").select("node", F.least("_c", F.coalesce("_cc", "_c")).alias("component"), "_was"))
+        nxt = stage_table(step.join(jump, "_c", "left").select("node", F.least("_c", F.coalesce("_cc", "_c")).alias("component"), "_was"))
         moved = nxt.where("component <> _was").limit(1).count()
         label = nxt.select("node", "component")
         if not moved:
