@@ -78,7 +78,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesc
 FROM sets s LEFT JOIN least l ON l.a = s.doc_id
 """)
 def _join(spark: SparkSession, t: Tables) -> DataFrame:
-    return shinglejoin.near_groups(t.documents, n=3, percent=90)
+    return shinglejoin.near_groups(t.documents, n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op5_text_to_tag_extraction")

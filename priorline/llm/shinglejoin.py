@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import Scratch, arrow_texts, map_batches, mix64, type_of
 
-SKETCH_BITS = 26  # slots of the document-frequency sketch: 4 bits each, 32 MB whatever the input
+SKETCH_BITS = 20, 28  # least and most slots of the document-frequency sketch, 2 bits each: 64 MB at most
+LIVE_BITS = 27  # bits of the filter of rows whose sets are compared: 16 MB whatever the input
 SLICES = 64
 FLUSH = 4_000_000  # tokens that a counting task holds before it sends them
 ORDERS = 3
@@ -68,16 +69,20 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray, order: int, percent: int) ->
     """
     keep = len(tokens) - needed(len(tokens), percent) + 1
     tie = mix64(tokens + np.uint64((order + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
-    slot = (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-    common = (sketch[slot >> 1] >> ((slot & 1) * 4).astype(np.uint8)) & np.uint8(15)
+    slot = slots_of(tokens, (len(sketch) * 4).bit_length() - 1)
+    common = (sketch[slot >> 2] >> ((slot & 3) * 2).astype(np.uint8)) & np.uint8(3)
     if order < 2:
-        tie = (common.astype(np.uint64) << np.uint64(60)) | (tie >> np.uint64(4))
+        tie = (common.astype(np.uint64) << np.uint64(62)) | (tie >> np.uint64(2))
     if keep < len(tokens):
         first = np.argpartition(tie, keep - 1)[:keep]
         tokens, common = tokens[first], common[first]
     return np.sort(tokens[common > 0])
 
 
+def slots_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def pack_slots(slots: np.ndarray) -> bytes:
     """Sorted slot numbers as steps of one byte each; 255 is a step that names no slot."""
     step = np.diff(slots, prepend=0)
@@ -87,25 +92,45 @@ def pack_slots(slots: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def count_slots(raw: bytes, width: int) -> np.ndarray:
+def count_slots(raw: bytes, sums: np.ndarray) -> None:
+    """Add the slots of a row to ``sums``."""
     steps = np.frombuffer(raw, np.uint8)
-    return np.bincount(np.cumsum(steps, dtype=np.int64)[steps != 255], minlength=width)
+    slots = np.cumsum(steps, dtype=np.int64)[steps != 255]
+    last = np.flatnonzero(np.append(slots[1:] != slots[:-1], True))
+    sums[slots[last]] += np.diff(last, prepend=-1).astype(np.uint32)
+
+
+def _row(k: int, raw: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "raw": pa.array([raw], pa.binary())})
+
+
+SLICED = "slice int, raw binary"
+
+
+def _collected(df: DataFrame, width: int) -> np.ndarray:
+    """The slices, ``width`` bytes each, in one array; their number and size are fixed."""
+    out = np.zeros(SLICES * width, np.uint8)
+    for r in df.collect():
+        out[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(bytes(r["raw"]), np.uint8)
+    return out
 
 
 def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
-    """A class of 4 bits for each hash slot, two in a byte: the number of documents up to 4, then powers of two; over all documents.
+    """A class of 2 bits for each hash slot, four in a byte: how many documents hold tokens of the slot; over all documents.
 
-    Tasks send each token as about one byte and a slice of the slots is added up as a stream, so memory is fixed on either side.
+    Class 0 is one document; 2 and 3 lie far above what the slots hold on average.  There are about twice as many slots as words,
+    up to a fixed bound.  Tasks send each token as about one byte and a slice of the slots is added up as a stream.
     """
-    width = (1 << SKETCH_BITS) // SLICES
-    row = lambda k, raw: pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": pa.array([raw], pa.binary())})
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], round(float(np.log2(max(1, chars / 3))))))
+    width = (1 << bits) // SLICES
 
     def send(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        slots = np.sort((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+        slots = np.sort(slots_of(np.concatenate(sets), bits))
         ends = np.searchsorted(slots, np.arange(SLICES + 1) * width)
         for k in range(SLICES):
             if ends[k] < ends[k + 1]:
-                yield row(k, pack_slots(slots[ends[k]:ends[k + 1]] - k * width))
+                yield _row(k, pack_slots(slots[ends[k]:ends[k + 1]] - k * width))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held = [], 0
@@ -123,17 +148,49 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + count_slots(raw, width)
+                if k not in sums:
+                    sums[k] = np.zeros(width, np.uint32)
+                count_slots(raw, sums[k])
         for k, total in sums.items():
-            classes = np.where(total <= 4, np.maximum(total - 1, 0), np.ceil(np.log2(np.maximum(total, 1))) + 1)
-            classes = np.minimum(classes, 15).astype(np.uint8)
-            yield row(k, (classes[::2] | classes[1::2] << 4).tobytes())
-
-    rows = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
-    out = np.zeros((1 << SKETCH_BITS) // 2, np.uint8)
-    for r in rows:  # SLICES rows of a fixed size
-        out[r["slice"] * width // 2:(r["slice"] + 1) * width // 2] = np.frombuffer(bytes(r["counts"]), np.uint8)
-    return out
+            usual = max(1.0, float(total.mean()))
+            classes = (total >= 2).astype(np.uint8) + (total > 2 + 4 * usual) + (total > 32 + 64 * usual)
+            yield _row(k, (classes[::4] | classes[1::4] << 2 | classes[2::4] << 4 | classes[3::4] << 6).astype(np.uint8).tobytes())
+
+    return _collected(docs.select("text").mapInArrow(count, SLICED).repartition(SLICES, "slice").mapInArrow(add, SLICED), width // 4)
+
+
+def _live_slots(hashes: np.ndarray) -> np.ndarray:
+    """Two bits of the filter for each row hash."""
+    h = hashes.view(np.uint64)
+    return np.concatenate([h >> np.uint64(64 - LIVE_BITS), mix64(h) >> np.uint64(64 - LIVE_BITS)]).astype(np.int64)
+
+
+def live_filter(rows: DataFrame) -> np.ndarray:
+    """A Bloom filter of the row hashes in ``rows``, of a fixed size; far beyond 10^8 rows it lets more rows through."""
+    width = (1 << LIVE_BITS) // SLICES
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = np.sort(_live_slots(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+            ends = np.searchsorted(slots, np.arange(SLICES + 1) * width)
+            for k in range(SLICES):
+                if ends[k] < ends[k + 1]:
+                    yield _row(k, (slots[ends[k]:ends[k + 1]] - k * width).astype(np.int32).tobytes())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                bits.setdefault(k, np.zeros(width, bool))[np.frombuffer(raw, np.int32)] = True
+        for k, found in bits.items():
+            yield _row(k, np.packbits(found).tobytes())
+
+    return _collected(rows.mapInArrow(send, SLICED).repartition(SLICES, "slice").mapInArrow(add, SLICED), width // 8)
+
+
+def is_live(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slots = _live_slots(hashes)
+    return ((bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).reshape(2, -1).all(axis=0)
 
 
 def _components(scratch: Scratch, edges: DataFrame, node: str, component: str) -> DataFrame:
@@ -143,10 +200,54 @@ def _components(scratch: Scratch, edges: DataFrame, node: str, component: str) -
     return out
 
 
+def _pair_rows(first: np.ndarray, part: np.ndarray, tok: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    """One row per (part, token) with its first class, and one per further class as an edge to that."""
+    other = ~first
+    row = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([part[first], part[other]])), pa.array(np.concatenate([tok[first], tok[other]]), mask=np.repeat([False, True], [first.sum(), other.sum()])),
+         pa.array(np.concatenate([cls[first], cls[other]])), pa.array(np.concatenate([cls[first], cls[row][other]]))], ["part", "tok", "cls", "near"])
+
+
+PAIRS = "part long, tok long, cls long, near long"
+
+
+def _combine(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Tokens (part, cls, tok) of a batch, each (part, token) sent once with its smallest class and the others linked to that on the spot."""
+    part, cls, tok = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+    by = np.lexsort((cls, tok, part))
+    part, cls, tok = part[by], cls[by], tok[by]
+    kept = np.append(True, (part[1:] != part[:-1]) | (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1]))
+    part, cls, tok = part[kept], cls[kept], tok[kept]
+    return _pair_rows(np.append(True, (part[1:] != part[:-1]) | (tok[1:] != tok[:-1])), part, tok, cls)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges from rows sorted by (part, token): every class to the first of its token.  Holds one batch; a token may go on over many."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part, tok, cls = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+        first = np.append(last is None or (part[0], tok[0]) != last[:2], (part[1:] != part[:-1]) | (tok[1:] != tok[:-1]))
+        row = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
+        near = np.where(row >= 0, cls[row], last[2] if last else 0)
+        edge = near != cls
+        last = (part[-1], tok[-1], near[-1])
+        if edge.any():
+            yield pa.RecordBatch.from_arrays([pa.array(near[edge]), pa.array(cls[edge])], ["src", "dst"])
+
+
 def _refine(scratch: Scratch, tokens: DataFrame) -> DataFrame:
-    """(cls, part) from (part, cls, tok): rows of a part that share a token, directly or through others, stay together."""
-    centres = tokens.groupBy("part", "tok").agg(F.min("cls").alias("src"), F.max("cls").alias("_last")).where("src <> _last").drop("_last")
-    edges = scratch.stage(tokens.join(centres, ["part", "tok"]).where("cls <> src").select("src", F.col("cls").alias("dst")).distinct())
+    """(cls, part) from Arrow rows (part, cls, tok): rows of a part that share a token, directly or through others, stay together.
+
+    Tokens are combined batch by batch before the one shuffle that brings equal tokens together, so a token of very many
+    documents is sent about once a batch, and what meets is read as a sorted stream.
+    """
+    sent = scratch.stage(map_batches(tokens, _combine, PAIRS))
+    met = sent.where("tok IS NOT NULL").select("part", "tok", "cls").repartition("part", "tok").sortWithinPartitions("part", "tok").mapInArrow(_meet, "src long, dst long")
+    edges = scratch.stage(met.unionByName(sent.where("tok IS NULL").select(F.col("near").alias("src"), F.col("cls").alias("dst"))).distinct())
+    scratch.release(sent)
     return _components(scratch, edges, "cls", "part")
 
 
@@ -208,11 +309,12 @@ def _verify(percent: int, sketch):
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per row of ``docs``; documents whose shingle sets have a Jaccard
-    similarity of at least ``percent`` are linked, and a component is named by its smallest doc_id.
+    """(doc_id, n_shingles, component_id, text_hash, component): one row per row of ``docs``; documents whose shingle sets have a Jaccard
+    similarity of at least ``percent`` are linked, and a component is named by its smallest doc_id.  ``component`` tells components apart where
+    ids are null or repeated (null without shingles), and ``text_hash`` the rows of one id.
 
-    Equal sets form one class.  Classes that share a prefix token under order 0, directly or through others, form a part; the parts are
-    split by the tokens of order 1 and then of order 2, each split a linear job.  Two linked documents share a
+    Equal sets form one class.  Classes that share a prefix token under order 0, directly or through others, form a part; parts larger
+    than a block are split by the tokens of order 1 and then of order 2, each split a linear job.  Two linked documents share a
     token under each order, so they stay in the same part, and no list of pairs is written.  What is left is verified in tasks
     of at most two blocks of documents, where a pair must share a token under all orders before its sets are compared.
     Sets are 64-bit hashes.  Null, empty and blank texts have no shingles and link with nothing; repeated rows link as equal
@@ -220,7 +322,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     id_type = type_of(docs, id_col)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     shared = spark.sparkContext.broadcast(frequency_classes(base, n))  # fixed size
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -230,22 +332,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sizes.append(len(tokens))
             names.append(class_of(tokens) if len(tokens) else None)
             firsts.append(_longs(prefix(tokens, shared.value, 0, percent)) if len(tokens) else [])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                                          ["doc_id", "n_shingles", "cls", "p0"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
+                                          ["doc_id", "text_hash", "n_shingles", "cls", "p0"])
 
     scratch = Scratch(spark)
-    keyed = scratch.stage(map_batches(base, keys, f"doc_id {id_type}, n_shingles long, cls long, p0 array<long>"))
-    parts = _refine(scratch, keyed.where("cls is not null").select(F.lit(0).alias("part"), "cls", F.explode("p0").alias("tok")))
-    picks = keyed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("_id")).join(parts.select("cls"), "cls")
+    keyed = scratch.stage(map_batches(base, keys, f"doc_id {id_type}, text_hash long, n_shingles long, cls long, p0 array<long>"))
+    parts = _refine(scratch, keyed.where("cls is not null").select(F.lit(0).cast("long").alias("part"), "cls", F.explode("p0").alias("tok")))
+    # one row of each class that shares a token; a filter of fixed size finds these rows again, so no text is shuffled
+    picks = keyed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).join(parts.select("cls"), "cls")
+    live_rows = spark.sparkContext.broadcast(live_filter(picks.select(F.xxhash64("one.doc_id", "one.text_hash").alias("row"))))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, whole = [], []
-        for row, (text, name) in enumerate(zip(arrow_texts(batch.column(0)), batch.column(1).to_pylist())):
-            tokens = shingles(text, n)
-            if len(tokens) and class_of(tokens) == name:  # a repeated id may have other texts
-                rows.append(row)
-                whole.append(tokens.tobytes())
-        return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows, pa.int32())), pa.array(whole, pa.binary())], ["cls", "tokens"])
+        texts = batch.column(0).filter(pa.array(is_live(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), live_rows.value)))
+        whole = [t for t in (shingles(text, n) for text in arrow_texts(texts)) if len(t)]
+        return pa.RecordBatch.from_arrays([pa.array([class_of(t) for t in whole], pa.int64()), pa.array([t.tobytes() for t in whole], pa.binary())], ["cls", "tokens"])
 
     def tokens_of(order: int):
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -255,12 +355,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return run
 
-    texts = base.join(picks, base["doc_id"].eqNullSafe(picks["_id"])).select("text", "cls")
-    live = scratch.stage(map_batches(texts, sets, "cls long, tokens binary"))
+    found = map_batches(base.select("text", F.xxhash64("doc_id", "text_hash").alias("row")), sets, "cls long, tokens binary")
+    live = scratch.stage(found.groupBy("cls").agg(F.first("tokens").alias("tokens")))  # repeated rows are one
     for order in range(1, ORDERS):
-        finer = _refine(scratch, map_batches(live.join(parts, "cls").select("part", "cls", "tokens"), tokens_of(order), "part long, cls long, tok long"))
-        scratch.release(parts)
-        parts = finer
+        # the filters of small parts are intersected where they are verified; only larger ones are split first
+        large = scratch.stage(parts.join(parts.groupBy("part").agg(F.count("*").alias("_m")).where(F.col("_m") > BLOCK).select("part"), "part"))
+        if not large.limit(1).count():
+            scratch.release(large)
+            break
+        finer = _refine(scratch, map_batches(live.join(large, "cls").select("part", "cls", "tokens"), tokens_of(order), "part long, cls long, tok long"))
+        rest = scratch.stage(parts.join(large.select("cls"), "cls", "left_anti").unionByName(finer))
+        scratch.release(parts, large, finer)
+        parts = rest
     blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
     counted = live.join(parts.join(parts.groupBy("part").agg(F.count("*").alias("_m")), "part"), "cls")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
@@ -269,17 +375,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "part", F.col("_pair.lo").alias("lo"), F.col("_pair.hi").alias("hi"), F.when(F.col("_own") == F.col("_pair.lo"), 0).otherwise(1).alias("side"), "cls", "tokens")
     links = scratch.stage(dealt.groupBy("part", "lo", "hi").applyInArrow(_verify(percent, shared), "src long, dst long"))
     scratch.release(live, parts)
-    shared.destroy()  # all that needs it is written
+    shared.destroy()  # all that needs them is written
+    live_rows.destroy()
     joined = _components(scratch, links, "cls", "component")
     member = keyed.drop("p0").join(joined, "cls", "left").withColumn("_c", F.coalesce("component", "cls"))
-    member = scratch.stage(member.select("doc_id", "n_shingles", "_c"))
+    member = scratch.stage(member.select("doc_id", "text_hash", "n_shingles", "_c"))
     scratch.release(keyed, joined)
     smallest = member.where("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("_least"))
-    return member.join(smallest, "_c", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    return member.join(smallest, "_c", "left").select(
+        "doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"), "text_hash", F.col("_c").alias("component"))
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one that names it; repeated rows of it are one document. All columns kept."""
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").withColumn("_text_hash", F.xxhash64(text_col))
+    """``docs`` with one document of each component of ``groups`` (:func:`near_groups` of ``docs``): that of the smallest id, all columns kept.
+
+    Rows go by id and text, so of rows with one id, or with none, each is judged by its own text; a null id comes last.  Of
+    repeated rows one stays.  Documents without shingles link with nothing: each stays, repeated rows once.  An empty table gives no rows.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text_hash"))
+    best = groups.where("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("b")).select(F.col("b.id").alias("_kept"), F.col("b.text_hash").alias("_kept_text"))
+    bare = groups.where("component IS NULL").select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_kept_text"))
+    kept = best.unionByName(bare).distinct()
+    rows = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col).cast("string")))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_text_hash") == F.col("_kept_text")), "left_semi")
     return rows.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")

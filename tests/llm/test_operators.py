@@ -140,6 +140,39 @@ def test_shingle_join(odd, none, spark):
     assert {r["doc_id"]: r["component_id"] for r in rows(shinglejoin.near_groups(made, n=3, percent=90))} == dict(enumerate(root))
 
 
+def test_tokens_meet_across_batches():
+    rng = np.random.default_rng(1)
+    part, tok, cls = rng.integers(0, 2, 400), rng.integers(-3, 3, 400), rng.integers(-50, 50, 400)
+    import pyarrow as pa
+    sent = [shinglejoin._combine(pa.RecordBatch.from_arrays([pa.array(x[a:a + 37]) for x in (part, cls, tok)], ["part", "cls", "tok"])) for a in range(0, 400, 37)]
+    table = pa.Table.from_batches(sent).to_pandas()
+    edges = {(int(a), int(b)) for a, b in table[table.tok.isna()][["near", "cls"]].to_numpy()}
+    met = table[table.tok.notna()].sort_values(["part", "tok"])
+    batches = [pa.RecordBatch.from_arrays([pa.array(met[c].iloc[a:a + 5].to_numpy().astype(np.int64)) for c in ("part", "tok", "cls")], ["part", "tok", "cls"]) for a in range(0, len(met), 5)]
+    for batch in shinglejoin._meet(iter(batches)):
+        edges |= set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    for p in (0, 1):
+        for t in range(-3, 3):
+            mine = {int(c) for c in cls[(part == p) & (tok == t)]}
+            seen, todo = set(), [min(mine)]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += [b if a == x else a for a, b in edges if x in (a, b)]
+            assert mine <= seen
+    assert all(any(a in cls[(part == p) & (tok == t)] and b in cls[(part == p) & (tok == t)] for p in (0, 1) for t in range(-3, 3)) for a, b in edges)
+
+
+def test_keep_one_of_repeated_and_null_ids(spark):
+    one, two, three = ("alpha beta gamma delta epsilon zeta", "eta theta iota kappa lambda mu", "nu xi omicron pi rho sigma")
+    data = [(3, two, 1), (7, one, 2), (7, two, 3), (None, two, 4), (None, three, 5), (None, three, 5), (8, "", 6), (8, "", 6), (9, None, 7), (None, None, 8)]
+    df = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, n int, component string")
+    kept = sorted((r["n"] for r in rows(shinglejoin.keep_one(df, shinglejoin.near_groups(df)))))
+    assert kept == [1, 2, 5, 6, 7, 8]
+    assert rows(shinglejoin.keep_one(df.limit(0), shinglejoin.near_groups(df.limit(0)))) == []
+
+
 def test_page_text(spark):
     page = ('<html><head><title>T</title></head><body><nav><a href="x">Menu</a></nav><div class="cookie-notice">Cookies</div><article><h1>A &eacute;&amp;</h1><p>Short.<p><b>Left open, and  long\n'
             'enough to be a paragraph of text.<br><div class="ad">Buy</div><p>End.</p></article><section id="comments"><p>Nice!</p></section><footer>&copy; x</footer>')
