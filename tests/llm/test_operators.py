@@ -289,6 +289,22 @@ def test_mixing(spark, odd, none):
     assert len(rows(mixing.mix_sources(odd))) == 9 and rows(mixing.mix_sources(none)) == []
 
 
+def test_mixing_of_repeated_and_null_ids(spark):
+    data = [(None if k % 3 == 0 else k // 40, " ".join(["w"] * (1 + k % 4)), "hot" if k % 2 else None, k) for k in range(400)] + [(1, "same row", "hot", -1)] * 100 + [(2, None, "hot", -2), (3, "", "b", -3)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n long")
+    mix = mixing.mix_sources(df, fan=4)
+    got = rows(mix)
+    assert len(got) == len(data) and len({(r["row_key"], r["text_hash"], r["k"]) for r in got}) == len(data)
+    for source in ("hot", None):
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 4
+    taken = rows(mixing.take_copies(df, mix))
+    assert sorted(taken[0]) == ["doc_id", "n", "source", "text"] and len(taken) == sum(r["copies"] for r in got)
+    for source in ("hot", None):
+        assert sum(len((r["text"] or "").split()) for r in taken if r["source"] == source) == sum(r["taken"] for r in got if r["source"] == source)
+    assert rows(mixing.take_copies(df.limit(0), mixing.mix_sources(df.limit(0)))) == []
+
+
 def test_mixing_keeps_the_last_row_of_every_source(spark):
     for n in (1, 3, 70):
         df = spark.createDataFrame([(k, "w " * (5 + k), f"https://host/{k}") for k in range(n)], "doc_id long, text string, source string")
