@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import Scratch, arrow_texts, map_batches, mix64, type_of
 
-SKETCH_BITS = 20, 28  # least and most slots of the document-frequency sketch, 2 bits each: 64 MB at most
+SKETCH_BITS = 20, 27  # least and most slots of the document-frequency sketch, 2 bits each: 32 MB at most
 LIVE_BITS = 27  # bits of the filter of rows whose sets are compared: 16 MB whatever the input
 SLICES = 64
 FLUSH = 4_000_000  # tokens that a counting task holds before it sends them
@@ -357,6 +357,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = map_batches(base.select("text", F.xxhash64("doc_id", "text_hash").alias("row")), sets, "cls long, tokens binary")
     live = scratch.stage(found.groupBy("cls").agg(F.first("tokens").alias("tokens")))  # repeated rows are one
+    live_rows.destroy()
     for order in range(1, ORDERS):
         # the filters of small parts are intersected where they are verified; only larger ones are split first
         large = scratch.stage(parts.join(parts.groupBy("part").agg(F.count("*").alias("_m")).where(F.col("_m") > BLOCK).select("part"), "part"))
@@ -375,8 +376,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "part", F.col("_pair.lo").alias("lo"), F.col("_pair.hi").alias("hi"), F.when(F.col("_own") == F.col("_pair.lo"), 0).otherwise(1).alias("side"), "cls", "tokens")
     links = scratch.stage(dealt.groupBy("part", "lo", "hi").applyInArrow(_verify(percent, shared), "src long, dst long"))
     scratch.release(live, parts)
-    shared.destroy()  # all that needs them is written
-    live_rows.destroy()
+    shared.destroy()  # all that needs it is written
     joined = _components(scratch, links, "cls", "component")
     member = keyed.drop("p0").join(joined, "cls", "left").withColumn("_c", F.coalesce("component", "cls"))
     member = scratch.stage(member.select("doc_id", "text_hash", "n_shingles", "_c"))
