@@ -223,7 +223,7 @@ def _combine(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from rows sorted by (part, token): every class to the first of its token.  Holds one batch; a token may go on over many."""
+    """Edges from rows sorted by (part, token, class): every class to the smallest of its token, so that tokens of one group give the same edges.  Holds one batch; a token may go on over many."""
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -245,7 +245,7 @@ def _refine(scratch: Scratch, tokens: DataFrame) -> DataFrame:
     documents is sent about once a batch, and what meets is read as a sorted stream.
     """
     sent = scratch.stage(map_batches(tokens, _combine, PAIRS))
-    met = sent.where("tok IS NOT NULL").select("part", "tok", "cls").repartition("part", "tok").sortWithinPartitions("part", "tok").mapInArrow(_meet, "src long, dst long")
+    met = sent.where("tok IS NOT NULL").select("part", "tok", "cls").repartition("part", "tok").sortWithinPartitions("part", "tok", "cls").mapInArrow(_meet, "src long, dst long")
     edges = scratch.stage(met.unionByName(sent.where("tok IS NULL").select(F.col("near").alias("src"), F.col("cls").alias("dst"))).distinct())
     scratch.release(sent)
     return _components(scratch, edges, "cls", "part")
