@@ -65,8 +65,13 @@ def available_evidence(evidence: DataFrame, cutoffs: DataFrame, season: str = "s
 
 
 def _first_cutoff(evidence: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """The cutoffs of the season in week order, and the first that admits the row."""
+    """The cutoffs of the season in week order, and the first that admits the row.
+
+    All later cutoffs of a season admit what an earlier one does, so the job fails where a cutoff lies before that of an earlier week.
+    """
     spec = cutoffs.groupBy("season").agg(F.array_sort(F.collect_list(F.struct("as_of_week", "cutoff"))).alias("_weeks"))
+    rising = F.col("_weeks.cutoff") == F.array_sort("_weeks.cutoff")
+    spec = spec.withColumn("_weeks", F.when(rising, F.col("_weeks")).otherwise(F.raise_error(F.format_string("cutoffs of season %s do not rise with the week", F.col("season").cast("string")))))
     first = F.filter("_weeks", lambda w: (w["as_of_week"] > F.col("week")) & (w["cutoff"] >= F.col("available")))
     return evidence.join(spec, "season").withColumn("_first", F.get(first, F.lit(0))["as_of_week"]).where("_first IS NOT NULL")
 

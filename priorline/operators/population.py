@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,13 +55,18 @@ def classify_sequence(rows: DataFrame, sequence: list[str], payload: list[str])
         F.count("*").alias("groups"), F.sum("n").alias("rows"))
 
 
-def availability_matrix(targets: DataFrame, sources: dict[str, DataFrame], minimum: float = 1.0) -> DataFrame:
-    """PO-15: share of target games each source has, and whether all are ready."""
-    n = targets.agg(F.count("*").alias("targets"))
-    parts = [targets.join(df.select("game_id").distinct(), "game_id", "left_semi").agg(F.count("*").alias("found")).withColumn("source", F.lit(s)) for s, df in sources.items()]
-    out = reduce(lambda a, b: a.unionByName(b), parts).join(n)
-    out = out.withColumn("ready", F.col("found") >= minimum * F.col("targets"))
-    return out.join(out.agg(F.bool_and("ready").alias("all_ready")))
+def availability_matrix(targets: DataFrame, sources: dict[str, DataFrame], minimum: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+    """PO-15: of the target games (per ``by``), how many each source has, and whether all sources are ready.
+
+    Each source marks the targets it has, and one aggregate counts the marks, so totals are never joined back.
+    """
+    marked = targets.select(*by, "game_id")
+    for k, df in enumerate(sources.values()):
+        marked = marked.join(df.select("game_id").distinct().withColumn(f"_has{k}", F.lit(1)), "game_id", "left")
+    counts = marked.groupBy(*by).agg(F.count("*").alias("targets"), *[F.count(f"_has{k}").alias(f"_has{k}") for k in range(len(sources))])
+    ready = [F.col(f"_has{k}") >= minimum * F.col("targets") for k in range(len(sources))]
+    rows = F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"_has{k}").alias("found"), ready[k].alias("ready")) for k, s in enumerate(sources)])
+    return counts.select(*by, "targets", reduce(lambda a, b: a & b, ready).alias("all_ready"), F.inline(rows))
 
 
 def freeze_plan(schedule: DataFrame, predictions: DataFrame, freeze_at: Column) -> DataFrame:

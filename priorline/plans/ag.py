@@ -395,14 +395,14 @@ def _(d):
 
 
 @query("ag31_lagged_polls", uses="sides exposures", sql="""
-    WITH p AS (SELECT season, week, offense AS team, CAST(den AS INT) AS rank FROM exposures WHERE week%3=1 AND den<=25),
+    WITH p AS (SELECT season, week, offense AS team, CAST(den AS INT) AS rank FROM exposures),
     wk AS (SELECT DISTINCT season, week AS pw FROM p), sw AS (SELECT s.season, s.week, max(pw) AS poll_week FROM (SELECT DISTINCT season, week FROM sides) s JOIN wk ON wk.season=s.season AND pw<s.week GROUP BY 1, 2),
     r AS (SELECT season, week AS poll_week, team, min(rank) AS lo, max(rank) AS hi FROM p GROUP BY 1, 2, 3)
     SELECT game_id, side, CAST(poll_week AS DOUBLE) AS poll_week, CAST(CASE WHEN poll_week IS NOT NULL AND coalesce(lo=hi, true) THEN coalesce(lo, 26) END AS DOUBLE) AS rank,
       CASE WHEN poll_week IS NULL THEN 'no_earlier_poll' WHEN lo<>hi THEN 'conflicting_rows' END AS reason
     FROM sides LEFT JOIN sw USING (season, week) LEFT JOIN r USING (season, poll_week, team)""")
 def _(d):
-    polls = d.exposures.where("week % 3 = 1 AND den <= 25").select("season", "week", F.col("offense").alias("team"), F.col("den").cast("int").alias("rank"))
+    polls = d.exposures.select("season", "week", F.col("offense").alias("team"), F.col("den").cast("int").alias("rank"))
     out = R.lagged_poll_rank(d.sides.select("game_id", "side", "season", "week", "team"), polls)
     return out.select("game_id", "side", F.col("poll_week").cast("double"), F.col("rank").cast("double"), "reason")
 

@@ -73,14 +73,14 @@ def _(d):
     return out.groupBy("iteration", "season", "role").agg(F.count("*").alias("teams"), r6(F.avg("value"), 4).alias("mean"))
 
 
-CUT_SQL = """cutoffs AS (SELECT season, week AS as_of_week, min(kickoff) AS cutoff FROM games WHERE week IN (10, 20, 30, 40) GROUP BY 1, 2),
+CUT_SQL = """cutoffs AS (SELECT season, week AS as_of_week, min(kickoff) AS cutoff FROM games GROUP BY 1, 2),
     px AS (SELECT c.season, c.as_of_week, offense, defense, 'value' AS metric, sum(num) AS num, sum(den) AS den FROM exposures e JOIN cutoffs c ON c.season=e.season AND e.week<c.as_of_week
            AND e.kickoff + INTERVAL 6 HOUR <= c.cutoff GROUP BY ALL),
     ed AS (SELECT season, as_of_week, offense AS team, defense AS opponent, 'offense' AS role, metric, num, den FROM px UNION ALL SELECT season, as_of_week, defense, offense, 'defense', metric, num, den FROM px)"""
 
 
-def _weekly_edges(d, weeks=(10, 20, 30, 40)):
-    cut = d.games.where(F.col("week").isin(*weeks)).groupBy("season", F.col("week").alias("as_of_week")).agg(F.min("kickoff").alias("cutoff"))
+def _weekly_edges(d):
+    cut = d.games.groupBy("season", F.col("week").alias("as_of_week")).agg(F.min("kickoff").alias("cutoff"))
     ev = d.exposures.withColumn("available", F.col("kickoff") + F.expr("INTERVAL 6 HOURS"))
     cum = J.cutoff_cells(ev, cut, ["offense", "defense"], {"num": F.col("num"), "den": F.col("den")})
     return A.role_edges(cum.withColumn("metric", F.lit("value")), ["season", "as_of_week"]), ev, cut
@@ -106,29 +106,32 @@ def _(d):
     return A.admissible_sets(ev, cut).select("season", "as_of_week", "admitted", "representative")
 
 
-RE_SQL = f"""WITH o AS (SELECT season, game_id*8+play_number AS game_id, offense AS team, defense AS opponent, 'offense' AS role, sum(num)/sum(den)/1000 AS v, sum(den) AS x FROM exposures WHERE week<=2 GROUP BY ALL
-      UNION ALL SELECT season, game_id*8+play_number, defense, offense, 'defense', sum(num)/sum(den)/1000, sum(den) FROM exposures WHERE week<=2 GROUP BY ALL),
+W_SQL = "CASE WHEN week IN (1, 2) THEN week/(week+3.0) ELSE 1.0 END"
+RE_SQL = f"""WITH o AS (SELECT season, week, game_id*8+play_number AS game_id, offense AS team, defense AS opponent, 'offense' AS role, sum(num)/sum(den)/1000 AS v, sum(den) AS x FROM exposures GROUP BY ALL
+      UNION ALL SELECT season, week, game_id*8+play_number, defense, offense, 'defense', sum(num)/sum(den)/1000, sum(den) FROM exposures GROUP BY ALL),
     p0 AS (SELECT season+1 AS season, offense AS team, 'offense' AS role, sum(num)/sum(den)/1000 AS mean FROM exposures GROUP BY ALL UNION ALL SELECT season+1, defense, 'defense', sum(num)/sum(den)/1000 FROM exposures GROUP BY ALL),
-    pri AS (SELECT * FROM p0 WHERE team%10<>0), pinv AS (SELECT season, role, avg(mean) + CASE role WHEN 'offense' THEN -2 ELSE 2 END*stddev_pop(mean) AS pv FROM pri GROUP BY season, role),
-    r0 AS (SELECT season, team, role, mean AS r, mean AS p FROM pri)"""
+    pri AS (SELECT p0.*, week FROM p0 JOIN (SELECT DISTINCT season, week FROM exposures) USING (season) WHERE team%10<>0),
+    pinv AS (SELECT season, week, role, avg(mean) + CASE role WHEN 'offense' THEN -2 ELSE 2 END*stddev_pop(mean) AS pv FROM pri GROUP BY season, week, role),
+    r0 AS (SELECT season, week, team, role, mean AS r, mean AS p FROM pri)"""
 for _i in range(1, 3):
-    RE_SQL += f""", m{_i} AS (SELECT season, role, avg(r) AS m FROM r{_i-1} GROUP BY ALL),
-    j{_i} AS (SELECT o.*, o.v - (CASE WHEN o.opponent%10=0 THEN pinv.pv ELSE coalesce(r.r, m.m) END - m.m) AS adj FROM o LEFT JOIN r{_i-1} r ON r.season=o.season AND r.team=o.opponent AND r.role<>o.role
-      LEFT JOIN m{_i} m ON m.season=o.season AND m.role<>o.role LEFT JOIN pinv ON pinv.season=o.season AND pinv.role<>o.role),
-    s{_i} AS (SELECT season, team, role, sum(adj*x)/sum(x) AS a FROM j{_i} WHERE team%10<>0 GROUP BY ALL),
-    r{_i} AS (SELECT season, team, role, CASE WHEN a IS NULL THEN r ELSE 0.5*coalesce(r, coalesce(p,0)) + 0.5*((1-2.0/5)*coalesce(p,0) + 2.0/5*a) END AS r, coalesce(p,0) AS p FROM r{_i-1} FULL JOIN s{_i} USING (season, team, role))"""
+    RE_SQL += f""", m{_i} AS (SELECT season, week, role, avg(r) AS m FROM r{_i-1} GROUP BY ALL),
+    j{_i} AS (SELECT o.*, o.v - (CASE WHEN o.opponent%10=0 THEN pinv.pv ELSE coalesce(r.r, m.m) END - m.m) AS adj FROM o LEFT JOIN r{_i-1} r ON r.season=o.season AND r.week=o.week AND r.team=o.opponent AND r.role<>o.role
+      LEFT JOIN m{_i} m ON m.season=o.season AND m.week=o.week AND m.role<>o.role LEFT JOIN pinv ON pinv.season=o.season AND pinv.week=o.week AND pinv.role<>o.role),
+    s{_i} AS (SELECT season, week, team, role, sum(adj*x)/sum(x) AS a FROM j{_i} WHERE team%10<>0 GROUP BY ALL),
+    r{_i} AS (SELECT season, week, team, role, CASE WHEN a IS NULL THEN r ELSE 0.5*coalesce(r, coalesce(p,0)) + 0.5*((1-{W_SQL})*coalesce(p,0) + {W_SQL}*a) END AS r, coalesce(p,0) AS p FROM r{_i-1} FULL JOIN s{_i} USING (season, week, team, role))"""
 
 
-@query("it5_reanchored", uses="exposures", sql=f"""{RE_SQL} SELECT season, game_id, team, opponent, role, {q6('2.0/5*adj+3.0/5*v')} AS reanchored FROM j2""")
+@query("it5_reanchored", uses="exposures", sql=f"""{RE_SQL} SELECT season, week, game_id, team, opponent, role, {q6(f'({W_SQL})*adj+(1-({W_SQL}))*v')} AS reanchored FROM j2""")
 def _(d):
     e = d.exposures.withColumn("game_id", F.col("game_id") * 8 + F.col("play_number"))
-    cell = A.pair_edges(e.where("week <= 2"), ["season", "game_id"]).select(
-        "season", "game_id", "team", "opponent", "role", (F.col("num") / F.col("den") / 1000).alias("value"), F.col("den").alias("exposure"))
+    cell = A.pair_edges(e, ["season", "week", "game_id"]).select(
+        "season", "week", "game_id", "team", "opponent", "role", (F.col("num") / F.col("den") / 1000).alias("value"), F.col("den").alias("exposure"))
     pri = A.raw_values(A.pair_edges(d.exposures, ["season"]), ["season"]).select(
         (F.col("season") + 1).alias("season"), "team", "role", (F.col("raw") / 1000).alias("mean"))
+    pri = pri.join(d.exposures.select("season", "week").distinct(), "season")
     pinned = d.exposures.select(F.col("offense").alias("team")).union(d.exposures.select("defense")).where("team % 10 = 0").distinct()
-    out = A.reanchor(cell, pri, ["season"], week=2, shrink_k=3.0, pinned=pinned, passes=2)
-    return out.select("season", "game_id", "team", "opponent", "role", r6("reanchored").alias("reanchored"))
+    out = A.reanchor(cell, pri, ["season", "week"], week="week", shrink_k=3.0, pinned=pinned, passes=2)
+    return out.select("season", "week", "game_id", "team", "opponent", "role", r6("reanchored").alias("reanchored"))
 
 
 GE_SQL = f"""WITH {EDGES_SQL}, {passes_sql('ed', 'season', 3)}, cc AS (SELECT season, CASE role WHEN 'offense' THEN 'defense' ELSE 'offense' END AS role, sum(v*w)/sum(w) AS oc FROM a3 GROUP BY 1, 2),

@@ -69,13 +69,13 @@ def _(d):
     return M.calibrated_variance(chosen).withColumn("variance", r6("variance"))
 
 
-@query("ml5_batch_scoring", uses="graded", sql=f"""{ridge_sql([10.0])} SELECT game_id, target, {q6('f')} AS mean, {q6('f-1.6448536269514722*13')} AS lo90, {q6('f+1.6448536269514722*13')} AS hi90 FROM fit WHERE season=2001""")
+@query("ml5_batch_scoring", uses="graded", sql=f"""{ridge_sql([10.0])} SELECT game_id, target, {q6('f')} AS mean, {q6('f-1.6448536269514722*13')} AS lo90, {q6('f+1.6448536269514722*13')} AS hi90 FROM fit""")
 def _(d):
     from ..functions.stats import interval
     f = M.clean(_frame(d), FEATS)
-    coef = M.solve(M.earlier_moments(M.season_moments(f, FEATS)).where("season = 2001"), FEATS, [10.0])
+    coef = M.solve(M.earlier_moments(M.season_moments(f, FEATS)), FEATS, [10.0])
     lo, hi = interval(F.col("fitted"), F.lit(13.0), 90)
-    return M.score(f.where("season = 2001"), coef, FEATS).select("game_id", "target", r6("fitted").alias("mean"), r6(lo).alias("lo90"), r6(hi).alias("hi90"))
+    return M.score(f, coef, FEATS).select("game_id", "target", r6("fitted").alias("mean"), r6(lo).alias("lo90"), r6(hi).alias("hi90"))
 
 
 BOOT_SQL = """WITH df AS (SELECT season, week, abs(line-actual)-abs(prediction-actual) AS x FROM graded WHERE target='margin'),
@@ -282,12 +282,12 @@ def _(d):
 
 
 @query("fe7_preseason_table", uses="exposures sides", sql=f"""
-    WITH u AS (SELECT DISTINCT season, team FROM sides), q AS (SELECT season+1 AS season, team, avg(points_for) AS quality FROM sides GROUP BY 1, 2), r AS (SELECT season, offense AS team, sum(den) AS recruiting FROM exposures WHERE week<10 GROUP BY 1, 2)
+    WITH u AS (SELECT DISTINCT season, team FROM sides), q AS (SELECT season+1 AS season, team, avg(points_for) AS quality FROM sides GROUP BY 1, 2), r AS (SELECT season, offense AS team, sum(den) AS recruiting FROM exposures GROUP BY 1, 2)
     SELECT u.season, u.team, {q6('quality')} AS quality, q.season IS NOT NULL AS quality_present, {q6('recruiting')} AS recruiting, r.season IS NOT NULL AS recruiting_present FROM u LEFT JOIN q USING (season, team) LEFT JOIN r USING (season, team)""")
 def _(d):
     u = d.sides.select("season", "team").distinct()
     quality = d.sides.groupBy((F.col("season") + 1).alias("season"), "team").agg(r6(F.avg("points_for")).alias("quality"))
-    rec = d.exposures.where("week < 10").groupBy("season", F.col("offense").alias("team")).agg(r6(F.sum("den")).alias("recruiting"))
+    rec = d.exposures.groupBy("season", F.col("offense").alias("team")).agg(r6(F.sum("den")).alias("recruiting"))
     return X.assemble(u, {"quality": quality, "recruiting": rec}, ["season", "team"])
 
 

@@ -142,12 +142,12 @@ def _(d):
 
 
 @query("po15_source_availability", uses="games", sql="""
-    WITH t AS (SELECT game_id FROM games WHERE season=2000), n AS (SELECT count(*) AS targets FROM t), s AS (SELECT 'plays' AS source, count(*) AS found FROM t WHERE game_id IN (SELECT l_orderkey FROM lineitem)
-      UNION ALL SELECT 'finals', count(*) FROM t WHERE game_id IN (SELECT game_id FROM games WHERE completed))
-    SELECT source, found, targets, found>=0.9*targets AS ready, bool_and(found>=0.9*targets) OVER () AS all_ready FROM s CROSS JOIN n""")
+    WITH s AS (SELECT season, 'plays' AS source, count(*) AS targets, count(*) FILTER (game_id IN (SELECT l_orderkey FROM lineitem)) AS found FROM games GROUP BY 1
+      UNION ALL SELECT season, 'finals', count(*), count(*) FILTER (game_id IN (SELECT game_id FROM games WHERE completed)) FROM games GROUP BY 1)
+    SELECT season, source, found, targets, found>=0.9*targets AS ready, bool_and(found>=0.9*targets) OVER (PARTITION BY season) AS all_ready FROM s""")
 def _(d):
-    t = d.games.where("season = 2000").select("game_id")
-    return O.availability_matrix(t, {"plays": d.lineitem.select(F.col("l_orderkey").alias("game_id")), "finals": d.games.where("completed")}, 0.9)
+    t = d.games.select("season", "game_id")
+    return O.availability_matrix(t, {"plays": d.lineitem.select(F.col("l_orderkey").alias("game_id")), "finals": d.games.where("completed")}, 0.9, ["season"])
 
 
 @query("po16_freeze_plan", uses="slate quotes", sql="""

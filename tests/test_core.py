@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from priorline.operators import joins, population
 from priorline.operators.guards import ContractError
 from priorline.operators import adjust as A, components as C, forecast as M, guards, ledger as L, normalize as N, ratings as R, resume as S, windows as W
 
@@ -266,3 +267,23 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in C.connected_components(nodes, spark.createDataFrame(edges, "src LONG, dst LONG")).collect()}
     want = {n: min(names[:40]) for n in names[:40]} | {n: min(names[40:55]) for n in names[40:55]} | {n: n for n in names[55:]}
     assert got == want
+
+
+def test_cutoffs_must_rise_with_the_week(spark):
+    evidence = spark.createDataFrame([(1, 1, 5, 2.0)], "season int, week int, available int, x double")
+    rising = spark.createDataFrame([(1, 2, 6), (1, 3, 9)], "season int, as_of_week int, cutoff int")
+    got = joins.cutoff_totals(evidence, rising, [], {"x": F.col("x")}).collect()
+    assert sorted((r["as_of_week"], r["x"]) for r in got) == [(2, 2.0), (3, 2.0)]
+    falling = spark.createDataFrame([(1, 2, 6), (1, 3, 4)], "season int, as_of_week int, cutoff int")
+    with pytest.raises(Exception, match="do not rise"):
+        joins.cutoff_totals(evidence, falling, [], {"x": F.col("x")}).collect()
+
+
+def test_availability_per_season_counts_all_targets(spark):
+    targets = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "season int, game_id int")
+    have = spark.createDataFrame([(10,), (10,), (12,)], "game_id int")
+    got = {(r["season"], r["source"]): (r["found"], r["targets"], r["ready"], r["all_ready"])
+           for r in population.availability_matrix(targets, {"a": have, "b": targets}, 1.0, ["season"]).collect()}
+    assert got == {(1, "a"): (1, 2, False, False), (1, "b"): (2, 2, True, False), (2, "a"): (1, 1, True, True), (2, "b"): (1, 1, True, True)}
+    empty = population.availability_matrix(targets.limit(0), {"a": have}).collect()
+    assert [(r["source"], r["found"], r["targets"]) for r in empty] == [("a", 0, 0)]
