@@ -63,6 +63,37 @@ def test_range_search_covers_a_dense_region():
     assert (found & (x @ x.T >= 0.9)).sum() >= 0.99 * (x @ x.T >= 0.9).sum()
 
 
+def test_search_meets_every_node_of_a_dense_block():
+    rng = np.random.default_rng(0)
+    for spread in (0.2, 0.3):
+        x = rng.normal(size=64) + rng.normal(size=(1500, 64)) * spread
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        own = np.arange(0, 1500, 6)
+        near = x[own] @ x.T >= 0.9
+        found = flatgraph.range_search(x, flatgraph.build_graph(x), flatgraph.medoids(x), own, 0.9)
+        assert (found & near).sum() >= 0.99 * near.sum()
+
+
+def test_flat_graph_keeps_the_links_of_a_group_of_several_blocks(spark, monkeypatch):
+    """A third of the vectors and more is one group of distinct near copies, larger than a block; repeated rows and further columns are kept."""
+    common.pin(spark)
+    monkeypatch.setattr(flatgraph, "BLOCK", 600)
+    rng = np.random.default_rng(5)
+    group = rng.normal(size=32) + rng.normal(size=(1500, 32)) * 0.2
+    x = np.concatenate([group, rng.normal(size=(1500, 32))])
+    data = [(i, v.tolist(), "c") for i, v in enumerate(x)] + [(7, x[7].tolist(), "c")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, cls string").repartition(8)
+    got = rows(flatgraph.near_vectors(df))
+    assert len(got) == len(data)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = np.concatenate([unit, unit[7:8]])
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    have = np.array([{r["vec_id"]: r["n_links"] for r in got}[i] for i in range(3000)])
+    assert (have <= want[:3000]).all() and have.sum() >= 0.999 * want[:3000].sum()
+    assert {r["component_id"] for r in got if r["vec_id"] < 1500} == {0}
+    assert sum(r["vec_id"] == 7 for r in got) == 2
+
+
 def plain_phrases(text):
     known, out, i = set(), set(), 0
     while i < len(text):
