@@ -72,11 +72,11 @@ def _(d):
 
 @query("ss6_regression_alerts", uses="plays", sql="""
     WITH s AS (SELECT event_id, CAST(floor(floor(value*10+0.0001)/3) AS INT)%60 AS sc, user_id, ts FROM events), l AS (SELECT *, lag(sc) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM s)
-    SELECT event_id, was-sc AS fell_by FROM l WHERE sc<was""")
+    SELECT event_id, was-sc AS fell_by FROM l WHERE sc<was AND ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def _(d):
     score = (F.floor(F.floor(F.col("value") * 10 + 0.0001) / 3) % 60).cast("int")
-    e = _events(d).select(F.col("user_id").cast("string").alias("stream"), F.col("event_id").alias("id"), (F.unix_micros("ts") / 1e6).alias("at"), score.alias("score"))
-    return S.run_to_table(S.score_alerts(e, "stream"), "alerts").select(F.col("id").alias("event_id"), "fell_by")
+    e = _events(d).select(F.col("user_id").cast("string").alias("stream"), F.col("event_id").alias("id"), "ts", score.alias("score"))
+    return S.run_to_table(S.score_alerts(e, "stream", "ts", "1 hour"), "alerts").select(F.col("id").alias("event_id"), "fell_by")
 
 
 @query("ss7_latest_quote", uses="slate", sql="""

@@ -86,14 +86,17 @@ def version_id(dataset: str, digest: str, rows: int, parents: list[str], code: s
 
 
 def write_version(df: DataFrame, root: str, dataset: str, parents: list[str] = (), code: str = "") -> str:
-    """SNK-2: content-addressed create-once write; the same content is written once only."""
+    """SNK-2: content-addressed create-once write; the same content is written once only.
+
+    A version counts as written when its success marker is there; what a lost job left without one is written anew.
+    """
     digest = table_digest(df).first()
     version = version_id(dataset, digest["digest"] or "0", digest["rows"], list(parents), code)
     path = f"{root.rstrip('/')}/{dataset}/version={version}"
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        df.write.mode("errorifexists").parquet(path)
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(path)
     return path
 
 

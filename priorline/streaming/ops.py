@@ -106,22 +106,37 @@ def kalman_stream(stream: DataFrame, key: str, columns: list[str], q: float, r:
         update, out_schema, "m DOUBLE, v DOUBLE, last DOUBLE", "append", GroupStateTimeout.NoTimeout)
 
 
-def score_alerts(stream: DataFrame, key: str) -> DataFrame:
-    """SS-6: an alert for each fall of a running score; the last score per key is the state."""
+def score_alerts(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
+    """SS-6: an alert for each fall of a running score against the score before it in time.
+
+    Input columns: key, id, ``time``, score.  Rows wait in the key's state until the watermark has passed them, so a row that
+    comes late, but within ``delay``, takes its place by (time, id) across micro-batches; rows behind
+    what was already passed are left out, as Spark does.  The state holds the rows of the last ``delay`` and one score.  A null score neither alerts nor
+    counts as the score before.
+    """
     out_schema = f"{key} STRING, id BIGINT, fell_by INT"
+    state_schema = "at ARRAY<BIGINT>, id ARRAY<BIGINT>, score ARRAY<INT>, last INT"
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(frames)).sort_values(["at", "id"])
-        rows = []
-        for row in pdf.itertuples(index=False):
-            if last is not None and row.score < last:
-                rows.append((k[0], row.id, int(last - row.score)))
-            last = int(row.score)
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=[key, "id", "fell_by"])
-
-    return stream.select(key, "id", "at", "score").groupBy(key).applyInPandasWithState(update, out_schema, "last INT", "append", GroupStateTimeout.NoTimeout)
+        at, ids, scores, last = state.get if state.exists else ([], [], [], None)
+        waiting = [pd.DataFrame({"at": list(at), "id": list(ids), "score": list(scores)})]
+        if not state.hasTimedOut:
+            waiting += [f[["at", "id", "score"]] for f in frames]
+        rows = pd.concat([f for f in waiting if len(f)] or waiting).dropna(subset=["score"]).sort_values(["at", "id"]).astype("int64")
+        passed = rows["at"] <= state.getCurrentWatermarkMs() * 1000
+        closed, rows = rows[passed], rows[~passed]
+        before = closed["score"].shift(1)
+        if len(closed):
+            before.iloc[0] = closed["score"].iloc[0] if last is None else last
+            last = int(closed["score"].iloc[-1])
+        fell = closed.assign(fell_by=before - closed["score"]).query("fell_by > 0")
+        state.update((rows["at"].tolist(), rows["id"].tolist(), rows["score"].tolist(), last))
+        if len(rows):
+            state.setTimeoutTimestamp(-(-int(rows["at"].iloc[0]) // 1000))
+        yield pd.DataFrame({key: k[0], "id": fell["id"].astype("int64"), "fell_by": fell["fell_by"].astype("int32")})
+
+    rows = stream.select(key, "id", F.col(time).alias("ts"), F.unix_micros(time).alias("at"), F.col("score").cast("int").alias("score"))
+    return rows.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(update, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_batches(stream: DataFrame, target: str, keys: list[str], partition: str, order: list[str]) -> None:

@@ -1,5 +1,7 @@
 """Versioned tables and streaming against their batch forms."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,34 @@ def test_upsert_replay_changes_nothing(spark, folder):
     got = sorted(map(tuple, spark.read.parquet(target).select("k", "day", "id").collect()))
     want = sorted(map(tuple, day(df).groupBy("k", "day").agg(F.max_by("id", F.struct("at", "id")).alias("id")).collect()))
     assert got == want
+
+
+def test_half_written_version_is_written_anew(spark):
+    df = spark.range(20).selectExpr("id", "id % 3 AS g")
+    root = scratch_path(spark, "half")
+    path = lake.write_version(df, root, "d")
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(marker, False)
+    df.limit(5).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    assert not fs.exists(marker)
+    assert lake.write_version(df, root, "d") == path and fs.exists(marker)
+    assert spark.read.parquet(path).count() == 20
+
+
+def test_score_alerts_place_late_rows_across_batches(spark):
+    """Files in order of arrival: a late row within the delay is compared with its neighbours in time, one beyond it is left out."""
+    path = scratch_path(spark, "late-in")
+    batches = [[("a", 1, 0, 5), ("a", 2, 600, 9), ("b", 3, 0, None), ("b", 4, 100, 4)],
+               [("a", 5, 1200, 9), ("a", 6, 300, 7), ("b", 7, 50, 6)],  # 6 and 7 come late
+               [("a", 8, 1800, 8), ("a", 9, 900, 10)],  # 9 falls to 5 at 1200
+               [("a", 10, 20000, 8), ("a", 11, 20000, 3)],
+               [("a", 13, 40000, 3)],
+               [("a", 12, 60, 99), ("a", 14, 50000, 2)]]  # 12 is beyond the delay, 14 is not passed yet
+    schema = "stream STRING, id BIGINT, s BIGINT, score INT"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken in order of their times
+    stream = S.stream_folder(spark, path, spark.read.parquet(path).schema, 1)
+    out = S.run_to_table(S.score_alerts(stream, "stream", "ts", "1 hour"), "late-out").collect()
+    assert sorted((r["stream"], r["id"], r["fell_by"]) for r in out) == [("a", 5, 1), ("a", 8, 1), ("a", 11, 5), ("b", 4, 2)]
