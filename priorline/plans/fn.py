@@ -217,10 +217,24 @@ def _points(df, key):
     return df.withColumns({"lat": F.pmod(F.col(key) * 7, F.lit(120)) - 60.0, "lon": F.pmod(F.col(key) * 13, F.lit(300)) - 150.0})
 
 
+def geodesic_sql(pairs: str) -> str:
+    """Table ``gd`` (a1, o1, a2, o2, km) for the pairs of points, in radians, of a table; needs WITH RECURSIVE."""
+    a, f = geo.EQUATOR_KM, geo.FLATTENING
+    arc = """sqrt(pow(cos(u2)*sin(l), 2) + pow(cos(u1)*sin(u2)-sin(u1)*cos(u2)*cos(l), 2)) AS ss, sin(u1)*sin(u2)+cos(u1)*cos(u2)*cos(l) AS cs, atan2(ss, cs) AS sg,
+        CASE WHEN ss=0 THEN 0.0 ELSE cos(u1)*cos(u2)*sin(l)/ss END AS sa, 1-sa*sa AS ca, CASE WHEN ca<1e-15 THEN 0.0 ELSE cs-2*sin(u1)*sin(u2)/ca END AS cm"""
+    return f"""gi AS (SELECT DISTINCT a1, o1, a2, o2, atan((1-{f!r})*tan(a1)) AS u1, atan((1-{f!r})*tan(a2)) AS u2, o2-o1-2*pi()*floor((o2-o1+pi())/(2*pi())) AS d, d AS l, 0 AS it, 1.0::DOUBLE AS gap
+        FROM {pairs} WHERE a1+o1+a2+o2 IS NOT NULL
+      UNION ALL SELECT a1, o1, a2, o2, u1, u2, d, nl, it+1, abs(nl-l) FROM (SELECT *, {arc}, {f!r}/16*ca*(4+{f!r}*(4-3*ca)) AS cc, d+(1-cc)*{f!r}*sa*(sg+cc*ss*(cm+cc*cs*(2*cm*cm-1))) AS nl FROM gi WHERE it<{geo.ROUNDS} AND gap>{geo.SETTLED}) t),
+    gl AS (SELECT * FROM gi QUALIFY row_number() OVER (PARTITION BY a1, o1, a2, o2 ORDER BY it DESC)=1),
+    gd AS (SELECT a1, o1, a2, o2, CASE WHEN gap<={geo.SETTLED} THEN {a*(1-f)!r}*(1+uu/16384*(4096+uu*(uu*(320-175*uu)-768)))*(sg - bb*ss*(cm+bb/4*(cs*(2*cm*cm-1)-bb/6*cm*(4*ss*ss-3)*(4*cm*cm-3))))
+        ELSE {geo.EARTH_RADIUS_KM}*acos(greatest(-1,least(1,sin(a1)*sin(a2)+cos(a1)*cos(a2)*cos(o2-o1)))) END AS km
+      FROM (SELECT *, {arc}, ca*{1/(1-f)**2-1!r} AS uu, uu/1024*(256+uu*(uu*(74-47*uu)-128)) AS bb FROM gl) t)"""
+
+
 @query("fn22_travel_km", uses="games", sql=f"""
-    WITH p AS (SELECT game_id, radians(home*7%120-60) AS a1, radians(home*13%300-150) AS o1,
-                      radians(away*7%120-60) AS a2, radians(away*13%300-150) AS o2 FROM games)
-    SELECT game_id, {q6('6371.0088*acos(greatest(-1,least(1,sin(a1)*sin(a2)+cos(a1)*cos(a2)*cos(o2-o1))))', 2)} AS km FROM p""")
+    WITH RECURSIVE p AS (SELECT game_id, radians(home*7%120-60) AS a1, radians(home*13%300-150) AS o1,
+                      radians(away*7%120-60) AS a2, radians(away*13%300-150) AS o2 FROM games), {geodesic_sql('p')}
+    SELECT game_id, {q6('km', 2)} AS km FROM p JOIN gd USING (a1, o1, a2, o2)""")
 def _(d):
     g = _points(d.games, "home").withColumnsRenamed({"lat": "lat1", "lon": "lon1"})
     g = _points(g, "away")

@@ -9,7 +9,7 @@ from ..functions import plays as P, regimes
 from ..operators import evaluate as E, features as X, forecast as M, joins as J, rollup as R, windows as W
 from ..operators.scan import exact_quantiles
 from .ag import DRIVES_SQL, ENRICHED, enriched
-from .fn import ZONES, sql_cdf
+from .fn import ZONES, geodesic_sql, sql_cdf
 from .registry import q6, query, r6
 
 FEATS = ["prediction", "line"]
@@ -258,11 +258,13 @@ def _venues(d):
 
 
 @query("fe5_situational", uses="sides games", sql=f"""
-    WITH v AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey%6<>5 THEN radians(n_nationkey*7%60) END AS la, radians(n_nationkey*13%150) AS lo, n_nationkey*100.0 AS el, n_nationkey%4=0 AS dome, {ZONES!r}[1+n_nationkey%5] AS z FROM nation),
+    WITH RECURSIVE v AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey%6<>5 THEN radians(n_nationkey*7%60) END AS la, radians(n_nationkey*13%150) AS lo, n_nationkey*100.0 AS el, n_nationkey%4=0 AS dome, {ZONES!r}[1+n_nationkey%5] AS z FROM nation),
     k AS (SELECT DISTINCT season, team, kickoff FROM sides), r AS (SELECT *, lag(kickoff) OVER (PARTITION BY season, team ORDER BY kickoff) AS lk FROM k),
     s AS (SELECT s.*, g.home%25 AS vid, s.team%25 AS hid FROM sides s JOIN games g USING (game_id)),
-    c AS (SELECT s.game_id, s.team, date_diff('day', CAST(lk AS DATE), CAST(s.kickoff AS DATE)) AS rest, CASE WHEN vid=hid THEN 0.0 WHEN v.la IS NOT NULL AND h.la IS NOT NULL THEN 6371.0088*acos(greatest(-1, least(1, sin(v.la)*sin(h.la)+cos(v.la)*cos(h.la)*cos(v.lo-h.lo)))) END AS km,
-        (epoch(timezone(v.z, timezone('UTC', s.kickoff)))-epoch(timezone(h.z, timezone('UTC', s.kickoff))))/3600.0 AS tz, v.el-h.el AS alt, v.dome FROM s JOIN r USING (season, team, kickoff) JOIN v ON v.id=vid JOIN v h ON h.id=hid)
+    vp AS (SELECT h.la AS a1, h.lo AS o1, v.la AS a2, v.lo AS o2 FROM v CROSS JOIN v h), {geodesic_sql('vp')},
+    c AS (SELECT s.game_id, s.team, date_diff('day', CAST(lk AS DATE), CAST(s.kickoff AS DATE)) AS rest, CASE WHEN vid=hid THEN 0.0 ELSE gd.km END AS km,
+        (epoch(timezone(v.z, timezone('UTC', s.kickoff)))-epoch(timezone(h.z, timezone('UTC', s.kickoff))))/3600.0 AS tz, v.el-h.el AS alt, v.dome FROM s JOIN r USING (season, team, kickoff) JOIN v ON v.id=vid JOIN v h ON h.id=hid
+      LEFT JOIN gd ON gd.a1=h.la AND gd.o1=h.lo AND gd.a2=v.la AND gd.o2=v.lo)
     SELECT game_id, team, CAST(rest AS DOUBLE) AS rest_days, km IS NULL AS travel_missing, {q6('coalesce(km, 0)', 2)} AS travel_km, CAST(tz AS DOUBLE) AS tz_diff, CAST(alt AS DOUBLE) AS altitude_diff, dome, {q6('coalesce(km, 0)/(coalesce(rest, 7)+1)', 2)} AS fatigue FROM c""")
 def _(d):
     g = d.games.select("game_id", (F.col("home") % 25).alias("venue_id"), "neutral")

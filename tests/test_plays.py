@@ -70,4 +70,20 @@ def test_unknown_point_stays_unknown(spark):
     from priorline.functions.geo import distance_km
     df = spark.createDataFrame([(None, 1.0), (0.0, 1.0)], "lat DOUBLE, lon DOUBLE")
     got = [r[0] for r in df.select(distance_km(F.col("lat"), F.col("lon"), F.lit(0.0), F.lit(2.0))).collect()]
-    assert got[0] is None and got[1] == pytest.approx(111.195, abs=0.01)
+    assert got[0] is None and got[1] == pytest.approx(111.3195, abs=0.001)
+
+
+def test_distance_is_that_of_published_geodesics(spark):
+    from priorline.functions.geo import distance_km, great_circle_km
+    dms = lambda d, m, s: d + m / 60 + s / 3600
+    points = [(-dms(37, 57, 3.72030), dms(144, 25, 29.52440), -dms(37, 39, 10.15610), dms(143, 55, 35.38390), 54.972271),  # Flinders Peak to Buninyong
+              (0.0, 0.0, 0.0, 1.0, 111.319491),  # a degree of the equator
+              (0.0, 0.0, 90.0, 0.0, 10001.965729),  # a quarter of a meridian
+              (0.0, 179.5, 0.0, -179.5, 111.319491),  # across the date line
+              (12.0, 34.0, 12.0, 34.0, 0.0)]
+    df = spark.createDataFrame(points + [(0.0, 0.0, 0.5, 179.7, -1.0), (1.0, None, 2.0, 3.0, None)], "a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, km DOUBLE")
+    columns = [F.col(c) for c in "abcd"]
+    got = df.select("km", distance_km(*columns).alias("got"), great_circle_km(*columns).alias("round")).collect()
+    for r in got[:5]:
+        assert r["got"] == pytest.approx(r["km"], abs=0.001)
+    assert got[5]["got"] == got[5]["round"] and got[6]["got"] is None  # nearly opposite points, an unknown one
