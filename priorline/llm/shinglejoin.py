@@ -342,10 +342,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     picks = keyed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).join(parts.select("cls"), "cls")
     live_rows = spark.sparkContext.broadcast(live_filter(picks.select(F.xxhash64("one.doc_id", "one.text_hash").alias("row"))))
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(0).filter(pa.array(is_live(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), live_rows.value)))
-        whole = [t for t in (shingles(text, n) for text in arrow_texts(texts)) if len(t)]
-        return pa.RecordBatch.from_arrays([pa.array([class_of(t) for t in whole], pa.int64()), pa.array([t.tobytes() for t in whole], pa.binary())], ["cls", "tokens"])
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # classes of this partition, so that a row that is repeated is sent once by each
+        for batch in batches:
+            texts = batch.column(0).filter(pa.array(is_live(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), live_rows.value)))
+            names, whole = [], []
+            for text in arrow_texts(texts):
+                tokens = shingles(text, n)
+                name = class_of(tokens) if len(tokens) else None
+                if name is not None and name not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    whole.append(tokens.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(whole, pa.binary())], ["cls", "tokens"])
 
     def tokens_of(order: int):
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -355,8 +364,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return run
 
-    found = map_batches(base.select("text", F.xxhash64("doc_id", "text_hash").alias("row")), sets, "cls long, tokens binary")
-    live = scratch.stage(found.groupBy("cls").agg(F.first("tokens").alias("tokens")))  # repeated rows are one
+    # written where it is read: the first shuffle of these sets is that to their parts
+    live = scratch.stage(base.select("text", F.xxhash64("doc_id", "text_hash").alias("row")).mapInArrow(sets, "cls long, tokens binary"))
     live_rows.destroy()
     for order in range(1, ORDERS):
         # the filters of small parts are intersected where they are verified; only larger ones are split first
@@ -369,7 +378,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         scratch.release(parts, large, finer)
         parts = rest
     blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
-    counted = live.join(parts.join(parts.groupBy("part").agg(F.count("*").alias("_m")), "part"), "cls")
+    sized = parts.join(parts.groupBy("part").agg(F.count("*").alias("_m")), "part")
+    counted = live.join(sized, "cls").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("part", "_m", "tokens")))  # repeated rows are one; partitioned by cls already
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, own).alias("lo"), F.greatest(b, own).alias("hi")))
     dealt = counted.withColumn("_own", own).withColumn("_pair", F.explode(pairs)).select(
