@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -45,12 +45,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def bigrams_of(words: Column) -> Column:
-    """Distinct word bigrams; a single word is its own."""
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) < 2, words).otherwise(F.array_distinct(pairs))
-
-
 def template_rows(templates: dict[str, list[str]]) -> list[tuple[str, str, list[str]]]:
     """(licence, template, bigrams) of every template."""
     out = []
@@ -87,7 +81,7 @@ def notices(docs: DataFrame, templates: dict[str, list[str]], threshold: float)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     length = {f"{name}#{k}": len(normal_words(text)) for name, texts in templates.items() for k, text in enumerate(texts)}
     rows = [(name, key, len(grams), max(1, math.ceil(low * len(grams) - 1e-9)), int(high * len(grams) + 1e-9) + length[key] - 1 - len(grams), k, gram)
-            for name, key, grams in template_rows(templates) if length[key] > 1 for k, gram in enumerate(grams)]
+            for name, key, grams in template_rows(templates) for k, gram in enumerate(grams)]
     table = docs.sparkSession.createDataFrame(rows, "license string, template string, m int, need int, reach int, k int, gram string")
     keys = ["_row", "doc_id", "_text", "license", "template", "m", "need", "reach"]
     words = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.xxhash64("text").alias("_text"), words_of(F.col("text")).alias("words")).where(F.size("words") > 1)
@@ -110,7 +104,11 @@ def notices(docs: DataFrame, templates: dict[str, list[str]], threshold: float)
     start = F.struct(F.array().cast("array<int>").alias("seen"), F.lit(0).alias("twice"), F.struct(F.lit(0.0).alias("dice"), F.lit(0).alias("last")).alias("best"))
     spans = spans.withColumn("best", F.aggregate("hits", start, step)["best"]).where(F.col("best.dice") >= threshold - 1e-9)
     span = F.struct((-F.col("best.dice")).alias("order"), (F.col("first") - F.col("best.last")).alias("short"), "first", F.col("best.last").alias("last"), "license", "template")
-    spans = spans.groupBy("_row", "doc_id", "_text").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    # only windows of one run of overlapping ones are compared, so a text with very many notices costs no more for each
+    ahead = Window.partitionBy("_row").orderBy("span.first", "span.last").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("_row", "doc_id", "_text", span.alias("span")).withColumn("_opens", (F.col("span.first") > F.coalesce(F.max("span.last").over(ahead), F.lit(-1))).cast("int"))
+    spans = spans.withColumn("_run", F.sum("_opens").over(Window.partitionBy("_row").orderBy("span.first", "span.last")))
+    spans = spans.groupBy("_row", "_run", "doc_id", "_text").agg(F.sort_array(F.collect_list("span")).alias("spans"))
     apart = lambda kept, s: ~F.exists(kept, lambda o: (o["first"] <= s["last"]) & (s["first"] <= o["last"]))
     kept = F.aggregate("spans", F.slice("spans", 1, 0), lambda kept, s: F.when(apart(kept, s), F.concat(kept, F.array(s))).otherwise(kept))
     found = spans.select("doc_id", "_text", F.explode(kept).alias("s")).select("doc_id", "_text", "s.*")
@@ -119,36 +117,18 @@ def notices(docs: DataFrame, templates: dict[str, list[str]], threshold: float)
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None,
                   threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, license, dice, n_matches): one row per document and licence that is the most alike to one of its passages.
+    """(doc_id, license, dice, n_matches): one row per document and licence with a notice anywhere in the whole text.
 
-    Passages are the lines of the whole text and the sentences of its lines; ``dice`` is the best one's, ``n_matches`` counts the
-    alike passages.  A licence without such a passage, because its notice is wrapped or stands inside a longer line, is
-    looked for in windows of words of the whole text (``notices``).  A passage can be alike only if it holds an anchor word and its bigrams number between t / (2 - t) and (2 - t) / t
-    times the template's; others are left out first.  The templates are a fixed table.  Null, empty and clean texts give
-    no rows, an empty table none either; repeated rows are counted together; a null id is one id.
+    A notice is a window of words, across the ends of lines and sentences, that is alike to a template (``notices``); where windows overlap
+    one counts.  ``dice`` is the best one's, ``n_matches`` counts them.  Only texts that hold an anchor word are read on, and
+    only windows that hold between t / (2 - t) and (2 - t) / t times the template's bigrams are compared.  The templates are a fixed
+    table, each of two words or more.  Null, empty and clean texts give no rows, an empty table none either; repeated rows
+    count once, rows of one id are counted together; a null id is one id; of equally alike windows the longer one counts.
     """
-    spark: SparkSession = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
-    rows = template_rows(templates)
+    if any(len(normal_words(text)) < 2 for texts in templates.values() for text in texts):
+        raise ValueError("a template needs two words or more")
     words = "|".join(sorted(anchors(templates, threshold)))
     anchor = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where(F.col("text").rlike(anchor))
-    base = texts.select("doc_id", F.explode(
-        F.filter(F.split("text", "\n"), lambda x: x.rlike(anchor))).alias("line"))
-    passages = F.array_distinct(F.concat(F.array("line"), F.filter(F.split("line", r"(?<=[.!?])\s+"), lambda x: x.rlike(anchor))))
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    units = base.select("doc_id", F.explode(passages).alias("passage")).withColumn("grams", bigrams_of(words_of(F.col("passage")))).withColumn("n", F.size("grams"))
-    table = spark.createDataFrame([(name, key, len(grams), gram) for name, key, grams in rows for gram in grams], "license string, template string, m int, gram string")
-    sizes = sorted({len(g) for _, _, g in rows})
-    fits = F.lit(False)
-    for m in sizes:
-        fits = fits | F.col("n").between(low * m - 1e-9, high * m + 1e-9)
-    found = units.where(fits).withColumn("unit", F.xxhash64("doc_id", "passage")).select("doc_id", "unit", "n", F.explode("grams").alias("gram"))
-    found = found.join(F.broadcast(table), "gram").where((F.col("n") >= low * F.col("m") - 1e-9) & (F.col("n") <= high * F.col("m") + 1e-9))  # a fixed table
-    shared = found.groupBy("doc_id", "unit", "license", "template", "n", "m").agg(F.countDistinct("gram").alias("both"))
-    alike = shared.withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("m"))).where(F.col("dice") >= threshold - 1e-9)
-    per = alike.groupBy("doc_id", "unit").agg(F.max(F.struct("dice", "license")).alias("best")).select("doc_id", "best.*")
-    per = per.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("n_matches")).withColumn("_passage", F.lit(1))
-    either = per.unionByName(notices(texts, templates, threshold).withColumn("_passage", F.lit(0)))
-    best = either.groupBy("doc_id", "license").agg(F.max_by(F.struct("dice", "n_matches"), "_passage").alias("best"))
-    return best.select("doc_id", "license", F.round("best.dice", 6).alias("dice"), "best.n_matches")
+    return notices(texts, templates, threshold).select("doc_id", "license", F.round("dice", 6).alias("dice"), "n_matches")

@@ -92,22 +92,30 @@ def _quality(spark: SparkSession, t: Tables) -> DataFrame:
 
 
 def _license_sql() -> str:
-    values = ", ".join(f"('{name}', '{key}', {len(grams)}, '{gram}')" for name, key, grams in licenses.template_rows(licenses.TEMPLATES) for gram in grams)
+    rows = [(name, key, len(grams), int(1.5 * len(grams) + 1e-9) + len(licenses.normal_words(licenses.TEMPLATES[name][int(key.split("#")[1])])) - 1 - len(grams), grams)
+            for name, key, grams in licenses.template_rows(licenses.TEMPLATES)]
+    values = ", ".join(f"('{name}', '{key}', {m}, {reach}, '{gram}')" for name, key, m, reach, grams in rows for gram in grams)
     return rf"""
-WITH templates(license, template, m, gram) AS (VALUES {values}),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-passages AS (
-  SELECT DISTINCT doc_id, unnest(list_distinct([line] || string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) AS passage FROM lines
-  WHERE regexp_matches(line, '[Ll][Ii][Cc][Ee][Nn]|[Pp]ermi|[Rr]edis')),
-words AS (SELECT doc_id, passage, list_filter(string_split_regex(lower(passage), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM passages),
-grams AS (
-  SELECT doc_id, passage, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM words),
-items AS (SELECT doc_id, passage, len(g) AS n, unnest(g) AS gram FROM grams),
-dice AS (
-  SELECT doc_id, passage, license, 2.0 * count(*) / (n + m) AS dice FROM items JOIN templates USING (gram)
-  GROUP BY doc_id, passage, license, template, n, m HAVING 2.0 * count(*) / (n + m) >= 0.8 - 1e-9),
-best AS (SELECT doc_id, passage, license, dice, row_number() OVER (PARTITION BY doc_id, passage ORDER BY dice DESC, license DESC) AS k FROM dice)
-SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS n_matches FROM best WHERE k = 1 GROUP BY doc_id, license
+WITH RECURSIVE templates(license, template, m, reach, gram) AS (VALUES {values}),
+texts AS (SELECT doc_id, text, row_number() OVER () AS r FROM (SELECT DISTINCT doc_id, text FROM documents)),
+words AS (SELECT doc_id, r, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM texts),
+places AS (SELECT doc_id, r, w, unnest(range(1, len(w))) AS pos FROM words),
+hits AS (SELECT doc_id, r, license, template, m, reach, pos, gram FROM (SELECT doc_id, r, pos, w[pos] || ' ' || w[pos + 1] AS gram FROM places) JOIN templates USING (gram)),
+windows AS (
+  SELECT a.doc_id, a.r, a.license, a.template, a.pos AS first, b.pos AS last,
+    2.0 * count(DISTINCT c.gram) / (b.pos - a.pos + 1 - (count(*) - count(DISTINCT c.gram)) + a.m) AS dice
+  FROM hits a JOIN hits b ON b.r = a.r AND b.template = a.template AND b.pos >= a.pos AND b.pos < a.pos + a.reach
+  JOIN hits c ON c.r = a.r AND c.template = a.template AND c.pos >= a.pos AND c.pos <= b.pos
+  GROUP BY a.doc_id, a.r, a.license, a.template, a.m, a.pos, b.pos),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, template, first ORDER BY dice DESC, last DESC) AS k FROM windows),
+spans AS (
+  SELECT doc_id, r, list({{'dice': dice, 'first': first, 'last': last, 'license': license}} ORDER BY dice DESC, first - last, first, last, license, template) AS s
+  FROM best WHERE k = 1 AND dice >= 0.8 - 1e-9 GROUP BY doc_id, r),
+picks AS (
+  SELECT doc_id, r, s[1] AS one, list_filter(s, lambda x: x.first > s[1].last OR x.last < s[1].first) AS rest FROM spans
+  UNION ALL
+  SELECT doc_id, r, rest[1], list_filter(rest, lambda x: x.first > rest[1].last OR x.last < rest[1].first) FROM picks WHERE len(rest) > 0)
+SELECT doc_id, one.license AS license, round(max(one.dice), 6) AS dice, count(*) AS n_matches FROM picks GROUP BY doc_id, one.license
 """
 
 

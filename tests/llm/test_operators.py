@@ -239,7 +239,7 @@ def test_forward_backward_is_the_sum_over_labellings():
 
 def test_licenses(odd, none):
     got = rows(licenses.scan_licenses(odd))
-    assert [(r["doc_id"], r["license"], r["n_matches"]) for r in got] == [(7, "MIT", 2)] and rows(licenses.scan_licenses(none)) == []
+    assert [(r["doc_id"], r["license"], r["n_matches"]) for r in got] == [(7, "MIT", 1)] and rows(licenses.scan_licenses(none)) == []
 
 
 def test_licenses_of_wrapped_and_embedded_notices(spark):
@@ -261,6 +261,18 @@ def test_licenses_of_wrapped_and_embedded_notices(spark):
     assert all(0.8 <= r["dice"] <= 1 for r in got) and {r["doc_id"]: r["n_matches"] for r in got}[len(data) - 2] == 1
 
 
+def test_licenses_count_each_notice_once(spark):
+    import textwrap
+
+    short, long, other = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["GPL-2.0"][0]
+    texts = [f"{short} More.", f"{short}\nsome words between\n{textwrap.fill(long, 40)}", f"{short} {short} {other}\n{short}", " and ".join([short, other] * 200), f"{short}\n\n{other}", None, ""]
+    data = [(k, t, "x") for k, t in enumerate(texts)] + [(0, texts[0], "x"), (None, short, "x"), (None, f"{short} Then.", "y")]
+    got = {(r["doc_id"], r["license"]): r["n_matches"] for r in rows(licenses.scan_licenses(spark.createDataFrame(data, "doc_id long, text string, spans string")))}
+    assert got == {(0, "MIT"): 1, (1, "MIT"): 2, (2, "MIT"): 3, (2, "GPL-2.0"): 1, (3, "MIT"): 200, (3, "GPL-2.0"): 200, (4, "MIT"): 1, (4, "GPL-2.0"): 1, (None, "MIT"): 2}
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(spark.createDataFrame(data, "doc_id long, text string, spans string"), templates={"x": ["Free"]})
+
+
 def test_token_counts(odd, none):
     scores, longest = triecount.pieces(PIECES)
     worst = -2 * log(len(scores) + 2)
