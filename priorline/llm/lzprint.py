@@ -15,6 +15,7 @@ from .common import mix64
 
 KEEP = 128  # smallest hashes in a fingerprint
 BLOCK_CHARS = 4_000_000  # code points of a block of consecutive documents
+BLOCKS = 16_384  # most blocks; beyond 64 GB of text they grow, and are still read as sorted streams
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _POWERS = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
@@ -113,13 +114,13 @@ def fingerprint(text: str, keep: int = KEEP) -> np.ndarray:
 def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, text, lent): one partition for each block of consecutive ids, in order, then a copy of the row that follows the block.
 
-    Blocks are cut at quantiles of the ids, one for ``block_chars`` code points; the driver knows the cuts and each block's first id.
+    Blocks are cut at quantiles of the ids, one for ``block_chars`` code points up to ``BLOCKS``; the driver knows the cuts and each block's first id.
     Texts are shuffled once.  Null ids come first, rows with equal ids go by a hash of their text; the row after the last is the first.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-chars // block_chars))
+    parts = min(BLOCKS, max(1, -(-chars // block_chars)))
     cuts = sorted(set(base.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     dealt = base.withColumn("block", F.lit(0))
     if cuts:
@@ -133,7 +134,7 @@ def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
                                  "first_id long, hash long, first_block int, to int, own int")
     own = lent.select("first_block", "own")
     copies = dealt.join(F.broadcast(lent), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("hash"))).select(
-        "doc_id", "text", F.col("to").alias("part"), F.lit(True).alias("lent"))  # blocks grow with the input, a few numbers each
+        "doc_id", "text", F.col("to").alias("part"), F.lit(True).alias("lent"))  # a few numbers for each of at most BLOCKS blocks
     rows = dealt.join(F.broadcast(own), F.col("block") == F.col("first_block")).select("doc_id", "text", F.col("own").alias("part"), F.lit(False).alias("lent"))
     return rows.unionByName(copies).repartitionById(max(1, len(firsts)), F.col("part")).sortWithinPartitions("lent", F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).select("doc_id", "text", "lent")
 
