@@ -87,3 +87,14 @@ def test_distance_is_that_of_published_geodesics(spark):
     for r in got[:5]:
         assert r["got"] == pytest.approx(r["km"], abs=0.001)
     assert got[5]["got"] == got[5]["round"] and got[6]["got"] is None  # nearly opposite points, an unknown one
+
+
+def test_many_distances_are_quick(spark):
+    import time
+    from priorline.functions.geo import distance_km
+    x = F.col("id")
+    df = spark.range(400_000).select(distance_km(x * 7 % 120 - 60.0, x * 13 % 300 - 150.0, x * 11 % 120 - 60.0, x * 17 % 300 - 150.0).alias("km"))
+    df.limit(1).collect()
+    start = time.perf_counter()
+    assert df.agg(F.count("km")).first()[0] == 400_000
+    assert time.perf_counter() - start < 20
