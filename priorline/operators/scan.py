@@ -81,10 +81,12 @@ def competition_rank(df: DataFrame, keys: list[str], value: Column, name: str =
 
     Value slices come from approximate percentiles of each key; rank = rows in higher slices plus
     the rank inside the slice.  Equal values always fall into the same slice, so ties stay exact.
+    Approximate percentiles and sums of doubles depend on the order rows arrive in, so the rows and the
+    slice bounds are written once: counts and rows must be cut at the same places.
     """
     cuts = [i / slices for i in range(1, slices)]
-    base = df.withColumn("_v", value.cast("double"))
-    bounds = base.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*map(F.lit, cuts)), 1000).alias("_cuts"))
+    base = stage_table(df.withColumn("_v", value.cast("double")))
+    bounds = stage_table(base.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*map(F.lit, cuts)), 1000).alias("_cuts")))
     cut = base.join(bounds, keys, "left").withColumn(
         "_slice", F.when(F.col("_v").isNotNull(), F.size(F.filter("_cuts", lambda b: b >= F.col("_v")))))
     totals = cut.where("_v IS NOT NULL").groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
@@ -105,11 +107,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: l
 
     The built-in exact percentile keeps every distinct value of a key in one task.  Here values are cut
     into slices at approximate percentiles and counted; only the slices that hold a wanted rank are
-    looked into, and they are windowed by (key, slice).
+    looked into, and they are windowed by (key, slice).  Rows and bounds are written once, as for the ranks.
     """
     cuts = [i / slices for i in range(1, slices)]
-    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    bounds = base.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*map(F.lit, cuts)), 1000).alias("_cuts"))
+    base = stage_table(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
+    bounds = stage_table(base.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*map(F.lit, cuts)), 1000).alias("_cuts")))
     cut = base.join(bounds, keys).withColumn("_slice", F.size(F.filter("_cuts", lambda b: b < F.col("_v")))).drop("_cuts")
     counts = cut.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys)

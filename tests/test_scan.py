@@ -99,3 +99,23 @@ def test_later_rows_do_not_change_earlier_ones(spark, rows):
     cut = [r for r in rows if r[1] < 100]
     run = lambda data: {tuple(r) for r in scan.prior_totals(frame(spark, data), ["k"], "t", {"n": F.lit(1)}).where("t < 100").collect()}
     assert run(rows) == run(cut)
+
+
+def test_ranks_when_rows_differ_between_readings(spark):
+    # sums of doubles and approximate percentiles may come out otherwise each time a plan is run
+    draw = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    drawn = spark.range(0, 4000, 1, 8).select((F.col("id") % 2).alias("k"), draw("id").alias("x"))
+    got = scan.competition_rank(drawn, ["k"], F.col("x")).collect()
+    for k in (0, 1):
+        mine = sorted((r for r in got if r["k"] == k), key=lambda r: -r["x"])
+        assert [r["rank"] for r in mine] == list(range(1, 2001))
+
+
+def test_equal_means_share_a_rank(spark, monkeypatch):
+    from priorline.plans import wn
+    from priorline.plans.registry import QUERIES
+    half = 0.0000015625  # the same mean, added up in other orders
+    rows = [(1, half), (2, 1.5624999999999998e-06), (3, 1.5625000000000002e-06), (4, 1.0)]
+    monkeypatch.setattr(wn, "long_measures", lambda d: spark.createDataFrame([(t, "offense", "ppa_per_play", v) for t, v in rows], "team INT, role STRING, metric STRING, value DOUBLE"))
+    got = {r["team"]: r["rank"] for r in QUERIES["wn7_directional_rank"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {4: 1, 1: 2, 2: 2, 3: 2}
