@@ -82,7 +82,8 @@ def _(d):
     sg AS (SELECT *, round(CASE WHEN (metric='turnover_rate') <> (role='defense') THEN -value ELSE value END, 9) AS s FROM long WHERE value IS NOT NULL)
     SELECT team, role, metric, rank() OVER (PARTITION BY role, metric ORDER BY s DESC)::BIGINT AS rank, count(*) OVER (PARTITION BY role, metric) AS cohort FROM sg""")
 def _(d):
-    long = long_measures(d).where("value IS NOT NULL").withColumn("s", F.round(M.signed_value(F.col("value"), F.col("metric"), F.col("role")), 9))
+    # means over 32, 64, ... plays lie halfway between two roundings, where the order of additions would part equal values
+    long = long_measures(d).where("value IS NOT NULL").withColumn("s", r6(M.signed_value(F.col("value"), F.col("metric"), F.col("role")), 9))
     out = scan.competition_rank(long, ["role", "metric"], F.col("s"), cohort="cohort")
     return out.select("team", "role", "metric", F.col("rank").cast("long"), "cohort")
 
