@@ -157,3 +157,15 @@ def test_long_chain_and_empty_graph(spark):
     assert C.descendants(chain, spark.createDataFrame([(0,)], "node BIGINT")).count() == n
     assert C.cycle_nodes(chain).count() == 0
     assert C.cycle_nodes(chain.limit(0)).count() == 0 and C.descendants(chain.limit(0), spark.createDataFrame([(0,)], "node BIGINT")).count() == 0
+
+
+def test_ranges_of_a_deep_graph(spark):
+    """Short steps ahead over many ranges, and rings that cross the ends of ranges: the walks are long and the hop tables wide."""
+    n = 9000
+    edges = [(i, i + 1 + j) for i in range(n) for j in range(3)]
+    df = spark.createDataFrame(edges, "src BIGINT, dst BIGINT")
+    got = C.descendants(df, spark.createDataFrame([(n // 2,)], "node BIGINT"), nodes=1000)
+    assert sorted(r["node"] for r in got.collect()) == list(range(n // 2 + 1, n + 3))
+    rings = [(i, i + 1) for i in range(600)] + [(i, i - 5) for i in range(49, 600, 50)]
+    got = {r["node"]: r["cycle"] for r in C.cycle_nodes(spark.createDataFrame(rings, "src BIGINT, dst BIGINT"), nodes=47).collect()}
+    assert got == {k: i - 5 for i in range(49, 600, 50) for k in range(i - 5, i + 1)}
