@@ -33,30 +33,55 @@ def scoring_row(flag: Column, play_type: Column) -> Column:
 
 
 def _votes(levels: np.ndarray, y: np.ndarray, says: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cost of being below, and of reaching, each level, as (rows, levels)."""
-    high = y[:, None] >= levels[None, :]
-    below = (says[:, None] & high) + FORBIDDEN * (lower[:, None] >= levels[None, :])
-    reached = (says[:, None] & ~high) + FORBIDDEN * (upper[:, None] < levels[None, :])
+    """Cost of being below, and of reaching, each level of the row, as (rows, levels)."""
+    high = y[:, None] >= levels
+    below = (says[:, None] & high) + FORBIDDEN * (lower[:, None] >= levels)
+    reached = (says[:, None] & ~high) + FORBIDDEN * (upper[:, None] < levels)
     return below.astype(np.int64), reached.astype(np.int64)
 
 
-def _slice_minima(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Per level above zero: the sum of votes, the least sum over the first 1.. rows, how many rows that is, and the cost of reaching it at once."""
-    pdf = pdf.sort_values("_pos")
-    levels = np.asarray(pdf["_levels"].iloc[0], dtype=float)
-    levels = levels[levels > 0]
-    columns = [pdf[c].to_numpy() for c in ("_y", "_says", "_lower", "_upper")]
-    out = []
-    for at in range(0, len(levels), step := max(1, 2_000_000 // len(pdf))):
-        part = levels[at:at + step]
-        below, reached = _votes(part, columns[0].astype(float), columns[1].astype(bool), columns[2].astype(float), columns[3].astype(float))
-        sums = np.cumsum(below - reached, axis=0)
-        least = sums.min(axis=0)
-        last = len(pdf) - np.argmin(sums[::-1], axis=0)
-        out.append(pd.DataFrame({"level": part, "_total": sums[-1], "_least": least, "_rows": last, "_reached": reached.sum(axis=0)}))
-    found = pd.concat(out) if out else pd.DataFrame({c: [] for c in ("level", "_total", "_least", "_rows", "_reached")})
+def _piece_minima(levels: list[np.ndarray], sizes: np.ndarray, columns: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Per piece (rows that follow each other) and level: the sum of votes, the least sum over the first 1.. rows, how many rows that is, and the cost of reaching it at once."""
+    starts, piece = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    table = np.full((len(levels), max(map(len, levels))), np.inf)
+    for i, x in enumerate(levels):
+        table[i, :len(x)] = x
+    below, reached = _votes(table[piece], *columns)
+    sums = np.cumsum(below - reached, axis=0)
+    sums -= np.vstack([np.zeros((1, table.shape[1]), np.int64), sums[starts[1:] - 1]])[piece]
+    least = np.minimum.reduceat(sums, starts, axis=0)
+    place = (np.arange(len(piece)) - starts[piece] + 1)[:, None]
+    last = np.maximum.reduceat(np.where(sums == least[piece], place, 0), starts, axis=0)
+    told = np.isfinite(table)
+    return {"_piece": np.nonzero(told)[0], "level": table[told], "_total": sums[starts + sizes - 1][told], "_least": least[told], "_rows": last[told],
+            "_reached": np.add.reduceat(reached, starts, axis=0)[told]}
+
+
+def _slice_minima(pdf: pd.DataFrame, keys: list[str], cells: int = 2_000_000) -> pd.DataFrame:
+    """``_piece_minima`` of all (key, slice) pieces in the frame, many in one array call; a piece of more than ``cells`` numbers goes by parts of its levels."""
+    pdf = pdf.sort_values([*keys, "_slice", "_pos"], ignore_index=True)
+    first = np.flatnonzero(pdf["_pos"].to_numpy() == 0)
+    sizes = np.diff(np.append(first, len(pdf)))
+    levels = [x[x > 0] for x in (np.asarray(v, dtype=float) for v in pdf["_levels"].iloc[first])]
+    kinds = {"_y": float, "_says": bool, "_lower": float, "_upper": float}
+    columns = [pdf[c].to_numpy().astype(kind) for c, kind in kinds.items()]
+    out, at = [], 0
+    names = ["_piece", "level", "_total", "_least", "_rows", "_reached"]
+    while at < len(first):
+        end, rows, wide = at, 0, 0
+        while end < len(first) and (end == at or (rows + sizes[end]) * max(wide, len(levels[end])) <= cells):
+            rows, wide, end = rows + sizes[end], max(wide, len(levels[end])), end + 1
+        part = [c[first[at]:first[at] + rows] for c in columns]
+        step = max(1, cells // rows) if end == at + 1 else max(wide, 1)
+        for low in range(0, wide, step):
+            found = _piece_minima([x[low:low + step] for x in levels[at:end]], sizes[at:end], part)
+            found["_piece"] = found["_piece"] + at
+            out.append(found)
+        at = end
+    found = pd.DataFrame({n: np.concatenate([o[n] for o in out]) if out else [] for n in names})
+    place = first[found.pop("_piece").to_numpy().astype(int)]
     for key in [*keys, "_slice"]:
-        found.insert(0, key, pdf[key].iloc[0])
+        found.insert(0, key, pdf[key].to_numpy()[place])
     return found
 
 
@@ -82,7 +107,9 @@ def monotone_fit(rows: DataFrame, group: list[str], order: list[str], slice_by:
     schema = ", ".join(f"{c} {kinds[c]}" for c in reversed([*group, "_slice"])) + ", level DOUBLE, _total BIGINT, _least BIGINT, _rows BIGINT, _reached BIGINT"
     narrow = base.select(*group, "_slice", "_pos", "_y", "_says", "_lower", "_upper").join(levels, group)
     narrow = narrow.withColumn("_levels", F.when(F.col("_pos") == 0, F.col("_levels")))  # one copy a slice is enough
-    parts = narrow.groupBy(*group, "_slice").applyInPandas(lambda pdf: _slice_minima(pdf, group), schema)
+    # many short slices share one call of Python: about 20,000 rows
+    share = F.pmod(F.xxhash64(*group, "_slice"), F.lit(1 + base.count() // 20_000)).alias("_share")
+    parts = narrow.groupBy(share).applyInPandas(lambda pdf: _slice_minima(pdf, group), schema)
     before = F.coalesce(F.sum("_total").over(Window.partitionBy(*group, "level").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("_value", before + F.col("_least"))
     best = parts.groupBy(*group, "level").agg(F.min("_value").alias("_value"), F.max_by(F.struct("_slice", "_rows"), F.struct(-F.col("_value"), F.col("_slice"))).alias("_at"),
@@ -147,12 +174,12 @@ def reject_reasons(stream: DataFrame, keys: list[str], order: list[str], slice_b
 
 def repaired_streams(stream: DataFrame, finals: DataFrame, order: list[str], slice_by: Column | str, rules: tuple[str, ...] = RULES, lines: DataFrame | None = None) -> DataFrame:
     """Rows times ``rules``: the rebuilt score; a stream that is accepted as it is stays as it is.  ``changed`` marks rejected streams."""
-    stream = stage_table(stream)
+    stream, finals = stage_table(stream), stage_table(finals)
     base = stream.join(finals.select(*STREAM, F.col("final").cast("double").alias("final")), STREAM)
     rejected = stage_table(reject_reasons(base.withColumn("score", F.col("score").cast("double")), STREAM, order, slice_by, "score")
                            .select(*STREAM, F.col("reason").isNotNull().alias("changed")))
     wanted = [c for c in dict.fromkeys([*STREAM, "play_id", "drive_number", "offense", "quarter", "is_scoring", "score", "final", *order])]
-    bad = stream.join(rejected.where("changed").select(*STREAM), STREAM, "left_semi")
+    bad = stage_table(stream.join(rejected.where("changed").select(*STREAM), STREAM, "left_semi"))
     kept = base.join(rejected.where("NOT changed").select(*STREAM), STREAM, "left_semi").select(*wanted, F.col("score").cast("double").alias("repaired"), F.lit(False).alias("changed"))
     out = kept.select(F.explode(F.array(*map(F.lit, rules))).alias("rule"), "*")
     for rule in rules:
@@ -165,7 +192,7 @@ def evaluate_repairs(stream: DataFrame, finals: DataFrame, order: list[str], sli
 
     A rule without an answer is unresolved for ``quarter_bounds_infeasible`` and leaves the observed stream.
     """
-    keys = ["rule", *STREAM]
+    keys, lines = ["rule", *STREAM], stage_table(lines)
     rows = stage_table(repaired_streams(stream, finals, order, slice_by, rules, lines))
     silent = rows.groupBy(*keys).agg(F.max("repaired").isNull().alias("_silent"), F.max_by("score", F.struct(*order)).cast("long").alias("_observed"), F.bool_or("changed").alias("changed"))
     told = rows.where("repaired IS NOT NULL")

@@ -169,3 +169,18 @@ def test_ranges_of_a_deep_graph(spark):
     rings = [(i, i + 1) for i in range(600)] + [(i, i - 5) for i in range(49, 600, 50)]
     got = {r["node"]: r["cycle"] for r in C.cycle_nodes(spark.createDataFrame(rings, "src BIGINT, dst BIGINT"), nodes=47).collect()}
     assert got == {k: i - 5 for i in range(49, 600, 50) for k in range(i - 5, i + 1)}
+
+
+def test_many_slices_in_one_call():
+    """Slices that share a call, a call cut into parts, and each slice alone give the same minima."""
+    import pandas as pd
+    rng, rows = random.Random(3), []
+    for g in range(60):
+        levels = sorted(rng.sample(range(0, 30), rng.randrange(1, 9)))
+        for p in range(rng.randrange(1, 12)):
+            rows.append((g % 20, g, 0, p, float(rng.randrange(30)), rng.random() < 0.8, float("-inf"), float(rng.choice([10, 99])), levels if p == 0 else None))
+    pdf = pd.DataFrame(rows, columns=["game_id", "team", "_slice", "_pos", "_y", "_says", "_lower", "_upper", "_levels"])
+    keys = ["game_id", "team"]
+    tidy = lambda f: f.sort_values(["game_id", "team", "level"]).astype(float).values.tolist()
+    alone = pd.concat([R._slice_minima(part, keys) for _, part in pdf.groupby(["game_id", "team"])])
+    assert tidy(R._slice_minima(pdf.sample(frac=1, random_state=1), keys)) == tidy(alone) == tidy(R._slice_minima(pdf, keys, cells=25))
