@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import odds
+from ..session import stage_table
 
 LINK = ["game_id", "target"]
 
@@ -82,10 +83,13 @@ def late_exceptions(quotes: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def best_quote(predictions: DataFrame, quotes: DataFrame) -> DataFrame:
-    """MK-3: side from the reference line, then the best of the latest quotes, and its edge."""
-    latest = latest_per_provider(quotes)
+    """MK-3: side from the reference line, then the best of the latest quotes, and its edge.
+
+    The latest quotes and the sides are written: both are read twice, and in one plan their sorts would all be held by one task.
+    """
+    latest = stage_table(latest_per_provider(quotes))
     ref = reference_line(latest)
-    p = predictions.join(ref, LINK).withColumn("side", direction(F.col("prediction"), F.col("line")))
+    p = stage_table(predictions.join(ref, LINK).withColumn("side", direction(F.col("prediction"), F.col("line"))))
     best = latest.join(p.select(*LINK, "side"), LINK).groupBy(*LINK).agg(
         F.min_by(F.struct("quote_id", "provider", "point", F.coalesce("price", F.lit(odds.STANDARD_PRICE)).alias("price"), "captured_at"),
                  preference(F.col("side"))).alias("b"))
@@ -103,9 +107,9 @@ def signed_margin() -> Column:
 
 def grade(predictions: DataFrame, retained: DataFrame, fallback: DataFrame) -> DataFrame:
     """MK-5: the best retained pre-kickoff quote, else the best fallback line, else ungraded."""
-    first = best_quote(predictions, admissible(retained, predictions)).withColumn("benchmark", F.lit("retained_prekickoff"))
+    first = stage_table(best_quote(predictions, admissible(retained, predictions)).withColumn("benchmark", F.lit("retained_prekickoff")))
     open_ = predictions.join(first.select(*LINK), LINK, "left_anti")
-    second = best_quote(open_, fallback.join(open_.select(*LINK), LINK, "left_semi")).withColumn("benchmark", F.lit("retrospective"))
+    second = stage_table(best_quote(open_, fallback.join(open_.select(*LINK), LINK, "left_semi")).withColumn("benchmark", F.lit("retrospective")))
     chosen = first.unionByName(second).select(*LINK, "benchmark", "side", "point", "price", "quote_id", "provider", "line", "rule", "edge")
     out = predictions.join(chosen, LINK, "left")
     units = odds.settle(signed_margin(), odds.profit_per_unit(F.col("price")))
