@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,6 +160,52 @@ def kalman_states(e: Array, seg: Array, starts: Array) -> tuple[Array, Array]:
     return after, before
 
 
+def kalman_blocks(batch: pa.RecordBatch, cells: int = 32_768) -> Iterator[tuple[Array, Array, tuple[Array, Array, Array], Array, Array]]:
+    """Series of a batch (lists _weeks, _n, _z and candidates _q, _r), longest first: (rows, rows left at each step, (weeks, n, z) by step and row, q, r).
+
+    A block has about ``cells`` rows times candidates, so that a step's arrays stay in a core's cache.
+    """
+    lengths = batch["_z"].value_lengths().to_numpy()
+    first, order = np.cumsum(lengths) - lengths, np.argsort(-lengths, kind="stable")
+    values = [batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("_weeks", "_n", "_z")]
+    q, r = (batch[c].flatten().to_numpy(zero_copy_only=False).reshape(len(lengths), -1) for c in ("_q", "_r"))
+    size = max(1, cells // max(1, q.shape[1]))
+    for a in range(0, len(order), size):
+        rows = order[a:a + size]
+        step = np.arange(lengths[rows[0]])[:, None]
+        left = (lengths[rows] > step).sum(axis=1)
+        at = np.where(lengths[rows] > step, first[rows] + step, 0)
+        yield rows, left, tuple(x[at] for x in values), q[rows], r[rows]
+
+
+def kalman_losses(left: Array, series: tuple[Array, Array, Array], q: Array, r: Array, m: Array, v: Array) -> Array:
+    """Half the sum of log variance and squared standardised innovation, all series of a block and all candidates at once, from means ``m`` and variances ``v``."""
+    loss, m, v = np.zeros_like(q), m.copy(), v.copy()
+    for k, a in enumerate(left):
+        weeks, n, z = (x[k, :a, None] for x in series)
+        ahead, noise, gap = v[:a] + q[:a] * weeks, r[:a] * (1.0 / n), z - m[:a]
+        s = ahead + noise
+        pull = gap / s
+        loss[:a] += np.log(s)
+        loss[:a] += gap * pull
+        m[:a] += ahead * pull
+        v[:a] = ahead * noise / s
+    return 0.5 * loss
+
+
+def kalman_sums(left: Array, series: tuple[Array, Array, Array], q: Array, r: Array) -> Array:
+    """The elements (5, rows, candidates) of whole series of a block."""
+    out = None
+    for k, a in enumerate(left):
+        weeks, n, z = (x[k, :a] for x in series)
+        e = kalman_elements(q[:a], r[:a], weeks, n, z)[0]
+        if out is None:
+            out = e
+        else:
+            out[:, :a] = kalman_compose(out[:, :a], e)
+    return out
+
+
 # The variance with its floor: v -> max((a v + b) / (c v + d), f), closed under composition because the fraction rises in v
 def floor_compose(x: Array, y: Array) -> Array:
     a, b, c, d = (y[0] * x[0] + y[1] * x[2], y[0] * x[1] + y[1] * x[3], y[2] * x[0] + y[3] * x[2], y[2] * x[1] + y[3] * x[3])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +41,15 @@ def analytic_update(prior_mean: Column, prior_var: Column, observation: Column,
             "weight": info / (1 / prior_var + info)}
 
 
-def _chunked(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, chunk: int, columns: dict[str, Column]) -> DataFrame:
-    """The rows with their place ``_p``, chunk ``_c``, the time of the row before, and named inputs; written once."""
+def _places(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, chunk: int, columns: dict[str, Column]) -> DataFrame:
+    """The rows with their place ``_p``, chunk ``_c``, the time of the row before, and named inputs."""
     base = running(df.withColumns(columns), keys, order, slice_by, {"_was": ("last", columns["_at"])} | {"_p": ("count", F.lit(1))}, inclusive=False)
-    return stage_table(base.withColumns({"_c": F.expr(f"_p div {chunk}"), "_weeks": F.coalesce((F.col("_at") - F.col("_was")) / 86400.0, F.lit(0.0)) / 7.0}))
+    return base.withColumns({"_c": F.expr(f"_p div {chunk}"), "_weeks": F.coalesce((F.col("_at") - F.col("_was")) / 86400.0, F.lit(0.0)) / 7.0})
+
+
+def _chunked(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, chunk: int, columns: dict[str, Column]) -> DataFrame:
+    """The rows of :func:`_places`, written once."""
+    return stage_table(_places(df, keys, order, slice_by, chunk, columns))
 
 
 def kalman_filter(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, z: Column, exposure: Column, time: Column,
@@ -158,48 +165,43 @@ MIN_OBSERVATIONS = 8
 
 
 class NoiseSeries:
-    """Series whose innovation likelihood is wanted for several (q, r) of their group; written once, read in every round."""
+    """Series whose innovation likelihood is wanted for several (q, r) of their group.
+
+    A row is a chunk of a series as arrays, written once; a round reads the rows where they lie, and only a series of several
+    chunks meets anything but its candidates: the states its chunks start from.
+    """
 
     def __init__(self, df: DataFrame, group: list[str], keys: list[str], order: list[str], slice_by: Column | str, z: Column, exposure: Column, time: Column, chunk: int = 512):
         self.group, self.keys = group, list(dict.fromkeys([*group, *keys]))
         inputs = {"_z": z.cast("double"), "_n": exposure.cast("double"), "_at": time.cast("double")}
         usable = df.withColumns(inputs).where("_z IS NOT NULL AND NOT isnan(_z) AND abs(_z) < double('infinity') AND _n > 0")
         self.all = df.select(*group).distinct()
-        self.rows = _chunked(usable, self.keys, order, slice_by, chunk, {c: F.col(c) for c in inputs}).select(*self.keys, "_c", "_p", "_z", "_n", "_weeks")
-
-    def objective(self, candidates: DataFrame) -> DataFrame:
-        """``candidates`` (group, _q, _r arrays) to (group, i, objective): half the sum of log variance and squared standardised innovation."""
-
-        def parts(pdf: pd.DataFrame, seg: np.ndarray) -> tuple:
-            q, r = (np.array(pdf[c].iloc[folds.heads(seg)].to_list(), float)[seg] for c in ("_q", "_r"))
-            return folds.kalman_elements(q, r, *(pdf[c].to_numpy(float) for c in ("_weeks", "_n", "_z")))
-
-        def blocks(seg: np.ndarray, candidates: int):
-            """Whole segments, as many as make about 200,000 cells, so that memory does not grow with the candidates."""
-            first = folds.heads(seg)
-            cuts = first[np.diff(first // max(1, 200_000 // candidates), prepend=-1) > 0]
-            return zip(cuts, [*cuts[1:], len(seg)])
-
-        def summarise(pdf: pd.DataFrame, seg: np.ndarray) -> list[np.ndarray]:
-            out = []
-            for a, b in blocks(seg, len(pdf["_q"].iloc[0])):
-                part, own = pdf.iloc[a:b], seg[a:b] - seg[a]
-                last = np.append(folds.heads(own)[1:], len(own)) - 1
-                out += [x.ravel() for x in np.moveaxis(folds.segment_prefix(parts(part, own)[0], own, folds.kalman_compose)[:, last], 1, 0)]
-            return out
-
-        def replay(pdf: pd.DataFrame, seg: np.ndarray, starts: list[np.ndarray]) -> tuple[np.ndarray, dict]:
-            many, losses = len(pdf["_q"].iloc[0]), []
-            for a, b in blocks(seg, many):
-                part, own = pdf.iloc[a:b], seg[a:b] - seg[a]
-                e, drift, noise = parts(part, own)
-                start = np.stack([np.repeat(s.reshape(2, -1), many, axis=1) if s.size == 2 else s.reshape(2, -1) for s in starts[seg[a]:seg[b - 1] + 1]], axis=1)
-                _, before = folds.kalman_states(e, own, start)
-                s = before[1] + drift + noise
-                loss = 0.5 * (np.log(s) + (part["_z"].to_numpy(float)[:, None] - before[0]) ** 2 / s)
-                losses.append(np.add.reduceat(loss, folds.heads(own), axis=0))
-            loss = np.concatenate(losses)
-            return np.repeat(folds.heads(seg), many), {"i": np.tile(np.arange(many), len(loss)), "loss": loss.ravel()}
+        rows = _places(usable.select(*dict.fromkeys([*self.keys, *order]), *inputs, (F.expr(slice_by) if isinstance(slice_by, str) else slice_by).alias("_on")),
+                       self.keys, order, "_on", chunk, {c: F.col(c) for c in inputs})
+        rows = rows.groupBy(*self.keys, "_c").agg(F.array_sort(F.collect_list(F.struct("_p", "_weeks", "_n", "_z"))).alias("_rows"))
+        self.chunks = stage_table(rows.select(*self.keys, "_c", *[F.col(f"_rows.{c}").alias(c) for c in ("_weeks", "_n", "_z")]))
+        self.long = None
+        if self.chunks.where("_c > 0").limit(1).count():
+            long = self.chunks.where("_c > 0").select(*self.keys).distinct()
+            self.long = stage_table(self.chunks.join(long, self.keys, "left_semi"))
+            self.chunks = stage_table(self.chunks.join(long, self.keys, "left_anti"))
+
+    def counts(self) -> DataFrame:
+        """(group, n): usable rows."""
+        rows = self.chunks if self.long is None else self.chunks.union(self.long)
+        return rows.groupBy(*self.group).agg(F.sum(F.size("_z")).alias("n"))
+
+    def _starts(self, candidates: DataFrame) -> DataFrame:
+        """(keys, _c, _s): the state each chunk of the long series starts from, means and variances per candidate."""
+        keys = self.keys
+
+        def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, left, series, q, r in folds.kalman_blocks(batch):
+                    out = {c: batch[c].take(pa.array(rows)) for c in [*keys, "_c"]}
+                    e = folds.kalman_sums(left, series, q, r)
+                    out |= {"e": pa.array(list(np.moveaxis(e, 1, 0).reshape(len(rows), -1))), "s": pa.array([[0.0, 1.0]] * len(rows))}
+                    yield pa.RecordBatch.from_pydict(out)
 
         def spread(f):
             def run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -210,11 +212,36 @@ class NoiseSeries:
 
             return run
 
-        rows = self.rows.join(candidates, self.group).withColumn("_first", F.array(F.lit(0.0), F.lit(1.0)))
-        head = F.col("_p") == F.min("_p").over(Window.partitionBy(*self.keys, "_c"))
-        rows = rows.withColumns({c: F.when(head, F.col(c)) for c in ("_q", "_r")})  # one copy a chunk is enough
-        out = folds.chunked_fold(rows, self.keys, summarise, spread(folds.kalman_apply), spread(folds.kalman_compose), replay, "i BIGINT, loss DOUBLE")
-        return out.groupBy(*self.group, "i").agg(F.sum("loss").alias("objective"))
+        chunks = self.long.join(candidates, self.group).mapInArrow(sum_up, f"{folds.named(self.long, keys)}, _c BIGINT, e ARRAY<DOUBLE>, s ARRAY<DOUBLE>")
+        return folds.chunk_starts(stage_table(chunks), keys, spread(folds.kalman_apply), spread(folds.kalman_compose)).withColumnRenamed("s", "_s")
+
+    def objective(self, candidates: DataFrame) -> DataFrame:
+        """``candidates`` (group, _q, _r arrays) to (group, i, objective): half the sum of log variance and squared standardised innovation."""
+        group = self.group
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                of = batch.select(group).to_pandas().groupby(group, dropna=False, sort=False).ngroup().to_numpy()
+                first = np.unique(of, return_index=True)[1]
+                total = 0.0
+                for rows, left, series, q, r in folds.kalman_blocks(batch):
+                    m, v = np.zeros_like(q), np.ones_like(q)
+                    for at, row in enumerate(rows if "_s" in batch.schema.names else []):
+                        m[at], v[at] = batch["_s"][int(row)].values.to_numpy().reshape(2, -1)
+                    loss, sums = folds.kalman_losses(left, series, q, r, m, v), np.zeros((len(first), q.shape[1]))
+                    np.add.at(sums, of[rows], loss)
+                    total = total + sums
+                many = total.shape[1]
+                yield pa.RecordBatch.from_pydict({c: batch[c].take(pa.array(np.repeat(first, many))) for c in group} | {
+                    "i": pa.array(np.tile(np.arange(many), len(first))), "loss": pa.array(total.ravel())})
+
+        schema = f"{folds.named(self.chunks, group)}, i BIGINT, loss DOUBLE"
+        out = self.chunks.join(candidates, group).mapInArrow(score, schema)
+        if self.long is not None:
+            out = out.union(self.long.join(self._starts(candidates), [*self.keys, "_c"]).join(candidates, group).mapInArrow(score, schema))
+        return out.groupBy(*group, "i").agg(F.sum("loss").alias("objective"))
 
 
 def fit_noise(df: DataFrame, group: list[str], keys: list[str], order: list[str], slice_by: Column | str, z: Column, exposure: Column, time: Column,
@@ -226,7 +253,7 @@ def fit_noise(df: DataFrame, group: list[str], keys: list[str], order: list[str]
     smaller pair.  A group of fewer than 8 usable rows gets (0, 1, null, false).
     """
     series = NoiseSeries(df, group, keys, order, slice_by, z, exposure, time, chunk)
-    many = series.rows.groupBy(*group).agg(F.count("*").alias("n"))
+    many = series.counts()
     lo, hi = math.log(R_BOUNDS[0]), math.log(R_BOUNDS[1])
     box = stage_table(many.where(f"n >= {MIN_OBSERVATIONS}").select(*group, F.lit(0.5).alias("t"), F.lit((lo + hi) / 2).alias("u"), F.lit(0.5).alias("dt"), F.lit((hi - lo) / 2).alias("du")))
     offsets, first = [k / 3 for k in range(-3, 4)], [k / 6 for k in range(-6, 7)]

@@ -22,39 +22,30 @@ def running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column |
 
     ``slice_by`` (a column or SQL text) must not decrease along ``order``.  ``last`` is the last non-null value.
     ``inclusive=False`` leaves the current row out.  The input is read twice (totals and rows), so
-    chains of several scans set ``materialize`` to write an expensive input once.
+    chains of several scans set ``materialize`` to write an expensive input once.  What a slice starts from
+    is a row in front of its rows, so rows are shuffled and sorted once and not joined.
     """
     slice_by = F.expr(slice_by) if isinstance(slice_by, str) else slice_by
     base = df.withColumns({"_slice": slice_by, **{f"_x_{n}": c for n, (_, c) in specs.items()}})
     base = stage_table(base) if materialize else base
-    total, window = {}, {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
-    position = F.struct(*order)
+    base = base.withColumns({f"_x_{n}": F.col(f"_x_{n}").isNotNull().cast("long") for n, (op, _) in specs.items() if op == "count"})
+    window = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
+    position, total = F.struct(*order), []
     for name, (op, _) in specs.items():
         x = F.col(f"_x_{name}")
-        total[name] = (F.max_by(x, F.when(x.isNotNull(), position)) if op == "last" else window[op](x)).alias(f"_t_{name}")
-    slices = base.groupBy(*keys, "_slice").agg(*total.values())
+        total.append((F.max_by(x, F.when(x.isNotNull(), position)) if op == "last" else window[op](x)).alias(f"_x_{name}"))
+    slices = base.groupBy(*keys, "_slice").agg(*total)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(START, -1)
-    carry = slices.select(*keys, "_slice", *[
-        (F.last(f"_t_{n}", True) if op == "last" else (F.sum if op == "count" else window[op])(f"_t_{n}")).over(before).alias(f"_c_{n}")
-        for n, (op, _) in specs.items()])
-    # grouping columns are null-safe joined: a null key is a key like any other
-    on = [base[k].eqNullSafe(carry[k]) for k in [*keys, "_slice"]]
-    joined = base.join(carry, on, "left").drop(*[carry[k] for k in [*keys, "_slice"]])
-    here = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(START, 0 if inclusive else -1)
+    carry = slices.select(*keys, "_slice", *[(F.last(f"_x_{n}", True) if op == "last" else window[op](f"_x_{n}")).over(before).alias(f"_x_{n}") for n, (op, _) in specs.items()])
+    known = set(carry.columns)
+    carry = carry.select(*[F.col(f"`{c}`") if c in known else F.lit(None).cast(t).alias(c) for c, t in base.dtypes], F.lit(False).alias("_is_row"))
+    here = Window.partitionBy(*keys, "_slice").orderBy("_is_row", *order).rowsBetween(START, 0 if inclusive else -1)
     out = {}
     for name, (op, _) in specs.items():
-        x, c = F.col(f"_x_{name}"), F.col(f"_c_{name}")
-        if op == "last":
-            out[name] = F.coalesce(F.last(x, True).over(here), c)
-        elif op == "max":
-            out[name] = F.greatest(F.max(x).over(here), c)
-        elif op == "min":
-            out[name] = F.least(F.min(x).over(here), c)
-        else:
-            local = window[op](x).over(here)
-            zero = F.lit(0) if op == "count" else None
-            out[name] = (F.coalesce(local, F.lit(0)) + F.coalesce(c, F.lit(0))) if op == "count" else F.coalesce(local + c, local, c)
-    return joined.withColumns(out).drop("_slice", *[f"_x_{n}" for n in specs], *[f"_c_{n}" for n in specs])
+        x = F.col(f"_x_{name}")
+        value = F.last(x, True).over(here) if op == "last" else window[op](x).over(here)
+        out[name] = F.coalesce(value, F.lit(0)) if op == "count" else value
+    return base.withColumn("_is_row", F.lit(True)).union(carry).withColumns(out).where("_is_row").drop("_slice", "_is_row", *[f"_x_{n}" for n in specs])
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, columns: dict[str, str],
