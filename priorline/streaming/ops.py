@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,37 +107,49 @@ def kalman_stream(stream: DataFrame, key: str, columns: list[str], q: float, r:
         update, out_schema, "m DOUBLE, v DOUBLE, last DOUBLE", "append", GroupStateTimeout.NoTimeout)
 
 
-def score_alerts(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
+def score_alerts(stream: DataFrame, key: str, time: str, delay: str, buckets: int = 1024) -> DataFrame:
     """SS-6: an alert for each fall of a running score against the score before it in time.
 
-    Input columns: key, id, ``time``, score.  Rows wait in the key's state until the watermark has passed them, so a row that
+    Input columns: key, id, ``time``, score.  Rows wait in the state until the watermark has passed them, so a row that
     comes late, but within ``delay``, takes its place by (time, id) across micro-batches; rows behind
-    what was already passed are left out, as Spark does.  The state holds the rows of the last ``delay`` and one score.  A null score neither alerts nor
+    what was already passed are left out, as Spark does.  Keys share the states of ``buckets`` hash buckets, because a call per key
+    costs far more than its rows; a state holds its keys' rows of the last ``delay`` and one score a key.  A null score neither alerts nor
     counts as the score before.
     """
     out_schema = f"{key} STRING, id BIGINT, fell_by INT"
-    state_schema = "at ARRAY<BIGINT>, id ARRAY<BIGINT>, score ARRAY<INT>, last INT"
+    state_schema = "key ARRAY<STRING>, at ARRAY<BIGINT>, id ARRAY<BIGINT>, score ARRAY<INT>, known ARRAY<STRING>, last ARRAY<INT>"
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, ids, scores, last = state.get if state.exists else ([], [], [], None)
-        waiting = [pd.DataFrame({"at": list(at), "id": list(ids), "score": list(scores)})]
-        if not state.hasTimedOut:
-            waiting += [f[["at", "id", "score"]] for f in frames]
-        rows = pd.concat([f for f in waiting if len(f)] or waiting).dropna(subset=["score"]).sort_values(["at", "id"]).astype("int64")
-        passed = rows["at"] <= state.getCurrentWatermarkMs() * 1000
-        closed, rows = rows[passed], rows[~passed]
-        before = closed["score"].shift(1)
-        if len(closed):
-            before.iloc[0] = closed["score"].iloc[0] if last is None else last
-            last = int(closed["score"].iloc[-1])
-        fell = closed.assign(fell_by=before - closed["score"]).query("fell_by > 0")
-        state.update((rows["at"].tolist(), rows["id"].tolist(), rows["score"].tolist(), last))
-        if len(rows):
-            state.setTimeoutTimestamp(-(-int(rows["at"].iloc[0]) // 1000))
-        yield pd.DataFrame({key: k[0], "id": fell["id"].astype("int64"), "fell_by": fell["fell_by"].astype("int32")})
+        *waiting, known, last = state.get if state.exists else ([],) * 6
+        parts = [[np.asarray(x, kind) for x, kind in zip(waiting, ("object", "int64", "int64", "int64"))]]
+        for f in frames if not state.hasTimedOut else ():
+            there = f["score"].notna().to_numpy()
+            parts.append([f[c].to_numpy()[there].astype(kind) for c, kind in ((key, "object"), ("at", "int64"), ("id", "int64"), ("score", "int64"))])
+        keys, at, ids, scores = (np.concatenate(x) for x in zip(*parts))
+        code, names = pd.factorize(np.concatenate([np.asarray(known, "object"), keys]), use_na_sentinel=False)
+        names = np.array([None if pd.isna(x) else x for x in names], "object")
+        before, seen = np.zeros(len(names), "int64"), np.zeros(len(names), bool)
+        before[code[:len(known)]], seen[code[:len(known)]] = last, True
+        code = code[len(known):]
+        passed = at <= state.getCurrentWatermarkMs() * 1000
+        order = np.lexsort((ids, at, code))
+        order = order[passed[order]]
+        of, score = code[order], scores[order]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        was = np.roll(score, 1)
+        was[first] = np.where(seen[of[first]], before[of[first]], score[first])
+        falls = np.flatnonzero(score < was)
+        before[of], seen[of] = score, True  # the last row of a key counts
+        stay = ~passed
+        state.update((keys[stay].tolist(), at[stay].tolist(), ids[stay].tolist(), scores[stay].tolist(), names[seen].tolist(), before[seen].tolist()))
+        if stay.any():
+            state.setTimeoutTimestamp(-(-int(at[stay].min()) // 1000))
+        if len(falls):
+            yield pd.DataFrame({key: names[of[falls]], "id": ids[order][falls], "fell_by": (was - score)[falls].astype("int32")})
 
     rows = stream.select(key, "id", F.col(time).alias("ts"), F.unix_micros(time).alias("at"), F.col("score").cast("int").alias("score"))
-    return rows.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(update, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    return rows.withWatermark("ts", delay).groupBy("_bucket").applyInPandasWithState(update, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_batches(stream: DataFrame, target: str, keys: list[str], partition: str, order: list[str]) -> None:

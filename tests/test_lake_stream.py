@@ -114,3 +114,20 @@ def test_score_alerts_place_late_rows_across_batches(spark):
     stream = S.stream_folder(spark, path, spark.read.parquet(path).schema, 1)
     out = S.run_to_table(S.score_alerts(stream, "stream", "ts", "1 hour"), "late-out").collect()
     assert sorted((r["stream"], r["id"], r["fell_by"]) for r in out) == [("a", 5, 1), ("a", 8, 1), ("a", 11, 5), ("b", 4, 2)]
+
+
+def test_score_alerts_share_states(spark):
+    """Many keys in one state alert as each alone would, across batches, null keys included."""
+    path = scratch_path(spark, "shared-in")
+    rows = [(None if k == 5 else f"k{k}", 100 * k + i, 60 * ((7 * i) % 20), (k * i * 5) % 13) for k in range(30) for i in range(20)]
+    schema = "stream STRING, id BIGINT, s BIGINT, score INT"
+    for part in (rows[::2], rows[1::2], [("end", 9999, 90000, 1)]):
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    want = []
+    for key in {r[0] for r in rows}:
+        mine = sorted((s, i, score) for k, i, s, score in rows if k == key)
+        want += [(str(key), b[1], a[2] - b[2]) for a, b in zip(mine, mine[1:]) if b[2] < a[2]]
+    stream = S.stream_folder(spark, path, spark.read.parquet(path).schema, 1)
+    out = S.run_to_table(S.score_alerts(stream, "stream", "ts", "1 hour", buckets=2), "shared-out").collect()
+    assert want and sorted((str(r["stream"]), r["id"], r["fell_by"]) for r in out) == sorted(want)
