@@ -119,3 +119,9 @@ def test_equal_means_share_a_rank(spark, monkeypatch):
     monkeypatch.setattr(wn, "long_measures", lambda d: spark.createDataFrame([(t, "offense", "ppa_per_play", v) for t, v in rows], "team INT, role STRING, metric STRING, value DOUBLE"))
     got = {r["team"]: r["rank"] for r in QUERIES["wn7_directional_rank"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {4: 1, 1: 2, 2: 2, 3: 2}
+
+
+def test_running_shuffles_rows_once(spark, rows):
+    """Rows meet what their slice starts from without a join."""
+    out = scan.running(frame(spark, rows), ["k"], ["t", "i"], "CAST(t / 20 AS INT)", {"s": ("sum", F.col("x")), "l": ("last", F.col("x"))})
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
