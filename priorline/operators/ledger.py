@@ -8,6 +8,8 @@ running flag.  All three are two-level running values, so one very long game is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from ..functions import playtypes as T
 from ..functions.identity import content_id
 from ..session import stage_table
 from .components import connected_components
-from .scan import previous, running
+from .scan import apart, previous, running
 
 STREAM = ["game_id", "team"]
 
@@ -42,41 +44,59 @@ def score_stream(plays: DataFrame) -> DataFrame:
         F.struct(F.col("defense").alias("team"), F.col("defense_score").cast("double").alias("score")))))
 
 
-def accepted_stream(stream: DataFrame, finals: DataFrame, order: list[str], slice_by: Column | str) -> DataFrame:
+def _fault(x: Column, p: Column) -> Column:
+    whole = (x >= 0) & (x == F.floor(x))
+    return (F.when(x.isNull() | F.isnan(x), "missing_or_nonfinite_score").when(whole & (x < p), None)
+            .when(~whole, "score_regression_or_nonintegral").when(x - p > 8, "impossible_score_increment"))
+
+
+def accepted_stream(stream: DataFrame, finals: DataFrame, order: list[str], slice_by: Column | str, sliced: bool = True) -> DataFrame:
     """Previous capped score, what is wrong with the row, and whether the stream is already stopped."""
     s = stream.join(finals.select(*STREAM, "final"), STREAM, "left")
     s = s.withColumn("capped", F.least("score", F.col("final")))
-    s = previous(s, STREAM, order, slice_by, {"_prev": "capped"}, materialize=True)
+    s = previous(s, STREAM, order, slice_by, {"_prev": "capped"}, materialize=sliced, sliced=sliced)
     s = s.withColumn("prev", F.coalesce("_prev", F.lit(0.0))).drop("_prev")
-    x, p = F.col("score"), F.col("prev")
-    whole = (x >= 0) & (x == F.floor(x))
-    bad = (F.when(x.isNull() | F.isnan(x), "missing_or_nonfinite_score").when(whole & (x < p), None)
-           .when(~whole, "score_regression_or_nonintegral").when(x - p > 8, "impossible_score_increment"))
-    s = s.withColumn("malformed", bad)
+    s = s.withColumn("malformed", _fault(F.col("score"), F.col("prev")))
     s = running(s, STREAM, order, slice_by, {"_stops": ("count", F.when(F.col("malformed").isNotNull(), 1)), "_pos": ("count", F.lit(1))},
-                inclusive=False, materialize=True)
+                inclusive=False, materialize=sliced, sliced=sliced)
     return s.where("_stops = 0").drop("_stops")
 
 
+def opened_streams(stream: DataFrame, order: list[str]) -> DataFrame:
+    """The streams of which :func:`accepted_stream` accepts a row: those whose first row, before which the score is 0, is no stop."""
+    first = stream.groupBy(*STREAM).agg(F.min_by(F.struct("score"), F.struct(*order))["score"].alias("score"))
+    return first.where(_fault(F.col("score"), F.lit(0.0)).isNull()).select(*STREAM)
+
+
 def scoring_events(plays: DataFrame, possessions: DataFrame, finals: DataFrame, order: list[str], slice_by: str) -> DataFrame:
     """IT-19: score increments with category, origin of conversions, cap, quarantine and rollback."""
-    narrow = plays.select(*dict.fromkeys(["game_id", "play_id", "drive_number", "quarter", "offense", "defense", "play_type", "offense_score", "defense_score", *order]),
-                          F.expr(slice_by).alias("_on"))
+    scored = ["offense_score", "defense_score", "defense", "_late_side"]
+    narrow = plays.where(~P.member("play_type", T.DEAD)).select(
+        *dict.fromkeys(["game_id", "play_id", "drive_number", "quarter", "offense", *scored[:3], *order]), F.expr(slice_by).alias("_on"),
+        P.member("play_type", T.TWO_POINT + T.EXTRA_POINT).alias("_conversion"), P.member("play_type", T.TURNOVER + T.KICKOFF + T.PUNT).alias("_late_side"))
     slice_by = "_on"
-    s = accepted_stream(score_stream(narrow.where(~P.member("play_type", T.DEAD))), finals, order, slice_by)
-    s = stage_table(s)
+    stream = score_stream(narrow).withColumn("_other_side", (F.col("team") != F.col("offense")) | F.col("_late_side")).drop(*[c for c in scored if c not in order])
+    parts = [_increments(rows, finals, order, slice_by, sliced) for rows, sliced in apart(stream, STREAM)]
+    return reduce(DataFrame.unionByName, [_categories(s, ev, possessions, order, slice_by, sliced) for s, ev, sliced in parts])
+
+
+def _increments(stream: DataFrame, finals: DataFrame, order: list[str], slice_by: str, sliced: bool) -> tuple[DataFrame, DataFrame, bool]:
+    """The accepted rows, and those that raise the score with what is left of it."""
+    s = stage_table(accepted_stream(stream, finals, order, slice_by, sliced))
     # points undone later are those above the lowest later score: a running minimum from the end
     live = s.where("malformed IS NULL").withColumns({"_back": -F.col("_pos"), "_day": -F.datediff(F.expr(slice_by), F.lit("1970-01-01"))})
-    low = running(live, STREAM, ["_back"], "_day", {"_low": ("min", F.col("capped"))}, inclusive=False).drop("_pos", "_back", "_day")
+    low = running(live, STREAM, ["_back"], "_day", {"_low": ("min", F.col("capped"))}, inclusive=False, sliced=sliced).drop("_pos", "_back", "_day")
     ev = low.where("score > prev")
-    ev = ev.withColumns({
+    return s, ev.withColumns({
         "gained": F.col("capped") - F.col("prev"),
-        "score_increment": F.greatest(F.lit(0.0), F.least(F.col("capped"), F.coalesce("_low", F.col("capped"))) - F.col("prev")).cast("int")})
+        "score_increment": F.greatest(F.lit(0.0), F.least(F.col("capped"), F.coalesce("_low", F.col("capped"))) - F.col("prev")).cast("int")}), sliced
+
+
+def _categories(s: DataFrame, ev: DataFrame, possessions: DataFrame, order: list[str], slice_by: str, sliced: bool) -> DataFrame:
     p = possessions.select("game_id", "drive_number", "offense", "possession_eligible", F.col("quality_reason").alias("_pq"), F.lit(True).alias("_has"))
     ev = ev.join(p, ["game_id", "drive_number", "offense"], "left")
     period = P.period_class()
-    conversion = P.member("play_type", T.TWO_POINT + T.EXTRA_POINT)
-    other_side = (F.col("team") != F.col("offense")) | P.member("play_type", T.TURNOVER + T.KICKOFF + T.PUNT)
+    conversion, other_side = F.col("_conversion"), F.col("_other_side")
     category = (F.when(F.col("gained") == 0, None).when(period == "unknown", "unresolved").when(period == "overtime", "overtime")
                 .when(conversion, None).when(other_side, "regulation_non_offense")
                 .when(F.col("_has").isNull() | F.col("_pq").isNotNull(), "unresolved")
@@ -86,7 +106,7 @@ def scoring_events(plays: DataFrame, possessions: DataFrame, finals: DataFrame,
     # a conversion belongs to the last event before it that is settled or itself a conversion
     ev = running(ev, STREAM, order, slice_by, {"_origin": ("last", F.when(settled, F.col("_cat"))),
                                                "_active": ("last", F.when(settled | F.col("_conv"), F.col("play_id")))},
-                 inclusive=False, materialize=True)
+                 inclusive=False, materialize=sliced, sliced=sliced)
     cat = F.when(F.col("gained") == 0, "unresolved").when(F.col("_conv"), F.coalesce("_origin", F.lit("unresolved"))).otherwise(F.col("_cat"))
     reason = (F.when(F.col("gained") == 0, "exceeds_repaired_final").when(F.col("score_increment") < F.col("gained"), "score_regression_rollback")
               .when(F.col("_conv") & F.col("_origin").isNull(), "conversion_without_origin").when(period == "unknown", "unknown_period")

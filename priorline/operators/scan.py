@@ -14,17 +14,36 @@ from pyspark.sql import functions as F
 from ..session import stage_table
 
 START = Window.unboundedPreceding
+LONG = 1 << 18
+
+
+def apart(df: DataFrame, keys: list[str], long: int | None = None) -> list[tuple[DataFrame, bool]]:
+    """The rows of keys that one task can scan, with False, and, where there are any, those of longer keys, with True.
+
+    Slices cost a second shuffle and rows of their own, which only a key of more than ``long`` rows is worth.
+    """
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > (long or LONG)).select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    if not hot.limit(1).count():
+        return [(df, False)]
+    hot = F.broadcast(stage_table(hot))  # at most one row per ``long`` rows
+    on = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
+    return [(df.join(hot, on, "left_anti"), False), (df.join(hot, on, "left_semi"), True)]
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str,
-            specs: dict[str, tuple[str, Column]], inclusive: bool = True, materialize: bool = False) -> DataFrame:
+            specs: dict[str, tuple[str, Column]], inclusive: bool = True, materialize: bool = False, sliced: bool = True) -> DataFrame:
     """Running sum/count/max/min/last of each column over ``order`` inside ``keys``.
 
     ``slice_by`` (a column or SQL text) must not decrease along ``order``.  ``last`` is the last non-null value.
     ``inclusive=False`` leaves the current row out.  The input is read twice (totals and rows), so
     chains of several scans set ``materialize`` to write an expensive input once.  What a slice starts from
-    is a row in front of its rows, so rows are shuffled and sorted once and not joined.
+    is a row in front of its rows, so rows are shuffled and sorted once and not joined.  With ``sliced=False`` (short keys, see
+    :func:`apart`) a key is one window, and scans by the same keys follow each other without a shuffle.
     """
+    if not sliced:
+        here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(START, 0 if inclusive else -1)
+        whole = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "last": lambda c: F.last(c, True)}
+        return df.withColumns({n: whole[op](c).over(here) for n, (op, c) in specs.items()})
     slice_by = F.expr(slice_by) if isinstance(slice_by, str) else slice_by
     base = df.withColumns({"_slice": slice_by, **{f"_x_{n}": c for n, (_, c) in specs.items()}})
     base = stage_table(base) if materialize else base
@@ -49,10 +68,10 @@ def running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column |
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, columns: dict[str, str],
-             materialize: bool = False) -> DataFrame:
+             materialize: bool = False, sliced: bool = True) -> DataFrame:
     """The value of the row before, as a struct-carried running ``last`` (null values included)."""
     row = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
-    out = running(df, keys, order, slice_by, {"_previous_row": ("last", row)}, inclusive=False, materialize=materialize)
+    out = running(df, keys, order, slice_by, {"_previous_row": ("last", row)}, inclusive=False, materialize=materialize, sliced=sliced)
     return out.withColumns({n: F.col(f"_previous_row.{n}") for n in columns}).drop("_previous_row")
 
 

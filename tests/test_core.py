@@ -287,3 +287,22 @@ def test_availability_per_season_counts_all_targets(spark):
     assert got == {(1, "a"): (1, 2, False, False), (1, "b"): (2, 2, True, False), (2, "a"): (1, 1, True, True), (2, "b"): (1, 1, True, True)}
     empty = population.availability_matrix(targets.limit(0), {"a": have}).collect()
     assert [(r["source"], r["found"], r["targets"]) for r in empty] == [("a", 0, 0)]
+
+
+def test_scoring_events_of_short_streams_are_not_sliced(spark, monkeypatch):
+    """Streams set apart as long give the events they give as short ones, and a short one is shuffled by its key alone."""
+    plays = [(g, i, 1, 1, 10, 20, "Rush", (i * (g + 2)) % 9, (i * 5) % 4, i, f"2024-01-{1 + i // 4:02d}") for g in range(4) for i in range(12 + 12 * (g == 2))]
+    df = spark.createDataFrame(plays, "game_id BIGINT, play_id BIGINT, drive_number INT, quarter INT, offense BIGINT, defense BIGINT, play_type STRING, offense_score INT, defense_score INT, pos INT, day STRING")
+    poss = spark.createDataFrame([(g, 1, 10, True, None) for g in range(4)], "game_id BIGINT, drive_number INT, offense BIGINT, possession_eligible BOOLEAN, quality_reason STRING")
+    finals = spark.createDataFrame([(g, t, 8.0) for g in range(4) for t in (10, 20)], "game_id BIGINT, team BIGINT, final DOUBLE")
+    got, sliced = [], []
+    real = L.running
+    monkeypatch.setattr(L, "running", lambda *a, **k: sliced.append(k["sliced"]) or real(*a, **k))
+    for limit in (1 << 18, 20, 1):
+        monkeypatch.setattr("priorline.operators.scan.LONG", limit)
+        got.append(sorted(map(str, L.scoring_events(df, poss, finals, ["pos"], "to_date(day)").collect())))
+    assert got[0] and got[0] == got[1] == got[2]
+    assert sliced[:3] == [False] * 3 and True in sliced
+    opened = {tuple(r) for r in L.opened_streams(L.score_stream(df), ["pos"]).collect()}
+    rows = L.accepted_stream(L.score_stream(df), finals, ["pos"], "to_date(day)").where("malformed IS NULL").select("game_id", "team").distinct().collect()
+    assert opened == {tuple(r) for r in rows}

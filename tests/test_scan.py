@@ -125,3 +125,16 @@ def test_running_shuffles_rows_once(spark, rows):
     """Rows meet what their slice starts from without a join."""
     out = scan.running(frame(spark, rows), ["k"], ["t", "i"], "CAST(t / 20 AS INT)", {"s": ("sum", F.col("x")), "l": ("last", F.col("x"))})
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_keys_alone_are_sliced(spark, rows, monkeypatch):
+    """Only keys of more rows than the limit are set apart, null keys as well, and both forms of a scan agree."""
+    monkeypatch.setattr(scan, "LONG", 500)
+    df = frame(spark, rows + [(None, t, 5000 + t, t % 7) for t in range(600)])
+    parts = scan.apart(df, ["k"])
+    assert [(sliced, {r["k"] for r in part.select("k").distinct().collect()} == {1, None}) for part, sliced in parts] == [(False, False), (True, True)]
+    spec = {"c": ("count", F.col("x")), "l": ("last", F.col("x")), "m": ("min", F.col("x"))}
+    for part, _ in parts:
+        both = [{(r["k"], r["i"]): (r["c"], r["l"], r["m"]) for r in scan.running(part, ["k"], ["t", "i"], "CAST(t / 20 AS INT)", spec, inclusive=False, sliced=s).collect()} for s in (True, False)]
+        assert both[0] and both[0] == both[1]
+    assert len(scan.apart(df, ["k"], 10_000)) == 1
