@@ -219,6 +219,32 @@ def floor_apply(v: Array | float, e: Array) -> Array:
     return np.maximum((e[0] * v + e[1]) / (e[2] * v + e[3]), e[4])
 
 
+def capped_walk(batch: pa.RecordBatch, q: float, sigma2: float, weak_weight: float, cap: float, floor: float, block: int = 4096) -> dict[str, pa.Array]:
+    """Whole series (lists _z, _n, _weak) from mean 0 and variance 1, step by step, many at once: lists of mean, variance, gain, capped."""
+    lengths = batch["_z"].value_lengths().to_numpy()
+    first, order = np.cumsum(lengths) - lengths, np.argsort(-lengths, kind="stable")
+    z, n, weak = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("_z", "_n", "_weak"))
+    ok = np.isfinite(z) & (n > 0)
+    noise = sigma2 / (np.where(weak, weak_weight, 1.0) * np.maximum(np.where(ok, n, 1.0), 1.0))
+    z = np.where(ok, z, 0.0)
+    out = {c: np.empty(len(z)) for c in ("mean", "variance", "gain")} | {"capped": np.empty(len(z), bool)}
+    for a in range(0, len(order), block):
+        rows = order[a:a + block]
+        m, v = np.zeros(len(rows)), np.ones(len(rows))
+        for k in range(lengths[rows[0]]):
+            left = int(np.searchsorted(-lengths[rows], -k))
+            at = first[rows[:left]] + k
+            ahead, here, used = v[:left] + q, m[:left], ok[at]
+            gain = np.where(used, ahead / (ahead + noise[at]), 0.0)
+            gap = np.where(used, z[at] - here, 0.0)
+            step = np.where(weak[at], np.clip(gap, -cap, cap), gap)
+            m[:left] = here + gain * step
+            v[:left] = np.where(used, np.maximum((1 - gain) * ahead, floor), ahead)
+            out["mean"][at], out["variance"][at], out["gain"][at], out["capped"][at] = m[:left], v[:left], gain, step != gap
+    offsets = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+    return {c: pa.ListArray.from_arrays(offsets, pa.array(x)) for c, x in out.items()}
+
+
 # The mean under capped steps is a rising, piecewise linear function of the mean before; (xs, ys) on the reachable interval
 def capped_steps(xs: Array, ys: Array, z: float, gain: float, cap: float) -> tuple[Array, Array]:
     """(xs, ys) followed by y + gain * clip(z - y, -cap, cap)."""

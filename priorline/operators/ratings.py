@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..session import stage_table
 from . import folds
 from .guards import ContractError
-from .scan import running
+from .scan import apart, running
 
 
 def carryover_prior(terminal: DataFrame, keys: list[str], gap: int = 1, rho: float = 0.6) -> DataFrame:
@@ -43,7 +44,8 @@ def analytic_update(prior_mean: Column, prior_var: Column, observation: Column,
 
 def _places(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | str, chunk: int, columns: dict[str, Column]) -> DataFrame:
     """The rows with their place ``_p``, chunk ``_c``, the time of the row before, and named inputs."""
-    base = running(df.withColumns(columns), keys, order, slice_by, {"_was": ("last", columns["_at"])} | {"_p": ("count", F.lit(1))}, inclusive=False)
+    base = reduce(DataFrame.unionByName, [running(rows, keys, order, slice_by, {"_was": ("last", columns["_at"])} | {"_p": ("count", F.lit(1))}, inclusive=False, sliced=sliced)
+                                          for rows, sliced in apart(df.withColumns(columns), keys)])
     return base.withColumns({"_c": F.expr(f"_p div {chunk}"), "_weeks": F.coalesce((F.col("_at") - F.col("_was")) / 86400.0, F.lit(0.0)) / 7.0})
 
 
@@ -85,13 +87,9 @@ def kalman_filter(df: DataFrame, keys: list[str], order: list[str], slice_by: Co
     return base.join(out, [*keys, "_p"]).select(*df.columns, "pred_mean", "pred_variance", "noise", "mean", "variance")
 
 
-def capped_kalman(df: DataFrame, keys: list[str], order: list[str], id_columns: list[str], slice_by: Column | str, q: float, sigma2: float, weak_weight: float = 0.25,
-                  cap: float = 1.5, floor: float = 1e-4, chunk: int = 512) -> DataFrame:
-    """IT-11: exposure-weighted filter with down-weighted, capped innovations and a variance floor.
-
-    Columns: value, exposure, weak.  The variance does not depend on the mean, and its step composes; given the gains, a
-    capped step of the mean is a rising piecewise linear function, and these compose as well, so both run in chunks.
-    """
+def _capped_chunks(df: DataFrame, keys: list[str], order: list[str], id_columns: list[str], slice_by: Column | str, q: float, sigma2: float, weak_weight: float,
+                   cap: float, floor: float, chunk: int) -> DataFrame:
+    """:func:`capped_kalman` over series of several chunks."""
     base = _chunked(df, keys, order, slice_by, chunk, {"_z": F.col("value").cast("double"), "_n": F.col("exposure").cast("double"), "_weak": F.coalesce(F.col("weak"), F.lit(False)),
                                                        "_at": F.lit(0.0)})
     used = F.col("_z").isNotNull() & ~F.isnan("_z") & (F.col("_n") > 0)
@@ -160,6 +158,35 @@ def capped_kalman(df: DataFrame, keys: list[str], order: list[str], id_columns:
     return base.select(*dict.fromkeys([*keys, *id_columns]), "_p").join(out, [*keys, "_p"]).select(*id_columns, "mean", "variance", "gain", "capped")
 
 
+def capped_kalman(df: DataFrame, keys: list[str], order: list[str], id_columns: list[str], slice_by: Column | str, q: float, sigma2: float, weak_weight: float = 0.25,
+                  cap: float = 1.5, floor: float = 1e-4, chunk: int = 512) -> DataFrame:
+    """IT-11: exposure-weighted filter with down-weighted, capped innovations and a variance floor.
+
+    Columns: value, exposure, weak.  A series of at most ``chunk`` rows is one row of arrays, and many are walked at once, step by
+    step.  Longer ones run in chunks: the variance does not depend on the mean, and its step composes; given the gains, a
+    capped step of the mean is a rising piecewise linear function, and these compose as well.
+    """
+    first, ids = [c for c in order if c not in keys], [c for c in dict.fromkeys(id_columns) if c not in keys]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = folds.capped_walk(batch, q, sigma2, weak_weight, cap, floor)
+            yield pa.RecordBatch.from_pydict({c: batch[c] for c in [*keys, "_ids"]} | out)
+
+    out = []
+    for rows, is_long in apart(df, keys, chunk):
+        if is_long:
+            out.append(_capped_chunks(rows, keys, order, id_columns, slice_by, q, sigma2, weak_weight, cap, floor, chunk))
+            continue
+        inputs = [F.col("value").cast("double").alias("_z"), F.col("exposure").cast("double").alias("_n"), F.coalesce(F.col("weak"), F.lit(False)).alias("_weak")]
+        series = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first, *inputs, F.struct(F.lit(0).alias("_"), *ids).alias("_ids")))).alias("_rows"))
+        series = series.select(*keys, *[F.col(f"_rows.{c}").alias(c) for c in ("_ids", "_z", "_n", "_weak")])
+        done = series.mapInArrow(walk, f"{folds.named(series, [*keys, '_ids'])}, mean ARRAY<DOUBLE>, variance ARRAY<DOUBLE>, gain ARRAY<DOUBLE>, capped ARRAY<BOOLEAN>")
+        done = done.select(*keys, F.inline(F.arrays_zip("_ids", "mean", "variance", "gain", "capped")))
+        out.append(done.select(*[F.col(c) if c in keys else F.col(f"_ids.{c}").alias(c) for c in id_columns], "mean", "variance", "gain", "capped"))
+    return reduce(DataFrame.unionByName, out)
+
+
 Q_BOUNDS, R_BOUNDS = (0.0, 1.0), (1e-6, 100.0)
 MIN_OBSERVATIONS = 8
 

@@ -25,7 +25,7 @@ def apart(df: DataFrame, keys: list[str], long: int | None = None) -> list[tuple
     hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > (long or LONG)).select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
     if not hot.limit(1).count():
         return [(df, False)]
-    hot = F.broadcast(stage_table(hot))  # at most one row per ``long`` rows
+    hot = stage_table(hot)  # at most one row per ``long`` rows; its size is known to the planner
     on = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
     return [(df.join(hot, on, "left_anti"), False), (df.join(hot, on, "left_semi"), True)]
 
