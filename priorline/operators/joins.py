@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 
 from .scan import prior_totals
 
+ROWS = 1 << 18
+
+
+def by_size(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by hashes of its keys, in as many partitions as hold about ``ROWS`` rows each.
+
+    For a join and a grouping in one task that hardly merge rows: with a fixed number of partitions a task's sorts and hash
+    maps grow with the table.
+    """
+    return df.repartition(max(1, -(-df.count() // ROWS)), *keys)
+
 
 def sides(games: DataFrame, keep: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """JN-8: one row per game to one row per side; ``pairs`` maps a name to its (home, away) columns."""

@@ -54,7 +54,8 @@ def _(d):
 @query("po5_game_log", uses="exposures games", sql=f"""
     SELECT g.game_id, e.offense AS team, g.week, count(*) AS rows, {q6('sum(den)')} AS exposure, max(e.kickoff) + INTERVAL 6 HOUR AS available FROM exposures e JOIN games g USING (game_id) GROUP BY 1, 2, 3""")
 def _(d):
-    j = d.exposures.select("game_id", "offense", "den", F.col("kickoff").alias("at")).join(d.games.select("game_id", "week"), "game_id")
+    rows = J.by_size(d.exposures.select("game_id", "offense", "den", F.col("kickoff").alias("at")), ["game_id"])
+    j = rows.join(d.games.select("game_id", "week"), "game_id")
     return j.groupBy("game_id", F.col("offense").alias("team"), "week").agg(F.count("*").alias("rows"), r6(F.sum("den")).alias("exposure"),
                                                                        (F.max("at") + F.expr("INTERVAL 6 HOURS")).alias("available"))
 

@@ -138,3 +138,14 @@ def test_long_keys_alone_are_sliced(spark, rows, monkeypatch):
         both = [{(r["k"], r["i"]): (r["c"], r["l"], r["m"]) for r in scan.running(part, ["k"], ["t", "i"], "CAST(t / 20 AS INT)", spec, inclusive=False, sliced=s).collect()} for s in (True, False)]
         assert both[0] and both[0] == both[1]
     assert len(scan.apart(df, ["k"], 10_000)) == 1
+
+
+def test_game_log_has_more_tasks_for_more_rows(spark, monkeypatch):
+    from priorline.plans.registry import QUERIES
+    import __spark_entry__  # noqa: F401  registers the queries
+    parts = lambda: QUERIES["po5_game_log"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    monkeypatch.setattr(J, "ROWS", 500, raising=False)
+    assert f", {-(-n // 500)}), REPARTITION_BY_NUM" in parts()
+    monkeypatch.setattr(J, "ROWS", 100, raising=False)
+    assert f", {-(-n // 100)}), REPARTITION_BY_NUM" in parts()
