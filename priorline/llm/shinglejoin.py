@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,9 @@ SKETCH_BITS = 20, 27  # least and most slots of the document-frequency sketch, 2
 LIVE_BITS = 27  # bits of the filter of rows whose sets are compared: 16 MB whatever the input
 SLICES = 64
 FLUSH = 4_000_000  # tokens that a counting task holds before it sends them
+GROUP = 2_000_000  # tokens of a group of documents, and of a slice of the tokens, about
+GROUPS, SLICE_BITS = 32, (6, 14)  # least groups; least and most slices of the tokens, as powers of two
+COUNTED, MET = 3, 5  # bytes of a token that are sent besides its slice: to count its documents, and to meet other classes
 ORDERS = 3
 BLOCK = 512  # documents on one side of a verification task
 
@@ -60,17 +65,21 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def prefix(tokens: np.ndarray, sketch: np.ndarray, order: int, percent: int) -> np.ndarray:
+def classes_of(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The classes of the tokens' slots in the sketch."""
+    slot = slots_of(tokens, (len(sketch) * 4).bit_length() - 1)
+    return (sketch[slot >> 2] >> ((slot & 3) * 2).astype(np.uint8)) & np.uint8(3)
+
+
+def prefix(tokens: np.ndarray, common: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The first tokens of a set under one global order; two sets that are alike enough share one of them under any order.
 
-    Orders 0 and 1 put tokens of few documents first (by the class of their slot) and differ in the hash that breaks ties;
-    order 2 goes by a hash alone.  A slot of class 0 counted one document, so its token is shared with none and is left out.
-    Otherwise the sketch sets how many candidates there are, never which links are found.
+    Orders 0 and 1 put tokens of few documents first (by their classes ``common``) and differ in the hash that breaks ties;
+    order 2 goes by a hash alone.  Class 0 is one document, so its token is shared with none and is left out.
+    Otherwise the classes set how many candidates there are, never which links are found.
     """
     keep = len(tokens) - needed(len(tokens), percent) + 1
     tie = mix64(tokens + np.uint64((order + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
-    slot = slots_of(tokens, (len(sketch) * 4).bit_length() - 1)
-    common = (sketch[slot >> 2] >> ((slot & 3) * 2).astype(np.uint8)) & np.uint8(3)
     if order < 2:
         tie = (common.astype(np.uint64) << np.uint64(62)) | (tie >> np.uint64(2))
     if keep < len(tokens):
@@ -115,14 +124,14 @@ def _collected(df: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
-    """A class of 2 bits for each hash slot, four in a byte: how many documents hold tokens of the slot; over all documents.
+def frequency_classes(live: DataFrame) -> np.ndarray:
+    """A class of 2 bits for each hash slot, four in a byte: how many of the sets ``live`` hold tokens of the slot.
 
-    Class 0 is one document; 2 and 3 lie far above what the slots hold on average.  There are about twice as many slots as words,
+    Class 0 is one set; 2 and 3 lie far above what the slots hold on average.  There are about twice as many slots as tokens,
     up to a fixed bound.  Tasks send each token as about one byte and a slice of the slots is added up as a stream.
     """
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], round(float(np.log2(max(1, chars / 3))))))
+    many = (live.agg(F.sum(F.length("tokens"))).first()[0] or 0) // 8
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], round(float(np.log2(max(1, 2 * many))))))
     width = (1 << bits) // SLICES
 
     def send(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +144,8 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held = [], 0
         for batch in batches:
-            for text in arrow_texts(batch.column(0)):
-                sets.append(shingles(text, n))
+            for tokens in batch.column(0).to_pylist():
+                sets.append(np.frombuffer(tokens, np.uint64))
                 held += len(sets[-1])
                 if held > FLUSH:
                     yield from send(sets)
@@ -156,7 +165,7 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
             classes = (total >= 2).astype(np.uint8) + (total > 2 + 4 * usual) + (total > 32 + 64 * usual)
             yield _row(k, (classes[::4] | classes[1::4] << 2 | classes[2::4] << 4 | classes[3::4] << 6).astype(np.uint8).tobytes())
 
-    return _collected(docs.select("text").mapInArrow(count, SLICED).repartition(SLICES, "slice").mapInArrow(add, SLICED), width // 4)
+    return _collected(live.select("tokens").mapInArrow(count, SLICED).repartition(SLICES, "slice").mapInArrow(add, SLICED), width // 4)
 
 
 def _live_slots(hashes: np.ndarray) -> np.ndarray:
@@ -251,8 +260,117 @@ def _refine(scratch: Scratch, tokens: DataFrame) -> DataFrame:
     return _components(scratch, edges, "cls", "part")
 
 
-def _longs(values: np.ndarray) -> list[int]:
-    return values.view(np.int64).tolist()
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Sorted numbers of ``width`` bytes, byte by byte: the first bytes of all numbers, which have long runs, then the second ones."""
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width:].T.tobytes()
+
+
+def _from_planes(raw: bytes, width: int, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, 8 - width:] = np.frombuffer(raw, np.uint8, n * width).reshape(width, n).T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def slice_bits(tokens: int) -> int:
+    """So many slices, as a power of two, that about ``GROUP`` of the tokens meet in each."""
+    return min(SLICE_BITS[1], max(SLICE_BITS[0], round(float(np.log2(max(1, tokens / GROUP))))))
+
+
+def _cut(tok: np.ndarray, width: int, bits: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(slice, start, end, numbers inside the slice) of sorted tokens of ``bits`` and ``width`` bytes."""
+    ends = np.searchsorted(tok, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(8 * width))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        yield k, ends[k], ends[k + 1], tok[ends[k]:ends[k + 1]] & np.uint64((1 << 8 * width) - 1)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """The rows of each group, piece by piece, of rows sorted by their first column."""
+    def pieces():
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.column(0).to_numpy()
+                for a, b in pairwise([0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]):
+                    yield int(at[a]), batch.slice(a, b - a)
+
+    for group, found in groupby(pieces(), itemgetter(0)):
+        yield group, (piece for _, piece in found)
+
+
+def document_classes(grouped: DataFrame, n: int, bits: int) -> DataFrame:
+    """(group, slice, raw): for the sorted distinct tokens of a group of documents, slice by slice, one byte that tells how many documents
+    of the whole table hold them: 0 for one, 3 for very many.
+
+    ``grouped``: group, row, text.  A group's tokens go to the slices as about two bytes each, and the answers come back as a byte
+    that is nearly always 0; a slice counts its tokens in an array of fixed size.  Some tokens of one document share a place
+    there, an eighth at most however large the table, and count as shared.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, pieces in _segments(batches):
+            sets, last = [np.empty(0, np.uint64)], None
+            for piece in pieces:
+                for text in arrow_texts(piece.column(1)):
+                    if text != last:  # repeated rows are neighbours
+                        sets.append(shingles(text, n))
+                        last = text
+            tok, many = np.unique(np.concatenate(sets) >> np.uint64(64 - bits - 8 * COUNTED), return_counts=True)
+            many = np.minimum(many, 255).astype(np.uint8)
+            for k, a, b, fine in _cut(tok, COUNTED, bits):
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([k], pa.int32()), pa.array([_planes(fine, COUNTED) + many[a:b].tobytes()], pa.binary())], names)
+
+    def judge(table: pa.Table) -> pa.Table:
+        total, out = np.zeros(1 << 8 * COUNTED, np.uint16), []
+        rows = [(_from_planes(raw, COUNTED, m).astype(np.int64), np.frombuffer(raw, np.uint8, m, m * COUNTED)) for raw in table.column("raw").to_pylist() for m in (len(raw) // (COUNTED + 1),)]
+        for fine, many in rows:
+            total[fine] = np.minimum(total[fine].astype(np.uint32) + many, 65535)
+        for fine, _ in rows:
+            t = total[fine]
+            out.append(((t >= 2).astype(np.uint8) + (t > 4) + (t > 64)).astype(np.uint8).tobytes())
+        return pa.table({"group": table.column("group"), "slice": table.column("slice"), "raw": pa.array(out, pa.binary())})
+
+    names, schema = ["group", "slice", "raw"], "group int, slice int, raw binary"
+    counted = grouped.select("group", "text", "row").repartition("group").sortWithinPartitions("group", "row").mapInArrow(count, schema)
+    return counted.groupBy("slice").applyInArrow(judge, schema)
+
+
+def _once(tok: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each token once with its smallest name, and the distinct edges (src, dst) from that to its other names."""
+    by = np.lexsort((name, tok))
+    tok, name = tok[by], name[by]
+    first = np.append(True, tok[1:] != tok[:-1])
+    src = name[np.maximum.accumulate(np.where(first, np.arange(len(tok)), 0))]
+    far = src != name
+    edges = np.unique(src[far].astype(np.uint64) << np.uint64(32) | name[far].astype(np.uint64))
+    return tok[first], name[first], edges >> np.uint64(32), edges & np.uint64(0xFFFFFFFF)
+
+
+def _send_prefixes(tokens: list[np.ndarray], names: list[int], bits: int) -> Iterator[pa.RecordBatch]:
+    """The tokens of a group's documents as one row a slice, and what meets in the group itself as edges in a row of slice -1."""
+    name = np.repeat(np.array(names, np.int64).astype(np.uint32), [len(t) for t in tokens])
+    tok, name, src, dst = _once(np.concatenate(tokens) >> np.uint64(64 - bits - 8 * MET), name)
+    for k, a, b, fine in _cut(tok, MET, bits):
+        yield _row(k, _planes(fine, MET) + name[a:b].astype("<u4").tobytes())
+    if len(src):
+        yield _row(-1, np.stack([src, dst]).astype("<u4").tobytes())
+
+
+def _prefix_edges(sent: DataFrame) -> DataFrame:
+    """Edges between the names of classes that share a prefix token, from the rows of :func:`_send_prefixes`."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        tok, name = [], []
+        for raw in table.column("raw").to_pylist():
+            m = len(raw) // (MET + 4)
+            tok.append(_from_planes(raw, MET, m))
+            name.append(np.frombuffer(raw, "<u4", m, m * MET))
+        _, _, src, dst = _once(np.concatenate(tok), np.concatenate(name))
+        return pa.table({"src": pa.array(src.astype(np.int64)), "dst": pa.array(dst.astype(np.int64))})
+
+    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = np.concatenate([np.frombuffer(raw, "<u4").reshape(2, -1) for raw in batch.column(0).to_pylist()], axis=1).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["src", "dst"])
+
+    far = sent.where("slice >= 0").select("slice", "raw").groupBy("slice").applyInArrow(meet, "src long, dst long")
+    return far.unionByName(map_batches(sent.where("slice = -1").select("raw"), near, "src long, dst long")).distinct()
 
 
 def _verify(percent: int, sketch):
@@ -268,7 +386,7 @@ def _verify(percent: int, sketch):
         if sides.max() > sides.min():
             ok &= sides[:, None] != sides[None, :]
         for order in range(ORDERS):
-            parts = [prefix(s, sketch.value, order, percent) for s in sets]
+            parts = [prefix(s, classes_of(s, sketch.value), order, percent) for s in sets]
             flat = np.concatenate(parts)
             owner = np.repeat(np.arange(m), [len(p) for p in parts])
             by = np.argsort(flat, kind="stable")
@@ -313,7 +431,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     similarity of at least ``percent`` are linked, and a component is named by its smallest doc_id.  ``component`` tells components apart where
     ids are null or repeated (null without shingles), and ``text_hash`` the rows of one id.
 
-    Equal sets form one class.  Classes that share a prefix token under order 0, directly or through others, form a part; parts larger
+    Equal sets form one class.  Classes that share a prefix token under order 0, directly or through others, form a part (tokens and
+    classes go there under short names, about nine bytes a token; names that happen to be equal only make a part larger); parts larger
     than a block are split by the tokens of order 1 and then of order 2, each split a linear job.  Two linked documents share a
     token under each order, so they stay in the same part, and no list of pairs is written.  What is left is verified in tasks
     of at most two blocks of documents, where a pair must share a token under all orders before its sets are compared.
@@ -323,24 +442,57 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     id_type = type_of(docs, id_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    shared = spark.sparkContext.broadcast(frequency_classes(base, n))  # fixed size
-
-    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, names, firsts = [], [], []
-        for text in arrow_texts(batch.column(1)):
-            tokens = shingles(text, n)
-            sizes.append(len(tokens))
-            names.append(class_of(tokens) if len(tokens) else None)
-            firsts.append(_longs(prefix(tokens, shared.value, 0, percent)) if len(tokens) else [])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                                          ["doc_id", "text_hash", "n_shingles", "cls", "p0"])
+    chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = slice_bits(chars // 6)
+    grouped = base.withColumn("row", F.xxhash64("doc_id", "text_hash")).withColumn("group", F.pmod("row", F.lit(max(GROUPS, -(-chars // (6 * GROUP))))).cast("int"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = ["doc_id", "text_hash", "n_shingles", "cls", "slice", "raw"]
+        for _, pieces in _segments(batches):
+            answers, sets, last, rows = [np.empty(0, np.uint8)], [np.empty(0, np.uint64)], None, []
+            for piece in pieces:
+                told = piece.column(1).is_valid().to_numpy(zero_copy_only=False)
+                answers += [np.frombuffer(raw, np.uint8) for raw in piece.column(2).filter(pa.array(told)).to_pylist()]
+                if told.all():
+                    continue
+                piece, own = piece.slice(int(told.sum())), []
+                for text in arrow_texts(piece.column(5)):
+                    if text != last:
+                        sets.append(shingles(text, n))
+                        last = text
+                    own.append(len(sets) - 1)
+                rows.append((piece.column(3), piece.column(4), own))
+            ends = np.cumsum([len(t) for t in sets])
+            flat, answer = np.concatenate(sets), np.concatenate(answers)
+            tok, at = np.unique(flat >> np.uint64(64 - bits - 8 * COUNTED), return_inverse=True)
+            if len(tok) != len(answer):
+                raise ValueError(f"{len(tok)} tokens were counted as {len(answer)}: the documents changed while they were read")
+            common = answer[at]
+            names = [class_of(t) if len(t) else None for t in sets]
+            for ids, hashes, own in rows:
+                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array([len(sets[k]) for k in own], pa.int64()), pa.array([names[k] for k in own], pa.int64()),
+                                                  pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())], whole)
+            firsts = {k: prefix(sets[k], common[ends[k - 1]:ends[k]], 0, percent) for k in range(1, len(sets)) if len(sets[k])}
+            firsts = {k: t for k, t in firsts.items() if len(t)}
+            if firsts:
+                for row in _send_prefixes([*firsts.values()], [names[k] for k in firsts], bits):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, rows[0][0].type), *[pa.nulls(1, pa.int64())] * 3, *row.columns], whole)
 
     scratch = Scratch(spark)
-    keyed = scratch.stage(map_batches(base, keys, f"doc_id {id_type}, text_hash long, n_shingles long, cls long, p0 array<long>"))
-    parts = _refine(scratch, keyed.where("cls is not null").select(F.lit(0).cast("long").alias("part"), "cls", F.explode("p0").alias("tok")))
+    answers = scratch.stage(document_classes(grouped, n, bits))
+    both = answers.unionByName(grouped, allowMissingColumns=True).select("group", "slice", "raw", "doc_id", "text_hash", "text", "row")
+    both = both.repartition("group").sortWithinPartitions("group", F.asc_nulls_last("slice"), "row")
+    sent = scratch.stage(both.mapInArrow(keys, f"doc_id {id_type}, text_hash long, n_shingles long, cls long, slice int, raw binary"))
+    keyed = scratch.stage(sent.where("slice IS NULL").select("doc_id", "text_hash", "n_shingles", "cls"))
+    edges = scratch.stage(_prefix_edges(sent))
+    scratch.release(answers, sent)
+    named = _components(scratch, edges, "name", "part")
     # one row of each class that shares a token; a filter of fixed size finds these rows again, so no text is shuffled
-    picks = keyed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).join(parts.select("cls"), "cls")
-    live_rows = spark.sparkContext.broadcast(live_filter(picks.select(F.xxhash64("one.doc_id", "one.text_hash").alias("row"))))
+    picks = keyed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    picks = scratch.stage(picks.withColumn("name", F.col("cls").bitwiseAND(0xFFFFFFFF)).join(named, "name").select("cls", "part", F.xxhash64("one.doc_id", "one.text_hash").alias("row")))
+    live_rows = spark.sparkContext.broadcast(live_filter(picks.select("row")))
+    parts = scratch.stage(picks.select("cls", "part"))
+    scratch.release(named, picks)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes of this partition, so that a row that is repeated is sent once by each
@@ -358,7 +510,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def tokens_of(order: int):
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            first = [prefix(np.frombuffer(b, np.uint64), shared.value, order, percent) for b in batch.column(2).to_pylist()]
+            whole = [np.frombuffer(b, np.uint64) for b in batch.column(2).to_pylist()]
+            first = [prefix(s, classes_of(s, shared.value), order, percent) for s in whole]
             take = pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first]), pa.int32())
             return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(first).view(np.int64), pa.int64())], ["part", "cls", "tok"])
 
@@ -367,6 +520,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # written where it is read: the first shuffle of these sets is that to their parts
     live = scratch.stage(base.select("text", F.xxhash64("doc_id", "text_hash").alias("row")).mapInArrow(sets, "cls long, tokens binary"))
     live_rows.destroy()
+    shared = spark.sparkContext.broadcast(frequency_classes(live))  # fixed size
     for order in range(1, ORDERS):
         # the filters of small parts are intersected where they are verified; only larger ones are split first
         large = scratch.stage(parts.join(parts.groupBy("part").agg(F.count("*").alias("_m")).where(F.col("_m") > BLOCK).select("part"), "part"))

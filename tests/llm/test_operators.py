@@ -386,3 +386,39 @@ def test_pages_that_end_inside_markup():
     assert htmltext.main_text("<p>kept</p><a href='x" + "<b " * 20000) == "kept"
     assert htmltext.main_text("<p>1 < 2 and 3 <4") == "1 < 2 and 3 <4"
     assert htmltext.main_text("<div>" * 30000 + "x" + "</p>" * 30000) == "x"
+
+
+def test_few_sets_are_live_where_the_corpus_is_far_larger_than_the_sketch(spark, monkeypatch):
+    # texts of common words: any two share some shingles, which a sketch that is full could not tell from those of one text
+    monkeypatch.setattr(shinglejoin, "SKETCH_BITS", (8, 8))
+    rng = random.Random(7)
+    phrases = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(9)) for _ in range(60)]
+    texts = [" ".join(x for _ in range(30) for x in (rng.choice(phrases), *(str(rng.random()) for _ in range(8)))) for _ in range(300)]
+    texts += [t + " the end" for t in texts[:20]]
+    sizes, stage = {}, common.Scratch.stage  # rows of the table of sets
+
+    def written(self, df):
+        out = stage(self, df)
+        if "tokens" in out.columns:
+            sizes["live"] = out.count()
+        return out
+
+    monkeypatch.setattr(common.Scratch, "stage", written)
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in rows(shinglejoin.near_groups(made))}
+    assert got == {k: k - 300 if k >= 300 else k for k in range(320)}
+    assert sizes["live"] <= 60
+
+
+def test_document_classes_count_documents_over_groups(spark):
+    texts = [f"one two three w{k} x{k} y{k}" for k in range(70)] + ["one two q r s t"] * 3
+    docs = spark.createDataFrame([(k % 4, k if k < 70 else 70, t) for k, t in enumerate(texts)], "group int, row long, text string")
+    found = {(r["group"], r["slice"]): r["raw"] for r in rows(shinglejoin.document_classes(docs, 3, 6))}
+    for g in range(4):
+        sets = [shinglejoin.shingles(t, 3) for k, t in enumerate(texts) if k % 4 == g]
+        tok = np.unique(np.concatenate(sets))
+        raw = np.frombuffer(b"".join(found[x] for x in sorted(found) if x[0] == g), np.uint8)
+        # "one two three" is in 70 documents, "one two q" in three groups, "two three w0" in one
+        many = [sum(t in shinglejoin.shingles(x, 3) for x in {y for k, y in enumerate(texts) if k % 4 == h}) for t in tok for h in range(4)]
+        many = np.array(many).reshape(-1, 4).sum(axis=1)
+        assert raw.tolist() == ((many >= 2).astype(int) + (many > 4) + (many > 64)).tolist()
